@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, neardup
+from . import bpe_automaton, cgk_decontam, neardup, pii_sanitise, quality_crf
 
 try:
     import public_tokenizers
@@ -24,12 +25,38 @@ def op1_hyperminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_documents(table(spark, sf_dir, "documents"), neardup.Banding(shingle=2))
 
 
+def held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_crf.Model | None:
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    return quality_crf.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_crf.scored(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), ["doc_id"])
+    score = F.col("quality_score")
+    return out.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitise.found(table(spark, sf_dir, "documents"))
+
+
+def op7_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_neardup": op1_hyperminhash_neardup,
+    "op2_quality_crf": op2_quality_crf,
+    "op4_pii_sanitise": op4_pii_sanitise,
+    "op7_cgk_decontam": op7_cgk_decontam,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 ORACLES: dict[str, str] = {}
