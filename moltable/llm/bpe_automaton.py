@@ -9,10 +9,10 @@ table of cuts with the time of each, and for each token its time and two parts.
 Whether an arc exists is then read off these tables, by going down the right parts
 of the one token and the left parts of the other.
 
-For encoding the automaton is determinised over symbols, as far as texts ask for it:
-a state is a prefix of a pre-split word together with the one token that ends there,
-a transition is one table lookup, and the arc into the word's end has as label the
-ids of the word.  Decoding emits the labels of the ids.
+Every text has one path through the automaton, and so has every prefix of it.  Encoding
+walks along a pre-split word: from a state the arcs that spell what comes next are
+looked up, longest first; a place that turns out to lead nowhere is never entered
+again, as only one path could have reached it.  Decoding emits the labels of the ids.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from .shared import plain
 
 END = "</w>"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-MAX_STATES = 400_000
+MAX_ARCS = 1_000_000
 LONG_WORD = 48
+NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -49,39 +50,44 @@ class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.vocab = vocab
         self.labels = {i: s for s, i in vocab.items()}
-        self.time, self.left, self.right, self.cut = {}, {}, {}, {}
-        for t in vocab.values():
-            self.time[t] = -1
+        self.time, self.left, self.right, self.cut = dict.fromkeys(vocab.values(), -1), {}, {}, {}
+        self._arcs: dict[tuple[int, int], bool] = {}
         for k, (a, b) in enumerate(merges):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        inner = {s: i for s, i in vocab.items() if not s.endswith(END)}
-        final = {s[: -len(END)]: i for s, i in vocab.items() if s.endswith(END)}
-        self.inner, self.final = inner, final
-        self.reach = max(map(len, [*inner, *final]), default=1)
-        self._arcs: dict[tuple[int, int], bool] = {}
-        self._reset()
+        self.inner: dict[str, int] = {}  # labels within a word with their tokens; -1 for what only begins one
+        self.final: dict[str, int] = {}  # labels that end a word, without the mark
+        void = {i for i in vocab.values() if self.time[i] == NEVER}
+        for s, i in vocab.items():
+            if i in void:
+                continue
+            if s.endswith(END) and len(s) > len(END):
+                self.final[s[: -len(END)]] = i
+                continue
+            self.inner[s] = i
+            for k in range(1, len(s)):
+                self.inner.setdefault(s[:k], -1)
+        self.reach = max(map(len, self.final), default=1)
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
-        self.cut.setdefault((u, v), k)
-        if self.time[w] < 0:
-            self.time[w], self.left[w], self.right[w] = k, u, v
-
-    def _reset(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
-        self.ends: dict[tuple[int, str], tuple[int, ...]] = {}
-        self.prefix, self.last, self.back = [""], [-1], [-1]  # of each state; back: the state before its last token
+        """Merge number k: w beside u v, and v no longer behind u.  A pair that earlier gadgets cut everywhere makes nothing."""
+        if self.time[u] != NEVER and self.time[v] != NEVER and self._arc(u, v, k):
+            self.cut[(u, v)] = k
+            if w not in self.left:
+                self.time[w], self.left[w], self.right[w] = k, u, v
+        elif w not in self.left:
+            self.time[w] = NEVER
 
     def arc(self, x: int, t: int) -> bool:
         """Whether the state behind x has a t arc when all gadgets are in."""
         got = self._arcs.get((x, t))
         if got is None:
-            if len(self._arcs) > 2_000_000:
+            if len(self._arcs) > MAX_ARCS:
                 self._arcs.clear()
-            got = self._arcs[(x, t)] = self._arc(x, t)
+            got = self._arcs[(x, t)] = self._arc(x, t, NEVER)
         return got
 
-    def _arc(self, x: int, t: int) -> bool:
-        until, also = 1 << 60, False
+    def _arc(self, x: int, t: int, until: int) -> bool:
+        also = False
         while True:
             c = self.cut.get((x, t))
             if c is not None and (c < until or also and c == until):
@@ -94,74 +100,40 @@ class Automaton:
             else:
                 until, also, x = a, False, self.right[x]
 
-    def _token(self, chain: list[int], text: str, table: dict[str, int]) -> tuple[int, int]:
-        """The one token that ends at text's end, and the position before it; chain has the state at each position."""
-        n = len(text)
-        for k in range(max(0, n - self.reach), n):
-            t = table.get(text[k:])
-            if t is not None and (k == 0 or chain[k] >= 0 and self.arc(chain[k], t)):
-                return t, k
-        raise ValueError(f"no token ends {text!r}")
-
-    def _chain(self, state: int) -> list[int]:
-        """States at positions 0.. of this state's prefix."""
-        at, out = 0, [0]
-        for c in self.prefix[state]:
-            at = self.next[(at, c)]
-            out.append(at)
+    def _ahead(self, word: str, at: int) -> list[tuple[int, int]]:
+        """(token, end) of the arcs that spell what follows `at`, the longest last."""
+        out, inner, n = [], self.inner, len(word)
+        for end in range(at + 1, n):
+            t = inner.get(word[at:end])
+            if t is None:
+                break
+            if t >= 0:
+                out.append((t, end))
+        if n - at <= self.reach and (t := self.final.get(word[at:])) is not None:
+            out.append((t, n))
         return out
 
     def encode(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-split word of byte symbols."""
         if not word:
             return ()
-        if len(word) > LONG_WORD:
-            return self._encode_long(word)
-        if len(self.prefix) > MAX_STATES:
-            self._reset()
-        at = 0
-        for c in word[:-1]:
-            to = self.next.get((at, c))
-            at = self._grow(at, c) if to is None else to
-        ids = self.ends.get((at, word[-1]))
-        if ids is None:
-            chain = self._chain(at)
-            t, k = self._token([self.last[s] for s in chain], word, self.final)
-            ids = self.ends[(at, word[-1])] = (*self._path(chain[k]), t)
-        return ids
-
-    def _grow(self, at: int, c: str) -> int:
-        chain = self._chain(at)
-        t, k = self._token([self.last[s] for s in chain], self.prefix[at] + c, self.inner)
-        self.prefix.append(self.prefix[at] + c)
-        self.last.append(t)
-        self.back.append(chain[k])
-        new = self.next[(at, c)] = len(self.prefix) - 1
-        return new
-
-    def _path(self, state: int) -> list[int]:
-        out = []
-        while state > 0:
-            out.append(self.last[state])
-            state = self.back[state]
-        return out[::-1]
-
-    def _encode_long(self, word: str) -> tuple[int, ...]:
-        """The same transitions without keeping states: memory follows the one word."""
-        last, back, n = [-1], [0], len(word)
-        for i in range(1, n + 1):
-            table = self.final if i == n else self.inner
-            for k in range(max(0, i - self.reach), i):
-                t = table.get(word[k:i])
-                if t is not None and (k == 0 or self.arc(last[k], t)):
-                    last.append(t)
-                    back.append(k)
-                    break
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = back[i]
-        return tuple(out[::-1])
+        n, path, ends, ahead, dead = len(word), [], [0], [self._ahead(word, 0)], set()
+        while True:
+            if not ahead[-1]:
+                dead.add(ends.pop())
+                ahead.pop()
+                if not path:
+                    raise ValueError(f"no path spells {word!r}")
+                path.pop()
+                continue
+            t, end = ahead[-1].pop()
+            if end in dead or path and not self.arc(path[-1], t):
+                continue
+            path.append(t)
+            if end == n:
+                return tuple(path)
+            ends.append(end)
+            ahead.append(self._ahead(word, end))
 
 
 class Codec:
@@ -225,7 +197,7 @@ class Codec:
 class _Words(dict):
     """Memo from a word to its ids and labels, both as text; bounded, and emptied when full."""
 
-    LIMIT = 150_000
+    LIMIT = 250_000
 
     def __init__(self, codec: Codec):
         super().__init__()
