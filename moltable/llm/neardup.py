@@ -7,13 +7,14 @@ small sets keep the collision probability of their Jaccard similarity (optimal
 densification).  Bands of `rows` registers are hashed to keys.
 
 Exact copies of a set are put together first, one of each class goes on.  Candidate
-pairs come in two rounds, so that a group of g near copies costs about g pairs and not
+pairs come in rounds, so that a group of g near copies costs about g pairs and not
 g * g: first each member of a bucket with the one bucket leader it meets most often;
-then, between members of a bucket that are still in different components, all pairs.
-The components are therefore those of all candidate links.  A pair is verified on full
-sets if the collision-corrected estimate doesn't rule it out (`margin` is over five
-standard errors).  Sets are only made for documents in such pairs: a Bloom filter of
-fixed size, at most 8 MB, says which.
+then, as long as a bucket holds several components, its members with another member
+drawn for it; at last, between members of a bucket that are still in different
+components, all pairs.  The components are therefore those of all candidate links.
+A pair is verified on full sets if the collision-corrected estimate doesn't rule it
+out (`margin` is over five standard errors).  Sets are only made for documents in such
+pairs: a Bloom filter of fixed size, at most 8 MB, says which.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .shared import U64, Words, array_batch, components, mix, plain, shingles, s
 VALUE_BITS = 52
 MANTISSA = 10
 BLOOM_WORDS = 1 << 20
+DRAWS = 2  # rounds with a drawn member before all pairs that are left
 
 
 @dataclass(frozen=True)
@@ -241,36 +243,47 @@ def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg:
     return stored(y.where(both * 100 >= (F.size("x") + F.size("y") - both) * cfg.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
 
-def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row, and the links found between nodes."""
-    rows = stored(rows, f"{name}-sketch")
+def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row, and the links found between nodes.
+
+    keep: a stored table with a row for each sketch and more columns, which the result then has too.
+    """
+    rows = stored(rows, f"{name}-sketch") if keep is None else rows
     light = rows.select("pid", "n", "s1", "s2")
     classes = light.where("n > 0 and pid is not null").groupBy("n", "s1", "s2").agg(F.min("pid").alias("node"), F.max("pid").alias("last")).where("node < last")
-    copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node").distinct(), f"{name}-copies")
+    classes = stored(classes, f"{name}-classes")
+    copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node"), f"{name}-copies")
     reps = stored(rows.where("n > 0 and pid is not null").join(copies, "pid", "left_anti").select("pid", "n", "sig"), f"{name}-reps")
     bands = band_rows(reps, cfg)
     buckets = bands.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("key", "lead")
     inside = stored(bands.join(buckets, "key"), f"{name}-buckets")
 
     met = inside.where("pid <> lead").groupBy("pid", "lead").agg(F.count("*").alias("c"))
-    first = stored(met.groupBy("pid").agg(F.max_by("lead", "c").alias("a")).select("a", F.col("pid").alias("b")), f"{name}-first")
-    edges = verified(likely(first, reps, cfg), sets_of, cfg, f"{name}-links1")
-    part = components(edges, f"{name}-cc1")
-
-    label = inside.join(part.withColumnRenamed("node", "pid"), "pid", "left").select("key", "pid", "n", F.coalesce("component", "pid").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = stored(label.join(mixed, "key"), f"{name}-open")
-    x = rest.select("key", F.col("pid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = rest.select("key", F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    second = x.join(y, "key").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)).select("a", "b").distinct()
-    tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = verified(likely(second.join(tried, ["a", "b"], "left_anti"), reps, cfg), sets_of, cfg, f"{name}-links2")
-
-    links = edges.unionByName(more)
-    groups = components(links, f"{name}-cc2")
-    out = light.select("pid", "n").join(copies, "pid", "left").withColumn("node", F.coalesce("node", "pid"))
+    pairs = met.groupBy("pid").agg(F.max_by("lead", "c").alias("a")).select("a", F.col("pid").alias("b"))
+    tried, links = None, None
+    for step in range(DRAWS + 2):
+        if step:
+            part = components(links, f"{name}-cc{step}")
+            label = inside.select("key", "pid", "n").join(part.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
+            mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("pid", "c"), F.xxhash64("pid", "key", F.lit(step))).alias("drawn")).where("lo < hi").select("key", "drawn")
+            inside = stored(label.join(mixed, "key").select("key", "pid", "n", "c", F.col("drawn.pid").alias("d"), F.col("drawn.c").alias("cd")), f"{name}-open{step}")
+            if step <= DRAWS:
+                pairs = inside.where("c <> cd").select(F.least("pid", "d").alias("a"), F.greatest("pid", "d").alias("b")).distinct()
+            else:
+                x = inside.select("key", F.col("pid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+                y = inside.select("key", F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+                close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent
+                pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"{name}-pairs{step}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = verified(likely(pairs, reps, cfg), sets_of, cfg, f"{name}-links{step}")
+        links = more if links is None else links.unionByName(more)
+
+    groups = components(links, f"{name}-cc")
+    out = (light if keep is None else keep).drop("s1", "s2", "sig").join(copies.distinct(), "pid", "left").withColumn("node", F.coalesce("node", "pid"))
     out = out.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return out.select("pid", "n", "node", "component"), links
+    return out, links
 
 
 def near_documents(docs: DataFrame, cfg: Banding, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

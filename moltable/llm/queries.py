@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, cgk_decontam, neardup, pii_sanitise, quality_crf
+from . import bpe_automaton, cgk_decontam, feistel_shards, merkle_audit, neardup, paragraph_dedup, pii_sanitise, quality_crf, rotation_codes, toxicity_channel
 
 try:
     import public_tokenizers
@@ -40,14 +40,44 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_sanitise.found(table(spark, sf_dir, "documents"))
 
 
+def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = feistel_shards.Layout()
+    return feistel_shards.index(feistel_shards.shards(table(spark, sf_dir, "documents"), layout), layout)
+
+
+def op6_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_channel.CharModel.of(toxicity_channel.count_characters(docs))
+    labels = table(spark, sf_dir, "labels").where(~held_out(4, 2)).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity_channel.scored(docs, model, toxicity_channel.fit(docs, labels, model), ["doc_id"])
+    score = F.col("toxicity")
+    return out.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
+def op9_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits pages against a replica with faults of fixed places: a changed byte in some records, and lost last records of files."""
+    pages = table(spark, sf_dir, "pages")
+    flipped = F.when(F.pmod("page_id", F.lit(97)) == 5, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = pages.where(F.pmod("page_id", F.lit(4096)) != 4095).select("page_id", "url", flipped.alias("html"))
+    return merkle_audit.audit(pages, replica)
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -55,8 +85,36 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_neardup": op1_hyperminhash_neardup,
     "op2_quality_crf": op2_quality_crf,
+    "op3_rotation_codes": op3_rotation_codes,
     "op4_pii_sanitise": op4_pii_sanitise,
+    "op5_feistel_shards": op5_feistel_shards,
+    "op6_toxicity_channel": op6_toxicity_channel,
     "op7_cgk_decontam": op7_cgk_decontam,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
+    "op9_merkle_audit": op9_merkle_audit,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_merkle_audit": r"""
+WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, page_id // 4096 AS file FROM pages WHERE page_id IS NOT NULL
+), damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN '#' || substring(html, 2) ELSE html END AS html, file FROM parts WHERE page_id % 4096 <> 4095
+), both_sides AS (
+  SELECT 'a' AS side, * FROM parts UNION ALL SELECT 'b' AS side, * FROM damaged
+), rec AS (
+  SELECT side, page_id, file, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS body FROM both_sides
+), laid AS (
+  SELECT side, page_id, file, strlen(body) AS len, sha256(body) AS digest FROM rec
+), placed AS (
+  SELECT *, coalesce(sum(len) OVER (PARTITION BY side, file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM laid
+), a AS (SELECT * FROM placed WHERE side = 'a'), b AS (SELECT * FROM placed WHERE side = 'b')
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'added' WHEN a.digest = b.digest THEN 'moved' ELSE 'corrupt' END AS status,
+  CAST(a.off AS BIGINT) AS "offset", CAST(a.len AS BIGINT) AS length, a.digest AS digest,
+  CAST(b.off AS BIGINT) AS replica_offset, CAST(b.len AS BIGINT) AS replica_length, b.digest AS replica_digest
+FROM a FULL JOIN b ON a.page_id = b.page_id
+WHERE a.digest IS DISTINCT FROM b.digest OR a.off IS DISTINCT FROM b.off
+""",
+}
