@@ -1,6 +1,72 @@
-STAGES = []
+"""A cleaning pipeline over documents: quality, near duplicates, benchmark leaks, personal data, token ids.
+
+STAGES lists (name, function) in order.  A function takes (spark, docs, sf_dir) and
+returns a DataFrame; each stage works on all rows its predecessor kept and all but the
+last return the columns of documents.  run() writes every stage as Parquet to the shared
+folder and reads it again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moltable.llm import bpe_automaton, cgk_decontam, neardup, pii_sanitise, quality_crf
+from moltable.llm.queries import VOCABULARY, held_out, table
+from moltable.llm.shared import stored
+
+THRESHOLD = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a quality score of at least THRESHOLD stay; the model learns from labelled rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
+    return quality_crf.scored(docs, quality_crf.fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays; of rows that share an id, one."""
+    out = neardup.near_documents(docs, neardup.Banding(shingle=5))
+    gone = out.where("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = cgk_decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are replaced in the text; n_chars follows."""
+    out = pii_sanitise.sanitised(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): ids as an array, and the digest of the text that they decode to."""
+    out = bpe_automaton.encode_decode(docs, VOCABULARY)
+    ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
+    return out.select("doc_id", "n_tokens", ids.alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("token_ids", token_ids),
+]
+
+#: Learned scores, Viterbi-like walks and tokenisation have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

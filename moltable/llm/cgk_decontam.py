@@ -7,9 +7,11 @@ A key samples some output positions; `repeats` walks with a key each are drawn.
 
 Windows of items start at each of their words, windows of documents at every third
 word, so that an item in a document has several aligned pairs of windows, each with
-`repeats` chances.  A pair with a common key and an output that agrees in most steps
-is checked: the document around the place of the whole item is aligned with the item
-by edit distance, bit-parallel.  At most `edits` of an item's length may differ.
+`repeats` chances.  A pair with a common key goes on if the outputs agree in at least
+`least` steps and in a share of `agree` of those within the item, and if the 60 bytes
+at the window align with at most `near` of them edited.  Then the document around the
+place of the whole item is aligned with the item by edit distance, bit-parallel.  At
+most `edits` of an item's length may differ.
 
 Texts are compared as lower-case A-Z bytes with runs of white space as one space.
 """
@@ -27,23 +29,27 @@ from .shared import SPACE, U64, _LOWER, mix, plain, slices
 
 BLOCK_BYTES = 4 << 20
 FILTER = 1 << 20
+NEAR = 60
 
 
 @dataclass(frozen=True)
 class Walk:
-    steps: int = 36
+    steps: int = 110
+    sampled: int = 36
     samples: int = 10
     repeats: int = 3
     stride: int = 3
     tail: int = 24
-    agree: float = 0.45
+    agree: float = 0.35
+    least: int = 30
+    near: float = 0.4
     edits: float = 0.2
     seed: int = 7
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.Generator(np.random.PCG64(self.seed))
         bits = rng.integers(0, 2, (self.repeats, self.steps, 256), dtype=np.uint8)
-        picks = np.stack([np.sort(rng.choice(self.steps, self.samples, replace=False)) for _ in range(self.repeats)])
+        picks = np.stack([np.sort(rng.choice(self.sampled, self.samples, replace=False)) for _ in range(self.repeats)])
         return bits, picks
 
 
@@ -71,7 +77,7 @@ def word_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def walk(padded: np.ndarray, start: np.ndarray, bits: np.ndarray, picks: np.ndarray, rep: int, whole: bool = False):
     """Key of each window in walk `rep`; with whole, the output of all steps."""
-    at = start.astype(np.int32)
+    at = start.astype(np.intp)
     key = np.zeros(len(at), np.uint64)
     out = np.zeros((len(at), bits.shape[1]), np.uint8) if whole else None
     take = set(picks[rep].tolist())
@@ -175,7 +181,9 @@ class Index:
                 continue
             b = self.order[rep][np.repeat(lo, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
             _, mine = walk(padded, start[a], self.bits, self.picks, rep, True)
-            ok = (mine == self.out[rep][b]).mean(1) >= self.cfg.agree
+            theirs = self.out[rep][b]
+            equal = ((mine == theirs) & (theirs > 0)).sum(1)  # steps within the item only
+            ok = (equal >= self.cfg.least) & (equal >= self.cfg.agree * (theirs > 0).sum(1))
             yield a[ok], b[ok]
 
     def search(self, data: np.ndarray, off: np.ndarray):
@@ -185,11 +193,15 @@ class Index:
         take = number % self.cfg.stride == 0
         start, row = start[take], row[take]
         padded = np.concatenate([text, np.zeros(self.cfg.steps + 1, np.uint8)])
-        wanted = set()
+        wanted: dict[tuple[int, int, int], bool] = {}
         if len(self.of) and len(start):
             for a, b in self.candidates(padded, start):
                 place = (start[a] - self.shift[b] - toff[row[a]]) // 16
-                wanted |= set(zip(row[a].tolist(), self.of[b].tolist(), place.tolist(), strict=True))
+                for r, k, p, s, shift in zip(row[a].tolist(), self.of[b].tolist(), place.tolist(), start[a].tolist(), self.shift[b].tolist(), strict=True):
+                    if not wanted.get((r, k, p)):
+                        part = self.texts[k][shift : shift + NEAR]
+                        most = int(len(part) * self.cfg.near)
+                        wanted[(r, k, p)] = align(part, text[s : min(toff[r + 1], s + len(part) + most)].tobytes(), most) is not None
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
 
         def offer(r: int, k: int, lo: int, piece: bytes, most: int) -> None:
@@ -198,7 +210,7 @@ class Index:
                 d, s, e = got
                 best[(r, k)] = min(best.get((r, k), (1 << 30, 0, 0)), (d, int(lo + s), int(lo + e)))
 
-        for r, k, place in sorted(wanted):
+        for r, k, place in sorted(w for w, ok in wanted.items() if ok):
             item = self.texts[k]
             most = int(len(item) * self.cfg.edits)
             if best.get((r, k), (1,))[0] == 0:
