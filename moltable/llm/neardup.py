@@ -9,12 +9,15 @@ densification).  Bands of `rows` registers are hashed to keys.
 Exact copies of a set are put together first, one of each class goes on.  Candidate
 pairs come in rounds, so that a group of g near copies costs about g pairs and not
 g * g: first each member of a bucket with the one bucket leader it meets most often;
-then, as long as a bucket holds several components, its members with another member
-drawn for it; at last, between members of a bucket that are still in different
-components, all pairs.  The components are therefore those of all candidate links.
-A pair is verified on full sets if the collision-corrected estimate doesn't rule it
-out (`margin` is over five standard errors).  Sets are only made for documents in such
-pairs: a Bloom filter of fixed size, at most 8 MB, says which.
+then, where a bucket still holds several components, its members with another member
+drawn for it.  Such pairs are verified on full sets if the collision-corrected estimate
+doesn't rule them out (`margin` is over five standard errors).  What is left are
+members of one bucket that belong to different components, mostly just under the
+threshold; these are compared on full sets block against block, in blocks of bounded
+size, and only links leave a block.  So the components are those of all candidate links.
+
+Sets are only made for documents in such pairs and blocks: a Bloom filter of fixed size,
+at most 8 MB, says which.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from .shared import U64, Words, array_batch, components, mix, plain, shingles, s
 VALUE_BITS = 52
 MANTISSA = 10
 BLOOM_WORDS = 1 << 20
-DRAWS = 2  # rounds with a drawn member before all pairs that are left
+DRAWS = 1  # rounds with a drawn member before the block comparison
+BLOCK_SETS = 512
+BLOCK_VALUES = 400_000
 
 
 @dataclass(frozen=True)
@@ -243,6 +248,71 @@ def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg:
     return stored(y.where(both * 100 >= (F.size("x") + F.size("y") - both) * cfg.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
 
+def _hooked(label: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """(pid, c): labels after more links (u, v): every label hooks on to the smallest one it is linked with, and
+    once more on to that one's.  Equal labels are one component; one component may still have several."""
+    if label is None:
+        edge = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
+    else:
+        cu, cv = label.select(F.col("pid").alias("u"), F.col("c").alias("cu")), label.select(F.col("pid").alias("v"), F.col("c").alias("cv"))
+        both = links.join(cu, "u", "left").join(cv, "v", "left").select(F.coalesce("cu", "u").alias("p"), F.coalesce("cv", "v").alias("q"))
+        edge = both.where("p <> q").select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))
+    up = stored(edge.groupBy("x").agg(F.min("y").alias("y")), name)
+    up = up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("c"), F.coalesce("z", "y").alias("top"))
+    if label is None:
+        return stored(up.select(F.col("c").alias("pid"), F.col("top").alias("c")), name)
+    old = label.join(up, "c", "left").select("pid", F.coalesce("top", "c").alias("c"))
+    fresh = up.select(F.col("c").alias("pid"), F.col("top").alias("c")).join(label.select("pid"), "pid", "left_anti")
+    return stored(old.unionByName(fresh), name)
+
+
+def _block_links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
+    """Links (u, v) between members of one bucket that are of different components; rows: (key, pid, n, c).
+
+    For each bucket its most frequent component is m; the members of m, and those of other components that
+    meet m in a bucket, are dealt to blocks.  Blocks of the others are compared with each other and with those of m.
+    """
+    mode = rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("m"))
+    part = rows.join(mode, "key").select("m", "pid", "n", "c", (F.col("c") != F.col("m")).alias("other")).distinct()
+    part = stored(part, f"{name}-parts")
+    blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, 1).otherwise(0)) / BLOCK_SETS), F.ceil(F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_VALUES)).cast("int")
+    size = part.groupBy("m").agg(blocks(~F.col("other")).alias("nm"), blocks(F.col("other")).alias("ns"))
+    dealt = part.join(size, "m").withColumn("r", F.when(F.col("other"), F.col("nm") + F.pmod(F.xxhash64("pid"), "ns")).otherwise(F.pmod(F.xxhash64("pid"), "nm")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.when(F.col("other"), 0).otherwise(F.col("nm")), F.col("nm") + F.col("ns") - 1)))
+    sets = sets_of(bloom(part.select("pid").distinct()))
+    both = dealt.join(sets, "pid").select("m", F.least("r", "t").alias("p"), F.greatest("r", "t").alias("q"), "r", "pid", "c", "set")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def side(t: pa.Table):
+        lists = t.column("set").combine_chunks()
+        value = lists.flatten().to_numpy(zero_copy_only=False)
+        n = np.asarray(lists.value_lengths())
+        return np.asarray(t.column("pid")), np.asarray(t.column("c")), n, value, np.repeat(np.arange(len(n)), n)
+
+    def compare(t: pa.Table) -> pa.Table:
+        r, p, q = (np.asarray(t.column(c)) for c in "rpq")
+        a = side(t.filter(pa.array(r == p[0])))
+        b = a if p[0] == q[0] else side(t.filter(pa.array(r == q[0])))
+        code = np.intersect1d(a[3], b[3])
+        inter = np.zeros((len(a[0]), len(b[0])), np.float32)
+        at = [np.searchsorted(code, x[3]) for x in (a, b)]
+        ok = [(i < len(code)) & (code[np.minimum(i, len(code) - 1)] == x[3]) if len(code) else np.zeros(len(i), bool) for i, x in zip(at, (a, b), strict=True)]
+        for lo in range(0, len(code), 4096):
+            dense = []
+            for x, i, good in zip((a, b), at, ok, strict=True):
+                here = good & (i >= lo) & (i < lo + 4096)
+                d = np.zeros((len(x[0]), min(4096, len(code) - lo)), np.float32)
+                d[x[4][here], i[here] - lo] = 1
+                dense.append(d)
+            inter += dense[0] @ dense[1].T
+        inter = inter.astype(np.int64)
+        hit = (100 * inter >= cfg.percent * (a[2][:, None] + b[2][None, :] - inter)) & (a[1][:, None] != b[1][None, :])
+        x, y = np.nonzero(hit)
+        return pa.Table.from_batches([array_batch(schema, a[0][x], b[0][y])])
+
+    return stored(both.groupBy("m", "p", "q").applyInArrow(compare, "u long, v long").distinct(), f"{name}-blocklinks")
+
+
 def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row, and the links found between nodes.
 
@@ -260,21 +330,19 @@ def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
 
     met = inside.where("pid <> lead").groupBy("pid", "lead").agg(F.count("*").alias("c"))
     pairs = met.groupBy("pid").agg(F.max_by("lead", "c").alias("a")).select("a", F.col("pid").alias("b"))
-    tried, links = None, None
+    tried, links, label = None, None, None
     for step in range(DRAWS + 2):
         if step:
-            part = components(links, f"{name}-cc{step}")
-            label = inside.select("key", "pid", "n").join(part.withColumnRenamed("node", "pid"), "pid", "left").withColumn("c", F.coalesce("component", "pid"))
-            mixed = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("pid", "c"), F.xxhash64("pid", "key", F.lit(step))).alias("drawn")).where("lo < hi").select("key", "drawn")
-            inside = stored(label.join(mixed, "key").select("key", "pid", "n", "c", F.col("drawn.pid").alias("d"), F.col("drawn.c").alias("cd")), f"{name}-open{step}")
-            if step <= DRAWS:
-                pairs = inside.where("c <> cd").select(F.least("pid", "d").alias("a"), F.greatest("pid", "d").alias("b")).distinct()
-            else:
-                x = inside.select("key", F.col("pid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-                y = inside.select("key", F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-                close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent
-                pairs = x.join(y, "key").where((F.col("ca") < F.col("cb")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            label = _hooked(label, more, f"{name}-label{step}")
+            known = inside.select("key", "pid", "n").join(label, "pid", "left").withColumn("c", F.coalesce("c", "pid"))
+            mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("pid", "c"), F.xxhash64("pid", "key", F.lit(step))).alias("drawn")).where("lo < hi").select("key", "drawn")
+            inside = stored(known.join(mixed, "key").select("key", "pid", "n", "c", F.col("drawn.pid").alias("d"), F.col("drawn.c").alias("cd")), f"{name}-open{step}")
+            if inside.isEmpty():
+                break
+            if step > DRAWS:
+                links = links.unionByName(_block_links(inside, sets_of, cfg, name))
+                break
+            pairs = inside.where("c <> cd").select(F.least("pid", "d").alias("a"), F.greatest("pid", "d").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"{name}-pairs{step}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = verified(likely(pairs, reps, cfg), sets_of, cfg, f"{name}-links{step}")
