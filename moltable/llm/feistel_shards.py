@@ -23,12 +23,13 @@ from .shared import U64, array_batch, mix, plain, slices, stored
 
 END_OF_TEXT = 256
 PAD = 257
+BROADCAST_ROWS = 2_000_000  # of (doc_id, first), 16 bytes each; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
 class Layout:
     tokens: int = 2048
-    per_shard: int = 512
+    per_shard: int = 128
     key: int = 0x5EED
     rounds: int = 4
 
@@ -150,9 +151,12 @@ def shards(docs: DataFrame, cfg: Layout = Layout()) -> DataFrame:
         if held:
             yield row()
 
+    first = stored(first, "slot-numbers")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     placed = sequences(docs, cfg).join(first, "doc_id").select("doc_id", "seq", "n_tokens", "body", "first")
     placed = placed.mapInArrow(place, "shard long, slot long, doc_id long, seq long, n_tokens long, body binary")
-    return stored(placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(write, SHARD_DDL), "shards")
+    return stored(placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(write, SHARD_DDL), "shards", "zstd")
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -212,9 +212,11 @@ def band_rows(reps: DataFrame, cfg: Banding) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, cfg: Banding) -> DataFrame:
-    """Of pairs (a, b) those that the estimate doesn't rule out."""
+    """Of pairs (a, b) those that the estimate doesn't rule out; all of them where the sketch is too coarse for one (margin 1)."""
     left = reps.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
     right = reps.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
+    if cfg.margin >= 1:
+        return pairs
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
