@@ -12,11 +12,16 @@ def number(c) -> Column:
     return c.cast("double") if isinstance(c, Column) else F.lit(float(c))
 
 
+def negative(c: Column) -> Column:
+    """The sign bit, also of a zero: only its text tells it in Spark."""
+    return F.startswith(c.cast("string"), F.lit("-"))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Infinities and NaN instead of an error."""
     a, b = number(a), number(b)
     plain = a / F.when(b != 0, b)
-    return F.when(b != 0, plain).when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when((a > 0) == (F.atan2(b, F.lit(-1.0)) > 0), F.lit(INF)).otherwise(F.lit(-INF))
+    return F.when(b != 0, plain).when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when((a > 0) != negative(b), F.lit(INF)).otherwise(F.lit(-INF))
 
 
 def minimum(a: Column, b: Column) -> Column:
@@ -34,7 +39,7 @@ def clamp(a: Column, lo: Column, hi: Column) -> Column:
 
 def signum(a: Column) -> Column:
     """1 or -1 by the sign bit, also of a zero; NaN stays."""
-    return F.when(F.isnan(a), a).when(F.atan2(a, F.lit(-1.0)) >= 0, 1.0).otherwise(-1.0)
+    return F.when(F.isnan(a), a).when(negative(a), -1.0).otherwise(1.0)
 
 
 def copysign(a: Column, b: Column) -> Column:

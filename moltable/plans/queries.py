@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import tensor
 from ..model import degrees
-from ..operators import composition, fingerprint, geometry, isomorphism, lattice, notation, topology, valence
+from ..operators import composition, fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
+from ..sources import xyz
+from ..storage import stored
 from .projection import CTE, bonds, molecules, sites, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +656,68 @@ def tensor_ops(spark, sf_dir):
     u, n = geometry.vector(), (F.lit(0.6), F.lit(0.8), F.lit(0.0))
     r, t = tensor.reflect(u, n), tensor.apply(tensor.rotation_z(F.lit(0.5)), u)
     return sites(spark, sf_dir).select("mol_id", "site_id", F.round(tensor.dot(u, n), 6).alias("along"), F.round(r[0], 6).alias("rx"), F.round(r[1], 6).alias("ry"), F.round(t[0], 6).alias("tx"), F.round(t[1], 6).alias("ty"))
+
+
+def _packed(spark, sf_dir):
+    s, b = molecules(spark, sf_dir)
+    return kernels.packed(s, b, "element", "formal_charge", "radical_electrons")
+
+
+@query("rings_mcb", CTE + _REACH + """, cc AS (SELECT mol_id, count(DISTINCT c) AS c FROM (SELECT mol_id, a, min(b) AS c FROM dist GROUP BY ALL) AS x GROUP BY mol_id)
+, v AS (SELECT mol_id, count(*) AS v FROM sites GROUP BY mol_id), e AS (SELECT mol_id, count(*) AS e FROM bonds GROUP BY mol_id)
+SELECT v.mol_id, e - v + c AS rings FROM v JOIN cc USING (mol_id) JOIN e USING (mol_id) WHERE e - v + c > 0""")
+def rings_mcb(spark, sf_dir):
+    """Basis rings counted: as many as the cycle rank."""
+    return kernels.rings(_packed(spark, sf_dir)).groupBy("mol_id").agg(F.count("*").alias("rings"))
+
+
+@query("ring_systems")
+def ring_systems(spark, sf_dir):
+    return kernels.ring_systems(stored(kernels.rings(_packed(spark, sf_dir)), "rings"))
+
+
+@query("bridgeheads")
+def bridgeheads(spark, sf_dir):
+    s, b = molecules(spark, sf_dir)
+    return kernels.bridgeheads(stored(kernels.rings(kernels.packed(s, b)), "rings"), b)
+
+
+@query("ring_families")
+def ring_families(spark, sf_dir):
+    return kernels.ring_families(_packed(spark, sf_dir)).select("mol_id", "size", "cycles", F.array_join(F.transform("sites", lambda v: v.cast("string")), "-").alias("sites"))
+
+
+@query("kekulize")
+def kekulize(spark, sf_dir):
+    """Ring bonds between carbon and nitrogen are made aromatic first."""
+    s, b = molecules(spark, sf_dir)
+    cn = s.where("element in (6, 7)").select("mol_id", "site_id")
+    both = topology.ring_membership(b).where("in_ring").join(cn.withColumnRenamed("site_id", "a"), ["mol_id", "a"]).join(cn.withColumnRenamed("site_id", "b"), ["mol_id", "b"]).select("mol_id", "bond_id", F.lit(True).alias("soft"))
+    b = b.join(both, ["mol_id", "bond_id"], "left").withColumn("bond_order", F.when(F.col("soft"), 7).otherwise(F.col("bond_order"))).drop("soft")
+    return kernels.kekulize(kernels.packed(s, b, "element", "formal_charge", "radical_electrons"))
+
+
+@query("aromatic_bonds")
+def aromatic_bonds(spark, sf_dir):
+    return kernels.aromatic_bonds(_packed(spark, sf_dir))
+
+
+@query("canonical_classes")
+def canonical_classes(spark, sf_dir):
+    return kernels.canonicalize(_packed(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("n"), F.min("mol_id").alias("first"))
+
+
+@query("orbits")
+def orbits(spark, sf_dir):
+    return kernels.orbits(_packed(spark, sf_dir))
+
+
+@query("dfs_reach", CTE + _REACH + " SELECT mol_id, b AS site_id FROM dist WHERE a = 1")
+def dfs_reach(spark, sf_dir):
+    return kernels.dfs(_packed(spark, sf_dir)).select("mol_id", "site_id")
+
+
+@query("xyz_roundtrip", CTE + " SELECT mol_id, site_id, CAST(element AS INT) AS element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sites")
+def xyz_roundtrip(spark, sf_dir):
+    text = xyz.lines(sites(spark, sf_dir)).select(F.col("mol_id").cast("string").alias("path"), "value")
+    return xyz.parse(text).select(F.col("path").cast("long").alias("mol_id"), "site_id", "element", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
