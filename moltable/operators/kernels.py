@@ -458,3 +458,70 @@ def _dfs(sites, bonds):
 def dfs(mols: DataFrame) -> DataFrame:
     """(mol_id, site_id, position) from each molecule's first site; a neighbour counts as seen once it is on the stack."""
     return per_molecule(mols, _dfs, "site_id long, position long")
+
+
+def common_bonds(g: Graph, h: Graph, same_site, same_bond) -> int:
+    """Bonds of the largest connected set that both graphs share.
+
+    Sets of bonds of g grow by one neighbouring bond at a time; a set goes on with all its embeddings in h,
+    each a map of sites, and is dropped when none is left.
+    """
+    best = 0
+    level: dict[int, set[tuple[tuple[int, int], ...]]] = {}
+    for i, b in enumerate(g.bonds):
+        maps = set()
+        for c in h.bonds:
+            if same_bond(b, c):
+                for x, y in ((c["a"], c["b"]), (c["b"], c["a"])):
+                    if same_site(b["a"], x) and same_site(b["b"], y):
+                        maps.add(tuple(sorted(((b["a"], x), (b["b"], y)))))
+        if maps:
+            level[1 << i] = maps
+    while level:
+        best += 1
+        after: dict[int, set[tuple[tuple[int, int], ...]]] = {}
+        for mask, maps in level.items():
+            inside = {s for s, _ in next(iter(maps))}
+            for i in {i for s in inside for _, i in g.at[s] if not mask >> i & 1}:
+                if mask | 1 << i in after:
+                    continue
+                b, grown = g.bonds[i], set()
+                for m in maps:
+                    image = dict(m)
+                    for s, t in ((b["a"], b["b"]), (b["b"], b["a"])):
+                        if s not in image:
+                            continue
+                        for y, j in h.at[image[s]]:
+                            if same_bond(b, h.bonds[j]) and (image.get(t) == y or t not in image and y not in image.values() and same_site(t, y)):
+                                grown.add(tuple(sorted({**image, t: y}.items())))
+                        if t in image:
+                            break
+                if grown:
+                    after[mask | 1 << i] = grown
+        level = after
+    return best
+
+
+def common_substructure(pairs: DataFrame, mols: DataFrame) -> DataFrame:
+    """(a, b, bonds): size of the maximum connected common substructure of pairs (a, b) of packed molecules.
+
+    Elements and bond orders must be equal.  Bonds of the smaller molecule are grown; the search is exponential
+    in its size in the worst case.
+    """
+    side = lambda k: mols.select(F.col("mol_id").alias(k), F.col("sites").alias(f"s{k}"), F.col("bonds").alias(f"b{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "ba", "sb", "bb")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bonds", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for m in batch.to_pylist():
+                g, h = Graph(m["sa"], m["ba"] or []), Graph(m["sb"], m["bb"] or [])
+                kinds, others = ({s["site_id"]: s["element"] for s in m[k]} for k in ("sa", "sb"))
+                if len(g.bonds) > len(h.bonds):
+                    g, h, kinds, others = h, g, others, kinds
+                rows.append((m["a"], m["b"], common_bonds(g, h, lambda x, y, k=kinds, o=others: k[x] == o[y], lambda p, q: p["bond_order"] == q["bond_order"])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, "a long, b long, bonds long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import tensor
 from ..model import degrees
-from ..operators import composition, fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
+from ..operators import composition, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
 from ..sources import xyz
 from ..storage import stored
 from .projection import CTE, bonds, molecules, sites, table
@@ -154,9 +154,7 @@ def steric_number(spark, sf_dir):
 SELECT mol_id, site_id, geometry_name FROM st JOIN t ON st.d = t.d AND st.k = t.k""",
 )
 def vsepr(spark, sf_dir):
-    steric = valence.steric_numbers(*molecules(spark, sf_dir))
-    dim = F.broadcast(dims.vsepr(spark))
-    return steric.join(dim, (F.col("steric_number") == F.col("domains")) & (F.col("degree") == F.col("coordination"))).select("mol_id", "site_id", "geometry_name")
+    return coordination.perceive(valence.steric_numbers(*molecules(spark, sf_dir))).select("mol_id", "site_id", "geometry_name")
 
 
 @query("bond_order_number", CTE + " SELECT mol_id, bond_id, CAST(bond_order AS DOUBLE) AS value FROM bonds")
@@ -721,3 +719,22 @@ def dfs_reach(spark, sf_dir):
 def xyz_roundtrip(spark, sf_dir):
     text = xyz.lines(sites(spark, sf_dir)).select(F.col("mol_id").cast("string").alias("path"), "value")
     return xyz.parse(text).select(F.col("path").cast("long").alias("mol_id"), "site_id", "element", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
+
+
+@query("mcs_size")
+def mcs_size(spark, sf_dir):
+    """Each molecule of up to six sites with the next such one."""
+    s, b = molecules(spark, sf_dir)
+    small = s.groupBy("mol_id").agg(F.count("*").alias("n")).where("n between 2 and 6").select("mol_id")
+    mols = stored(kernels.packed(s.join(small, "mol_id", "left_semi"), b.join(small, "mol_id", "left_semi"), "element"), "mcs")
+    return kernels.common_substructure(_consecutive(mols), mols)
+
+
+@query("departures")
+def departures(spark, sf_dir):
+    return coordination.departures(*molecules(spark, sf_dir)).withColumn("departure", F.round("departure", 6))
+
+
+@query("nearest_geometry")
+def nearest_geometry(spark, sf_dir):
+    return coordination.nearest(coordination.departures(*molecules(spark, sf_dir))).withColumn("departure", F.round("departure", 6))

@@ -337,3 +337,37 @@ def test_queries_against_sql(spark, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() == 1473
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_common_substructure(spark):
+    toluene = with_hydrogens([*ring_of(6, [1, 2] * 3)[0], (7, "C", 0, 0)], [*ring_of(6, [1, 2] * 3)[1], (1, 7, 1)], range(2, 7))
+    benzene = with_hydrogens(*ring_of(6, [1, 2] * 3), range(1, 7))
+    chain = ([(1, "C", 0, 0), (2, "C", 0, 0), (3, "O", 0, 0)], [(1, 2, 1), (2, 3, 1)])
+    lone = ([(1, "C", 0, 0)], [])
+    s, b = tables(spark, dict(enumerate([toluene, benzene, chain, lone])))
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (2, 2), (0, 2), (2, 3)], "a long, b long")
+    got = {(r.a, r.b): r.bonds for r in kernels.common_substructure(pairs, kernels.packed(s, b, "element")).collect()}
+    assert got == {(0, 1): 11, (1, 0): 11, (2, 2): 2, (0, 2): 1, (2, 3): 0}
+
+
+def test_departures_of_ideal_sites(spark):
+    from moltable.operators import coordination
+
+    rng = random.Random(4)
+    s, b = [], []
+    for m, (name, *_) in enumerate(dims.GEOMETRIES):
+        slots = list(coordination.DIRECTIONS[name])
+        rng.shuffle(slots)
+        c, t = math.cos(1.1 + m), math.sin(1.1 + m)
+        s.append((m, 1, 1.0, 2.0, 3.0))
+        for k, (x, y, z) in enumerate(slots, 2):
+            r = rng.uniform(0.8, 2) / math.sqrt(x * x + y * y + z * z)
+            s.append((m, k, 1 + r * (c * x - t * y), 2 + r * (t * x + c * y), 3 + r * z))
+            b.append((m, k, 1, k))
+    s.append((99, 1, 0.0, 0.0, 0.0))
+    s += [(99, k, float(k - 2), 0.0, 0.0) for k in (2, 3)]
+    b += [(99, k, 1, k) for k in (2, 3)]
+    sites = spark.createDataFrame(s, "mol_id long, site_id long, x double, y double, z double")
+    got = {(r.mol_id, r.site_id): r for r in coordination.nearest(coordination.departures(sites, spark.createDataFrame(b, "mol_id long, bond_id long, a long, b long"))).collect()}
+    assert {m: got[(m, 1)].geometry for m in range(13)} == {m: m for m in range(13)} and (99, 1) not in got
+    assert max(got[(m, 1)].departure for m in range(13)) < 1e-6
