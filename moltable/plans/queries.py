@@ -241,7 +241,7 @@ def bfs_depths(spark, sf_dir):
     return topology.bfs(s, b, s.select("mol_id").distinct().withColumn("start", F.lit(1).cast("long")))
 
 
-_PATHS = _REACH + """, ends AS (SELECT mol_id, 1 AS a, max(site_id) AS b FROM sites GROUP BY mol_id)
+_PATHS = _REACH + """, ends AS (SELECT mol_id, CAST(1 AS BIGINT) AS a, max(site_id) AS b FROM sites GROUP BY mol_id)
 , goal AS (SELECT e.mol_id, e.a, e.b, d.d FROM ends e JOIN dist d USING (mol_id, a, b))
 , walk AS (SELECT mol_id, a, b, b AS at, d, [b] AS path FROM goal UNION ALL
     SELECT w.mol_id, w.a, w.b, i.nbr, w.d - 1, list_prepend(i.nbr, w.path) FROM walk w JOIN inc i ON i.mol_id = w.mol_id AND i.site_id = w.at JOIN dist d ON d.mol_id = w.mol_id AND d.a = w.a AND d.b = i.nbr AND d.d = w.d - 1 WHERE w.d > 0)"""
