@@ -1,10 +1,12 @@
 """Repeated paragraphs across documents: MinHash banding, exact Jaccard, removal by components.
 
-A paragraph is a line of at least `min_words` words.  Its set of word shingles is
+A paragraph is a line of at least MATCH_WORDS words.  Its set of word shingles is
 sketched and banded like a document's; bands of few rows make the recall at the
 threshold high, as unrelated paragraphs share next to no five-word runs.  Colliding
 paragraphs are verified on full sets, and of each component the first paragraph, by
-document and place, is kept.
+document and place, is kept.  Passages may run over several lines: what is reported are
+runs of consecutive matched paragraphs that hold at least `min_words` words together,
+so that a repeated heading or notice alone is none.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import neardup
 from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
 
+MATCH_WORDS = 8
 MIN_WORDS = 50
-BANDING = neardup.Banding(bins=42, rows=3, bands=14, shingle=5, margin=1.0)  # misses 4e-5 of pairs at 0.8
-SCHEMA = pa.schema([*neardup.SKETCH, ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())])
-DDL = neardup.SKETCH_DDL + ", doc_id long, start long, end long, n_words long"
+BANDING = neardup.Banding(bins=36, rows=3, bands=12, shingle=5, margin=1.0)  # misses 2e-4 of pairs at 0.8
+SCHEMA = pa.schema([*neardup.SKETCH, ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("line", pa.int64())])
+DDL = neardup.SKETCH_DDL + ", doc_id long, start long, end long, n_words long, line long"
 
 
 def paragraphs(data: np.ndarray, off: np.ndarray, min_words: int):
@@ -42,17 +45,18 @@ def paragraphs(data: np.ndarray, off: np.ndarray, min_words: int):
 
 
 def _sets(batch: pa.RecordBatch, min_words: int, shingle: int) -> Iterator:
-    """(pid, doc_id, data, offsets, row, start, end, words, values, paragraph of each value) for up to 4000 paragraphs at a time."""
+    """(pid, doc_id, data, offsets, row, start, end, words, number in the row, values, paragraph of each value) for up to 4000 paragraphs at a time."""
     ids = np.asarray(batch.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), np.int64)
     for a, _, data, off in slices(batch.column(1)):
         words, of, row, start, end, size = paragraphs(data, off, min_words)
+        line = np.arange(len(row)) - np.searchsorted(row, row)
         for k in range(0, len(row), 4000):
             own = slice(k, min(k + 4000, len(row)))
             here = slice(*np.searchsorted(of, [own.start, own.stop]))
             value, para = neardup.value_sets(words[here], of[here] - k, own.stop - k, shingle)
             doc = ids[a + row[own]]
             pid = signed(mix(mix(doc.view(U64), 1) + (start[own] - off[row[own]]).astype(U64), 2))
-            yield pid, a + row[own], data, off, row[own], start[own], end[own], size[own], value, para
+            yield pid, a + row[own], data, off, row[own], start[own], end[own], size[own], line[own], value, para
 
 
 def sketch_paragraphs(docs: DataFrame, min_words: int, cfg: neardup.Banding) -> DataFrame:
@@ -60,11 +64,11 @@ def sketch_paragraphs(docs: DataFrame, min_words: int, cfg: neardup.Banding) ->
 
     def run(batches):
         for batch in batches:
-            for pid, at, data, off, row, start, end, size, value, para in _sets(batch, min_words, cfg.shingle):
+            for pid, at, data, off, row, start, end, size, line, value, para in _sets(batch, min_words, cfg.shingle):
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 base = point[off[row]]
                 sketch = neardup.sketch_columns(value, para, len(pid), cfg.bins)
-                yield array_batch(SCHEMA, pid, *sketch, batch.column(0).take(pa.array(at)), point[start] - base, point[end] - base, size)
+                yield array_batch(SCHEMA, pid, *sketch, batch.column(0).take(pa.array(at)), point[start] - base, point[end] - base, size, line)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, DDL)
 
@@ -85,21 +89,24 @@ def paragraph_set_rows(docs: DataFrame, min_words: int, cfg: neardup.Banding):
     return make
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
-    """(doc_id, start, end, n_words, component_id, kept): the paragraphs that have a near copy.
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING, match_words: int = MATCH_WORDS) -> DataFrame:
+    """(doc_id, start, end, n_words, component_id, kept): paragraphs with a near copy, in runs of min_words words or more.
 
     component_id is the smallest doc_id of the component; kept is true for its first paragraph
-    by (doc_id, start).  Paragraphs of fewer than min_words words, and null, empty or blank
-    texts, give no rows; nor do documents of a null id.  Repeated rows of one document are one.
+    by (doc_id, start).  Lines of fewer than match_words words neither match nor break a run.  Null,
+    empty or blank texts give no rows; nor do documents of a null id.  Repeated rows of one document are one.
     """
     docs = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    rows = stored(sketch_paragraphs(docs, min_words, cfg), "para-rows")
-    got, _ = neardup.near_classes(rows.select(*neardup.SKETCH.names), paragraph_set_rows(docs, min_words, cfg), cfg, "para", keep=rows)
+    rows = stored(sketch_paragraphs(docs, match_words, cfg), "para-rows")
+    got, _ = neardup.near_classes(rows.select(*neardup.SKETCH.names), paragraph_set_rows(docs, match_words, cfg), cfg, "para", keep=rows)
+    got = stored(got.select("doc_id", "start", "end", "n_words", "line", "component").dropDuplicates(["doc_id", "line"]), "para-members")
     many = got.groupBy("component").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "start")).alias("f")).where("m > 1")
     many = stored(many, "para-components")
     first = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") == F.col("f.start"))
-    out = got.join(many, "component").select("doc_id", "start", "end", "n_words", F.col("f.doc_id").alias("component_id"), first.alias("kept"))
-    return out
+    out = got.join(many, "component").select("doc_id", "start", "end", "n_words", "line", F.col("f.doc_id").alias("component_id"), first.alias("kept"))
+    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    out = out.withColumn("run", run).withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    return out.where(F.col("total") >= min_words).drop("line", "run", "total")
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
