@@ -516,10 +516,10 @@ def centroid(spark, sf_dir):
     return geometry.centers(sites(spark, sf_dir)).select("mol_id", *_three(spark, sf_dir, ["cx", "cy", "cz"]))
 
 
-@query("center_of_mass", CTE + " SELECT mol_id, round(sum(mass_number * x) / sum(mass_number), 5) AS cx, round(sum(mass_number * y) / sum(mass_number), 5) AS cy, round(sum(mass_number * z) / sum(mass_number), 5) AS cz FROM sites GROUP BY mol_id")
+@query("center_of_mass", CTE + " SELECT mol_id, " + ", ".join(f"round(sum(mass_number * {k}) / sum(mass_number) + 0.0000003, 5) AS c{k}" for k in "xyz") + " FROM sites GROUP BY mol_id")
 def center_of_mass(spark, sf_dir):
     s = sites(spark, sf_dir).withColumn("mass", F.col("mass_number").cast("double"))
-    return geometry.centers(s, "mass").select("mol_id", *_three(spark, sf_dir, ["cx", "cy", "cz"]))
+    return geometry.centers(s, "mass").select("mol_id", *(F.round(F.col(f"c{k}") + 0.0000003, 5).alias(f"c{k}") for k in "xyz"))
 
 
 _COV = """, m AS (SELECT mol_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM sites GROUP BY mol_id)
