@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import tensor
 from ..model import degrees
-from ..operators import composition, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
+from ..operators import composition, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
 from ..sources import xyz
 from ..storage import stored
 from .projection import CTE, bonds, molecules, sites, table
@@ -738,3 +738,44 @@ def departures(spark, sf_dir):
 @query("nearest_geometry")
 def nearest_geometry(spark, sf_dir):
     return coordination.nearest(coordination.departures(*molecules(spark, sf_dir))).withColumn("departure", F.round("departure", 6))
+
+
+@query(
+    "stereo_tetrahedral",
+    CTE + """, n AS (SELECT i.mol_id, i.site_id, s.x, s.y, s.z, row_number() OVER (PARTITION BY i.mol_id, i.site_id ORDER BY i.nbr) AS k, count(*) OVER (PARTITION BY i.mol_id, i.site_id) AS c
+  FROM inc i JOIN sites s ON s.mol_id = i.mol_id AND s.site_id = i.nbr)
+, f AS (SELECT p.mol_id, p.site_id, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, r.x - p.x AS bx, r.y - p.y AS b_y, r.z - p.z AS bz, s.x - p.x AS cx, s.y - p.y AS cy, s.z - p.z AS cz
+  FROM n p JOIN n q USING (mol_id, site_id) JOIN n r USING (mol_id, site_id) JOIN n s USING (mol_id, site_id) WHERE p.c = 4 AND p.k = 1 AND q.k = 2 AND r.k = 3 AND s.k = 4)
+, v AS (SELECT mol_id, site_id, (ax * (b_y * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - b_y * cx)) / 6 AS v FROM f)
+SELECT mol_id, site_id, CASE WHEN abs(v) >= 1e-9 THEN CAST(sign(v) AS INT) END AS parity FROM v""",
+)
+def stereo_tetrahedral(spark, sf_dir):
+    return stereo.tetrahedral(*molecules(spark, sf_dir))
+
+
+@query(
+    "stereo_double_bonds",
+    CTE + """, d AS (SELECT b.mol_id, b.bond_id, b.a, b.b, (SELECT min(nbr) FROM inc i WHERE i.mol_id = b.mol_id AND i.site_id = b.a AND i.nbr <> b.b) AS s,
+    (SELECT min(nbr) FROM inc i WHERE i.mol_id = b.mol_id AND i.site_id = b.b AND i.nbr <> b.a) AS t FROM bonds b WHERE bond_order = 2)
+, p AS (SELECT d.mol_id, d.bond_id, q.x - o.x AS ex, q.y - o.y AS ey, q.z - o.z AS ez, u.x - o.x AS ux, u.y - o.y AS uy, u.z - o.z AS uz, w.x - q.x AS wx, w.y - q.y AS wy, w.z - q.z AS wz FROM d
+  JOIN sites o ON o.mol_id = d.mol_id AND o.site_id = d.a JOIN sites q ON q.mol_id = d.mol_id AND q.site_id = d.b JOIN sites u ON u.mol_id = d.mol_id AND u.site_id = d.s JOIN sites w ON w.mol_id = d.mol_id AND w.site_id = d.t)
+, v AS (SELECT mol_id, bond_id, (uy * ez - uz * ey) * (wy * ez - wz * ey) + (uz * ex - ux * ez) * (wz * ex - wx * ez) + (ux * ey - uy * ex) * (wx * ey - wy * ex) AS v FROM p)
+SELECT mol_id, bond_id, CASE WHEN abs(v) >= 1e-9 THEN CAST(sign(v) AS INT) END AS side FROM v""",
+)
+def stereo_double_bonds(spark, sf_dir):
+    return stereo.double_bonds(*molecules(spark, sf_dir))
+
+
+@query(
+    "stereo_consistency",
+    CTE + """, declared AS (SELECT mol_id, 0 AS locus_kind, site_id AS locus_id FROM sites WHERE l_partkey % 5 = 0)
+, detected AS (SELECT mol_id, 0 AS locus_kind, site_id AS locus_id FROM inc GROUP BY mol_id, site_id HAVING count(*) >= 3)
+SELECT *, 'unspecified' AS finding FROM (SELECT * FROM detected EXCEPT SELECT * FROM declared) AS x
+UNION ALL SELECT *, 'overspecified' FROM (SELECT * FROM declared EXCEPT SELECT * FROM detected) AS y""",
+)
+def stereo_consistency(spark, sf_dir):
+    """Declared: sites by a rule on the test data; detected: sites of three neighbours or more."""
+    s, b = molecules(spark, sf_dir)
+    declared = s.where("l_partkey % 5 = 0").select("mol_id", F.lit(0).alias("locus_kind"), F.col("site_id").alias("locus_id"))
+    detected = degrees(s, b).where("degree >= 3").select("mol_id", F.lit(0).alias("locus_kind"), F.col("site_id").alias("locus_id"))
+    return stereo.consistency(declared, detected)

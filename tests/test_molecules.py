@@ -371,3 +371,24 @@ def test_departures_of_ideal_sites(spark):
     got = {(r.mol_id, r.site_id): r for r in coordination.nearest(coordination.departures(sites, spark.createDataFrame(b, "mol_id long, bond_id long, a long, b long"))).collect()}
     assert {m: got[(m, 1)].geometry for m in range(13)} == {m: m for m in range(13)} and (99, 1) not in got
     assert max(got[(m, 1)].departure for m in range(13)) < 1e-6
+
+
+def test_handedness_and_sides(spark):
+    from moltable.operators import stereo
+
+    corner = [(1.0, 1.0, 1.0), (1.0, -1.0, -1.0), (-1.0, -1.0, 1.0), (-1.0, 1.0, -1.0)]
+    s = [(0, 1, 0.0, 0.0, 0.0)] + [(0, k + 2, *p) for k, p in enumerate(corner)]
+    s += [(1, i, -x, y, z) for _, i, x, y, z in s]
+    b = [(m, k, 1, k + 1, 1) for m in (0, 1) for k in range(1, 5)]
+    for m, y in ((2, 1.0), (3, -1.0)):
+        s += [(m, 1, 0.0, 0.0, 0.0), (m, 2, 1.3, 0.0, 0.0), (m, 3, -0.5, 1.0, 0.0), (m, 4, 1.8, y, 0.0)]
+        b += [(m, 1, 1, 2, 2), (m, 2, 1, 3, 1), (m, 3, 2, 4, 1)]
+    sites = spark.createDataFrame(s, "mol_id long, site_id long, x double, y double, z double")
+    bonds = spark.createDataFrame(b, "mol_id long, bond_id long, a long, b long, bond_order int")
+    parity = {r.mol_id: r.parity for r in stereo.tetrahedral(sites, bonds).collect()}
+    assert set(parity) == {0, 1} and parity[0] == -parity[1] != 0
+    assert {r.mol_id: r.side for r in stereo.double_bonds(sites, bonds).collect()} == {2: 1, 3: -1}
+    forms = spark.createDataFrame([(1, "c", "R", "S"), (2, "c", "S", "R"), (3, "c", "m", "m"), (4, "d", "R", "S")], "mol_id long, constitution string, configured string, mirror string")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "a long, b long")
+    assert {r.b: r.relation for r in stereo.relate(pairs, forms).collect()} == {1: "Identical", 2: "Enantiomers", 3: "Diastereomers", 4: "Unrelated"}
+    assert {r.mol_id: r.is_chiral for r in stereo.is_chiral(forms).collect()} == {1: True, 2: True, 3: False, 4: True}
