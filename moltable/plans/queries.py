@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import tensor
 from ..model import degrees
-from ..operators import composition, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
+from ..operators import composition, conjugation, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
 from ..sources import xyz
 from ..storage import stored
 from .projection import CTE, bonds, molecules, sites, table
@@ -700,6 +700,26 @@ def aromatic_bonds(spark, sf_dir):
     return kernels.aromatic_bonds(_packed(spark, sf_dir))
 
 
+@query("conjugated_systems")
+def conjugated_systems(spark, sf_dir):
+    s, b = molecules(spark, sf_dir)
+    got = conjugation.perceive(s, b)
+    inside = conjugation.system_bonds(got, b).groupBy("mol_id", "system").agg(F.count("*").alias("bond_count"))
+    return conjugation.systems(got).join(inside, ["mol_id", "system"])
+
+
+@query("conjugated_members")
+def conjugated_members(spark, sf_dir):
+    return conjugation.members(conjugation.perceive(*molecules(spark, sf_dir)))
+
+
+@query("steric_number_conjugated")
+def steric_number_conjugated(spark, sf_dir):
+    """Lone pairs that a site gives to conjugated systems don't count."""
+    s, b = molecules(spark, sf_dir)
+    return valence.steric_numbers(s, b, conjugation.donated(conjugation.perceive(s, b)))
+
+
 @query("canonical_classes")
 def canonical_classes(spark, sf_dir):
     return kernels.canonicalize(_packed(spark, sf_dir)).groupBy("form").agg(F.count("*").alias("n"), F.min("mol_id").alias("first"))

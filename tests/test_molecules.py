@@ -14,7 +14,7 @@ import __spark_entry__
 from moltable import dims
 from moltable.functions import scalar, tensor
 from moltable.functions.hashing import combine, mix, resolved, unsigned_mod
-from moltable.operators import fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
+from moltable.operators import conjugation, fingerprint, geometry, isomorphism, kernels, lattice, notation, topology, valence
 from moltable.sources import xyz
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +113,61 @@ def test_aromaticity_of_named_molecules(spark):
     assert got == {0: {1, 2, 3, 4, 5, 6}, 1: {1, 2, 3, 4, 5, 6}, 2: {1, 2, 3, 4, 5}, 5: {1, 2, 3, 4, 5, 6, 7}, 6: set(range(1, 12))}
 
 
+def test_conjugated_systems(spark):
+    """Sites, bonds and electrons of the systems of named molecules, and the pairs that sites donate."""
+    chain = lambda symbols, orders: ([(i, *a) for i, a in enumerate(symbols, 1)], [(i, i + 1, o) for i, o in enumerate(orders, 1)])
+    c = ("C", 0, 0)
+    aromatic = ring_of(6, [7] * 6)
+    mols = {
+        "ethylene": with_hydrogens(*chain([c] * 2, [2]), [1, 1, 2, 2]),
+        "butadiene": with_hydrogens(*chain([c] * 4, [2, 1, 2]), [1, 1, 2, 3, 4, 4]),
+        "pentadiene": with_hydrogens(*chain([c] * 5, [2, 1, 1, 2]), [1, 1, 2, 3, 3, 4, 5, 5]),
+        "radical": with_hydrogens(*chain([c, c, ("C", 0, 1)], [2, 1]), [1, 1, 2, 3, 3]),
+        "cation": with_hydrogens(*chain([c, c, ("C", 1, 0)], [2, 1]), [1, 1, 2, 3, 3]),
+        "carboxylate": with_hydrogens(*chain([("O", 0, 0), c, ("O", -1, 0)], [2, 1]), [2]),
+        "hydrazine": with_hydrogens(*chain([("N", 0, 0)] * 2, [1]), [1, 1, 2, 2]),
+        "allene": with_hydrogens(*chain([c] * 3, [2, 2]), [1, 1, 3, 3]),
+        "butatriene": with_hydrogens(*chain([c] * 4, [2, 2, 2]), [1, 1, 4, 4]),
+        "pentatetraene": with_hydrogens(*chain([c] * 5, [2, 2, 2, 2]), [1, 1, 5, 5]),
+        "vinylacetylene": with_hydrogens(*chain([c] * 4, [2, 1, 3]), [1, 1, 2, 4]),
+        "diacetylene": with_hydrogens(*chain([c] * 4, [3, 1, 3]), [1, 4]),
+        "azide": chain([("N", -1, 0), ("N", 1, 0), ("N", -1, 0)], [2, 2]),
+        "nitrile": with_hydrogens(*chain([c, c, c, ("N", 0, 0)], [2, 1, 3]), [1, 1, 2]),
+        "cumulated ring": ring_of(3, [2, 2, 2]),
+        "benzene": with_hydrogens(*aromatic, range(1, 7)),
+        "aniline": with_hydrogens(aromatic[0] + [(7, "N", 0, 0)], aromatic[1] + [(6, 7, 1)], [1, 2, 3, 4, 5, 7, 7]),
+        "iron": with_hydrogens(*chain([("Fe", 0, 0), c, c], [1, 2]), [2, 3, 3]),
+    }
+    four = (1, 2, 3, 4)
+    expected = {
+        "butadiene": [(four, (1, 2, 3), 4)], "radical": [((1, 2, 3), (1, 2), 3)], "cation": [((1, 2, 3), (1, 2), 2)], "carboxylate": [((1, 2, 3), (1, 2), 4)],
+        "butatriene": [(four, (1, 2, 3), 4)], "pentatetraene": [(four, (1, 2, 3), 4), ((2, 3, 4, 5), (2, 3, 4), 4)], "vinylacetylene": [(four, (1, 2, 3), 4)],
+        "diacetylene": [(four, (1, 2, 3), 4)] * 2, "azide": [((1, 2, 3), (1, 2), 4)] * 2, "nitrile": [(four, (1, 2, 3), 4)], "cumulated ring": [((1, 2, 3), (1, 2, 3), 6)],
+        "benzene": [((1, 2, 3, 4, 5, 6), (1, 2, 3, 4, 5, 6), None)], "aniline": [((1, 2, 3, 4, 5, 6, 7), (1, 2, 3, 4, 5, 6, 7), None)],
+    }
+    for shuffle in (None, 3):
+        s, b = tables(spark, dict(enumerate(mols.values())), shuffle)
+        got = conjugation.perceive(s, b)
+        at: dict[tuple, list] = {}
+        for r in conjugation.members(got).collect():
+            at.setdefault((r.mol_id, r.system), []).append(r.site_id)
+        inside: dict[tuple, list] = {}
+        for r in conjugation.system_bonds(got, b).collect():
+            inside.setdefault((r.mol_id, r.system), []).append(r.bond_id)
+        found: dict[str, list] = {}
+        for r in conjugation.systems(got).collect():
+            key = (r.mol_id, r.system)
+            assert r.site_count == len(at[key])
+            found.setdefault(list(mols)[r.mol_id], []).append((tuple(sorted(at[key])), tuple(sorted(inside[key])), r.pi_electrons))
+        assert {k: sorted(v, key=str) for k, v in found.items()} == expected
+        given = {(list(mols)[r.mol_id], r.site_id): r.pairs for r in conjugation.donated(got).collect()}
+        assert given == {("carboxylate", 3): 1, ("azide", 1): 1, ("azide", 3): 1, ("aniline", 7): 1}
+        steric = {(r.mol_id, r.site_id): r.steric_number for r in valence.steric_numbers(s, b, conjugation.donated(got)).collect()}
+        assert steric[list(mols).index("carboxylate"), 3] == 3 and steric[list(mols).index("hydrazine"), 1] == 4
+    nothing = conjugation.perceive(s.limit(0), b.limit(0))
+    assert conjugation.systems(nothing).count() == 0
+
+
 def test_kekulize(spark):
     benzene = with_hydrogens(*ring_of(6, [7] * 6), range(1, 7))
     naphthalene = ([(i, "C", 0, 0) for i in range(1, 11)], [(a, b, 7) for a, b in [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 1), (5, 7), (7, 8), (8, 9), (9, 10), (10, 6)]])
