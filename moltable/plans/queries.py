@@ -217,6 +217,16 @@ def components_network(spark, sf_dir):
     return topology.components(node, e.withColumn("mol_id", F.lit(1).cast("long")).withColumn("bond_id", F.lit(0))).select("site_id", "component")
 
 
+@query("components_network_whole")
+def components_network_whole(spark, sf_dir):
+    """The graph of components_network over every customer and supplier; too many reached pairs for its SQL."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    one = F.lit(1).cast("long").alias("mol_id")
+    e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(one, F.lit(0).alias("bond_id"), F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
+    node = e.select("mol_id", F.col("a").alias("site_id")).union(e.select("mol_id", "b")).distinct()
+    return topology.components(node, e).select("site_id", "component")
+
+
 @query("eccentricity", CTE + _ECC + " SELECT mol_id, site_id, CAST(e AS INT) AS eccentricity FROM ecc")
 def eccentricity(spark, sf_dir):
     s, b = molecules(spark, sf_dir)
@@ -743,10 +753,8 @@ def xyz_roundtrip(spark, sf_dir):
 
 @query("mcs_size")
 def mcs_size(spark, sf_dir):
-    """Each molecule of up to six sites with the next such one."""
-    s, b = molecules(spark, sf_dir)
-    small = s.groupBy("mol_id").agg(F.count("*").alias("n")).where("n between 2 and 6").select("mol_id")
-    mols = stored(kernels.packed(s.join(small, "mol_id", "left_semi"), b.join(small, "mol_id", "left_semi"), "element"), "mcs")
+    """Each molecule with the next one; 0 bonds where one of them has none."""
+    mols = stored(kernels.packed(*molecules(spark, sf_dir), "element"), "mcs")
     return kernels.common_substructure(_consecutive(mols), mols)
 
 

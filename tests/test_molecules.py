@@ -405,6 +405,30 @@ def test_common_substructure(spark):
     assert got == {(0, 1): 11, (1, 0): 11, (2, 2): 2, (0, 2): 1, (2, 3): 0}
 
 
+def test_common_substructure_of_every_molecule(spark):
+    ids = sorted(r.m for r in spark.read.parquet(f"{SF}/lineitem.parquet").select((F.col("l_orderkey") + 1).alias("m")).distinct().collect())
+    got = [(r.a, r.b) for r in __spark_entry__.queries()["mcs_size"](spark, SF).collect()]
+    assert sorted(got) == list(itertools.pairwise(ids))
+
+
+def test_components_of_the_whole_network(spark):
+    o, li = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("orders", "lineitem"))
+    near: dict[int, set[int]] = {}
+    for c, s in o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", F.col("l_suppkey") + 1000000000).collect():
+        near.setdefault(c, set()).add(s)
+        near.setdefault(s, set()).add(c)
+    want: dict[int, int] = {}
+    for x in sorted(near):
+        todo = [] if x in want else [x]
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = [(r.site_id, r.component) for r in __spark_entry__.queries()["components_network_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted(want.items())
+
+
 def test_departures_of_ideal_sites(spark):
     from moltable.operators import coordination
 
