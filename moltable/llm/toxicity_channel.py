@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .neardup import Banding, near_documents
 from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
 
 #: Letters of the model beside a-z, and what signs stand for.
@@ -245,33 +246,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25)
     return w
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy): copy is the same for near copies, of 80 % of word pairs alike, and null for texts without words."""
+    got = near_documents(docs, Banding(shingle=2))
+    return got.groupBy("doc_id").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("copy"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: CharModel, documents: int = FIT_DOCUMENTS, table: int = TABLE) -> Lexicon:
     """labels: (doc_id, label 0 or 1).  Learns from at most `documents` labelled rows, those of the least hash of doc_id.
 
-    Near copies among them count once: of documents that share their least word hash and the label one stays.
+    Near copies among them count once: of documents of one component of near copies and one label that of the least id stays.
     """
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    few = stored(plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"), "tox-fit")
+    few = stored(plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), "tox-fit")
     sent = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("label", pa.int64()), ("least", pa.int64()), ("h", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for a, b, data, off in slices(batch.column(1)):
+            for a, b, data, off in slices(batch.column(2)):
                 h, row = slice_words(data, off, sent.value)
                 e, of = word_evidence(h, row)
                 n = np.cumsum(np.bincount(of, minlength=b - a))[:-1]
-                least, lists = [], []
+                lists = []
                 for x in np.split(e, n, axis=1):
                     own = np.unique(x)
-                    least.append(int(signed(x[0].min(keepdims=True))[0]) if x.size else 0)
                     lists.append(signed(own[own > 0].copy()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(least, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
-    rows = few.mapInArrow(run, "label long, least long, h array<long>").groupBy("label", "least").agg(F.first("h").alias("h"))
-    rows = stored(rows, "tox-features")
+    rows = few.mapInArrow(run, "doc_id long, label long, h array<long>").join(copies(few), "doc_id")
+    rows = stored(rows.groupBy("label", "copy").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("label", "first.h"), "tox-features")
     toxic, total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not toxic or toxic == total:
         return Lexicon(np.zeros(0, U64), np.zeros(0), np.array([0 if not total else 3 if toxic else -3, 0, 0, 0, 0], np.float64))
@@ -289,9 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, documents: int = F
 
     def count(batches):
         for batch in batches:
-            for a, b, data, off in slices(batch.column(1)):
+            for a, b, data, off in slices(batch.column(2)):
                 x = found.hits(*slice_words(data, off, sent.value), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c) for c in x.T)], names=["label", *"abcde"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), *(pa.array(c) for c in x.T)], names=["label", *"abcde"])
 
     seen = few.mapInArrow(count, "label long, a double, b double, c double, d double, e double").toPandas()
     return Lexicon(keys, p, logistic(seen[list("abcde")].to_numpy(), seen.label.to_numpy()))

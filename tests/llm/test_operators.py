@@ -245,6 +245,21 @@ def test_toxicity_sees_through_disguises(spark):
     assert toxicity_channel.scored(docs.limit(0), model, lexicon).count() == 0
 
 
+def test_toxicity_learns_from_all_but_near_copies(spark):
+    rng = random.Random(9)
+    own = [prose(rng, 30) for _ in range(40)]
+    lead = min((f"w{k}" for k in range(5000)), key=lambda w: hash_bytes(w.encode()))  # the least-hashed word of each document
+    rows = [(i, f"{t} {lead}") for i, t in enumerate(own)] + [(100 + i, f"{own[0]} {lead}") for i in range(5)] + [(200, ""), (201, None)]
+    got = {r.doc_id: r.copy for r in toxicity_channel.copies(frame(spark, rows)).collect()}
+    assert len({got[i] for i in range(40)}) == 40 and {got[100 + i] for i in range(5)} == {got[0]} and got[200] is got[201] is None
+    bad = ["moron", "idiot", "loser"]
+    train = [(i, f"{t} {lead} {bad[i % 3]} {bad[(i + 1) % 3]}") for i, t in enumerate(own)] + [(100 + i, f"{prose(rng, 30)} {lead}") for i in range(60)]
+    docs = frame(spark, train)
+    model = toxicity_channel.CharModel.of(toxicity_channel.count_characters(docs))
+    lexicon = toxicity_channel.fit(docs, spark.createDataFrame([(i, int(i < 40)) for i, _ in train], "doc_id long, label int"), model)
+    assert {hash_bytes(w.encode()) & ~7 for w in bad} <= {int(k) for k in lexicon.keys}
+
+
 def test_alignment_against_dynamic_programming():
     rng = random.Random(3)
     for _ in range(300):
