@@ -4,12 +4,14 @@ The language model is a character trigram counted over every document of the cor
 A word that looks disguised (digits or signs inside letters, a letter three times, or
 letters spaced out) is a lattice: a sign may stand for letters, a repeated letter or a
 separator for nothing.  Viterbi decoding under the model finds the likeliest word.
+Where a disguise has separators, a second lattice may also end a word at each of them.
 Restored and plain words are then scored alike, by a table of words and word beginnings
 that labelled documents show to be toxic.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +27,8 @@ from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 SEPARATORS = " .-_*~'"
+WORD_END = "\n"  # a wider gap in a spaced-out run
+PIECE, OVERLAP = 240, 80
 CLASSES = 64
 PREFIXES = (4, 5, 6, 8)
 LEVELS = 4
@@ -39,6 +43,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "0123456789@$!|+(*.-_~'"]] = True
+_MEANS = _LETTER.copy()
+_MEANS[[ord(c) for c in SIGNS]] = True
+_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
+_PARTS = re.compile(f"[{re.escape(SEPARATORS + WORD_END)}]+")
 _FRONT = np.zeros(256, bool)
 _FRONT[[ord(c) for c in "\"'([{<.,;:"]] = True
 _BACK = np.zeros(256, bool)
@@ -59,16 +67,32 @@ class CharModel:
         p3 = (tri + 5 * p2[None]) / (tri.sum(2, keepdims=True) + 5)
         return CharModel(np.log(p3).astype(np.float32))
 
-    def restore(self, seen: str) -> str:
-        """The likeliest letters behind a lower-case disguise."""
-        got = self.memo.get(seen)
+    def restore(self, seen: str, breaks: bool = False) -> str:
+        """The likeliest letters behind a lower-case disguise; with breaks, words of them."""
+        key = f"\0{seen}" if breaks else seen
+        got = self.memo.get(key)
         if got is None:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            got = self.memo[seen] = self._viterbi(seen)
+            got = self.memo[key] = self._viterbi(seen, breaks)
         return got
 
-    def _viterbi(self, seen: str) -> str:
+    def readings(self, seen: str) -> list[str]:
+        """As one word and, if there are separators, as likely words and as its parts; what is longer than PIECE in overlapping pieces."""
+        out = [self.restore(seen.replace(WORD_END, " "))] if len(seen) <= PIECE else []
+        if len(seen) > PIECE:
+            seen = _REPEATED.sub(r"\1\1\1", seen)
+        for at in range(0, max(1, len(seen) - OVERLAP), PIECE - OVERLAP):
+            piece = seen[at : at + PIECE]
+            split = any(c in piece for c in SEPARATORS + WORD_END)
+            if split or piece != seen or not out:
+                out.append(self.restore(piece, split))
+        parts = _PARTS.split(seen)
+        if len(parts) > 1:
+            out.append(" ".join(self.restore(x) for x in parts if 2 <= len(x) <= PIECE))
+        return list(dict.fromkeys(x for x in out if x))
+
+    def _viterbi(self, seen: str, breaks: bool) -> str:
         """States are the last two letters; of the ways into a state the best is kept, with a link back."""
         logp = self.logp
         best = {(0, 0): (0.0, None)}
@@ -76,7 +100,8 @@ class CharModel:
         for c in seen:
             arcs = [(x, 0.0 if x == c else 0.7 if c != "*" else 2.0) for x in ([c] if c < "\x7f" and c.isalpha() or c in ACCENTED else []) + list(SIGNS.get(c, ""))]
             silent = 0.4 if c in SEPARATORS else 1.0 if c == before else None
-            if not arcs and silent is None:
+            ends = 0.4 if breaks and c in SEPARATORS else 0.0 if c == WORD_END else None
+            if not arcs and silent is None and ends is None:
                 silent = 3.0
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, link) in best.items():
@@ -84,6 +109,10 @@ class CharModel:
                     s = score - silent
                     if (a, b) not in new or s > new[(a, b)][0]:
                         new[(a, b)] = (s, link)
+                if ends is not None:
+                    s = score + float(logp[a, b, 0]) - ends
+                    if (b, 0) not in new or s > new[(b, 0)][0]:
+                        new[(b, 0)] = (s, (" ", link))
                 for x, cost in arcs:
                     k = int(_CLASS[ord(x)])
                     s = score + float(logp[a, b, k]) - cost + LETTER_GAIN
@@ -137,19 +166,21 @@ def disguised(w: Words) -> tuple[list[str], np.ndarray]:
     thrice[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
     inner = np.minimum(start + 2, end)
     runs = np.concatenate([[0], np.cumsum(thrice)])
-    letters = count(_LETTER[data])
-    odd = ((count(_SIGN[data]) > 0) & (letters >= 2) | (runs[end] - runs[inner] > 0)) & (end - start <= 40)
+    odd = (count(_SIGN[data]) > 0) & (count(_MEANS[data]) >= 2) | (runs[end] - runs[inner] > 0)
     texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(start[odd], end[odd], strict=True)]
     rows = w.row[odd]
-    # words of one letter or sign in a row of four or more are one disguise
-    one = (end - start == 1) & (_LETTER | _SIGN)[data[np.minimum(start, len(data) - 1)]]
+    # words of one letter or sign in a row are one disguise, where a gap wider than its least one ends a word
+    head = data[np.minimum(start, len(data) - 1)]
+    one = (end - start == 1) & (_LETTER | _SIGN)[head] | (end - start == 2) & ((head == 0xC3) | (head == 0xC5))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], one.astype(np.int8), [0]])))
     more, of = [], []
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         cut = [a, *(np.flatnonzero(np.diff(w.row[a:b])) + a + 1), b]
         for i, j in zip(cut, cut[1:], strict=False):
-            if 4 <= j - i <= 40:
-                more.append(data[start[i : j]].tobytes().decode("latin-1"))
+            if j - i >= 2:
+                gap = w.start[i + 1 : j] - w.end[i : j - 1]
+                wide = [WORD_END if g else " " for g in gap > gap.min()] + [""]
+                more.append("".join(data[p:q].tobytes().decode("utf-8").lower() + g for p, q, g in zip(start[i:j], end[i:j], wide, strict=True)))
                 of.append(w.row[i])
     return texts + more, np.concatenate([rows, np.array(of, np.int64)])
 
@@ -177,7 +208,9 @@ def slice_words(data: np.ndarray, off: np.ndarray, model: CharModel) -> tuple[np
     h, row = features(w)
     seen, of = disguised(w)
     if seen:
-        back = [model.restore(s).encode("utf-8") for s in seen]
+        ways = [model.readings(s) for s in seen]
+        of = np.repeat(of, [len(x) for x in ways])
+        back = [x.encode("utf-8") for way in ways for x in way]
         edge = np.concatenate([[0], np.cumsum([len(b) for b in back])])
         more = Words(np.frombuffer(b"".join(back), np.uint8), edge)
         if len(more.start):

@@ -245,6 +245,18 @@ def test_toxicity_sees_through_disguises(spark):
     assert toxicity_channel.scored(docs.limit(0), model, lexicon).count() == 0
 
 
+def test_toxicity_decodes_disguises_of_any_length(spark):
+    rng = random.Random(10)
+    bad = ["moron", "idiot", "loser"]
+    rows = [(i, f"{prose(rng, 30)} {rng.choice(bad)} {prose(rng, 5)} {rng.choice(bad)}") for i in range(60)] + [(i, prose(rng, 40)) for i in range(60, 260)]
+    model = toxicity_channel.CharModel.of(toxicity_channel.count_characters(frame(spark, rows)))
+    text = ["t h e  h e r e  i d i o t", "  ".join(" ".join(x) for x in ["there", "hereon", "there", "anther", "onthere", "reheth", "moron", "there"]), "there.hereon.anther.there.hereon.moron.there.on", "m" * 60 + "oron", "1d107"]
+    for seen, want in zip(text, ["idiot", "moron", "moron", "moron", "idiot"], strict=True):
+        raw = np.frombuffer(seen.encode(), np.uint8)
+        h, _ = toxicity_channel.slice_words(raw, np.array([0, len(raw)]), model)
+        assert hash_bytes(want.encode()) in {int(x) for x in h[0]}, seen
+
+
 def test_toxicity_learns_from_all_but_near_copies(spark):
     rng = random.Random(9)
     own = [prose(rng, 30) for _ in range(40)]
