@@ -315,18 +315,15 @@ def _block_links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
     return stored(both.groupBy("m", "p", "q").applyInArrow(compare, "u long, v long").distinct(), f"{name}-blocklinks")
 
 
-def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row, and the links found between nodes.
-
-    keep: a stored table with a row for each sketch and more columns, which the result then has too.
-    """
-    rows = stored(rows, f"{name}-sketch") if keep is None else rows
+def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows without sketches, classes of equal sets, copies with their class, and links (u, v) between class nodes; keyed: rows is stored already and has the band keys in sig."""
+    rows = rows if keyed else stored(rows, f"{name}-sketch")
     light = rows.select("pid", "n", "s1", "s2")
     classes = light.where("n > 0 and pid is not null").groupBy("n", "s1", "s2").agg(F.min("pid").alias("node"), F.max("pid").alias("last")).where("node < last")
     classes = stored(classes, f"{name}-classes")
     copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node"), f"{name}-copies")
     reps = stored(rows.where("n > 0 and pid is not null").join(copies, "pid", "left_anti").select("pid", "n", "sig"), f"{name}-reps")
-    bands = band_rows(reps, cfg)
+    bands = reps.select(F.explode("sig").alias("key"), "pid", "n") if keyed else band_rows(reps, cfg)
     buckets = bands.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("key", "lead")
     inside = stored(bands.join(buckets, "key"), f"{name}-buckets")
 
@@ -350,10 +347,24 @@ def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
         more = verified(likely(pairs, reps, cfg), sets_of, cfg, f"{name}-links{step}")
         links = more if links is None else links.unionByName(more)
 
+    return light, classes, copies, links
+
+
+def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
+    """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row."""
+    light, _, copies, links = _links(rows, sets_of, cfg, name)
+    groups = components(links, f"{name}-cc")
+    out = light.drop("s1", "s2").join(copies.distinct(), "pid", "left").withColumn("node", F.coalesce("node", "pid"))
+    return out.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
+    """rows: a stored table of pid, n, s1, s2, band keys (sig) and more columns.  Gives those of rows that are linked with another one, and their component."""
+    _, classes, copies, links = _links(rows, sets_of, cfg, name, keyed=True)
     groups = components(links, f"{name}-cc")
-    out = (light if keep is None else keep).drop("s1", "s2", "sig").join(copies.distinct(), "pid", "left").withColumn("node", F.coalesce("node", "pid"))
-    out = out.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return out, links
+    own = copies.unionByName(classes.select(F.col("node").alias("pid"), "node")).unionByName(groups.select(F.col("node").alias("pid"), "node")).distinct()
+    own = own.join(groups, "node", "left").select("pid", F.coalesce("component", "node").alias("component"))
+    return rows.drop("s1", "s2", "sig", "n").join(stored(own, f"{name}-own"), "pid")
 
 
 def near_documents(docs: DataFrame, cfg: Banding, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,7 +376,7 @@ def near_documents(docs: DataFrame, cfg: Banding, id_col: str = "doc_id", text_c
     nothing and is not kept.  An empty table gives an empty one.  Other columns are ignored.
     """
     rows = sketch_documents(docs, id_col, text_col, cfg)
-    got, _ = near_classes(rows, document_set_rows(docs, id_col, text_col, cfg), cfg, "neardup")
+    got = near_classes(rows, document_set_rows(docs, id_col, text_col, cfg), cfg, "neardup")
     return got.select(
         F.col("pid").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("pid") == F.col("component"), F.lit(False)).alias("kept")
     )

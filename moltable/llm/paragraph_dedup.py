@@ -1,12 +1,18 @@
-"""Repeated paragraphs across documents: MinHash banding, exact Jaccard, removal by components.
-
-A paragraph is a line of at least MATCH_WORDS words.  Its set of word shingles is
-sketched and banded like a document's; bands of few rows make the recall at the
-threshold high, as unrelated paragraphs share next to no five-word runs.  Colliding
-paragraphs are verified on full sets, and of each component the first paragraph, by
-document and place, is kept.  Passages may run over several lines: what is reported are
-runs of consecutive matched paragraphs that hold at least `min_words` words together,
-so that a repeated heading or notice alone is none.
+"""Repeated passages across documents: paragraph MinHash banding, exact Jaccard, removal by components.
+
+A text is cut into paragraphs by its words, not by its lines: a paragraph begins where
+the hash of two words is the least within RADIUS words on either side.  So a passage
+breaks alike whatever surrounds it, and one of 50 words holds whole paragraphs (some
+13 words each).  Sets of word shingles are sketched and banded like a document's, with
+bands of few rows, as unrelated paragraphs share next to no five-word runs.  Colliding
+paragraphs are verified on full sets; of each component that stands in two documents
+or more the first paragraph, by document and place, is kept.
+
+Paragraphs are then put together to passages.  Neighbours belong together if some other
+document has the same two components in a row.  The ends of such a piece are extended
+word by word, as far as another member of the component goes on alike, over up to
+SKIPS replaced words, and pieces go together across a few edited words.  Reported are the paragraphs of passages that hold
+at least `min_words` words, so that a repeated heading or notice alone is none.
 """
 
 from __future__ import annotations
@@ -22,96 +28,290 @@ from pyspark.sql import types as T
 from . import neardup
 from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
 
-MATCH_WORDS = 8
+RADIUS = 6
 MIN_WORDS = 50
-BANDING = neardup.Banding(bins=36, rows=3, bands=12, shingle=5, margin=1.0)  # misses 2e-4 of pairs at 0.8
-SCHEMA = pa.schema([*neardup.SKETCH, ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("line", pa.int64())])
-DDL = neardup.SKETCH_DDL + ", doc_id long, start long, end long, n_words long, line long"
-
-
-def paragraphs(data: np.ndarray, off: np.ndarray, min_words: int):
-    """(words of kept paragraphs, paragraph of each, row, start byte, end byte, words), start and end from the slice's start."""
-    w = Words(data, off)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[off] = True
-    cut[1:] |= data == 10 if len(data) else False
-    line = np.cumsum(cut)[w.start] if len(w.start) else np.zeros(0, np.int64)
-    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(line)))
-    keep = size >= min_words
-    head, size = head[keep], size[keep]
-    at = np.repeat(head, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return w.hash[at], np.repeat(np.arange(len(head)), size), w.row[head], w.start[head], w.end[head + size - 1], size
-
-
-def _sets(batch: pa.RecordBatch, min_words: int, shingle: int) -> Iterator:
-    """(pid, doc_id, data, offsets, row, start, end, words, number in the row, values, paragraph of each value) for up to 4000 paragraphs at a time."""
-    ids = np.asarray(batch.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), np.int64)
-    for a, _, data, off in slices(batch.column(1)):
-        words, of, row, start, end, size = paragraphs(data, off, min_words)
-        line = np.arange(len(row)) - np.searchsorted(row, row)
-        for k in range(0, len(row), 4000):
-            own = slice(k, min(k + 4000, len(row)))
-            here = slice(*np.searchsorted(of, [own.start, own.stop]))
-            value, para = neardup.value_sets(words[here], of[here] - k, own.stop - k, shingle)
-            doc = ids[a + row[own]]
-            pid = signed(mix(mix(doc.view(U64), 1) + (start[own] - off[row[own]]).astype(U64), 2))
-            yield pid, a + row[own], data, off, row[own], start[own], end[own], size[own], line[own], value, para
-
-
-def sketch_paragraphs(docs: DataFrame, min_words: int, cfg: neardup.Banding) -> DataFrame:
-    """A row for each paragraph; start and end are code points of the text."""
+GAP = 8 * RADIUS  # words between two pieces of one passage
+EDITED = 4  # of them may differ
+PERIOD = 2 * (RADIUS + 1)
+SKIPS = 2
+AGAIN = 4  # words that must be alike behind a replaced one
+LEVELS = (1, 2, 4, 8, 16, 32)
+BANDING = neardup.Banding(rows=2, bands=5, shingle=5, margin=1.0)  # misses 6e-3 of pairs at 0.8, next to none above 0.9
+SCHEMA = pa.schema([("pid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("word", pa.int64())])
+DDL = "pid long, n long, s1 long, s2 long, sig array<long>, doc_id long, version long, start long, end long, n_words long, word long"
+
+
+def breaks(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a paragraph begins at each word.
+
+    That is at a row's first, where the two words' hash is least around (the leftmost of equals), and, where
+    words go round in a circle of at most RADIUS, at every PERIOD-th word of such a run and behind it.
+    """
+    n = len(words)
+    out = np.ones(n, bool)
+    out[1:] = row[1:] != row[:-1]
+    if n < 2:
+        return out
+    v = np.append(mix(words[:-1] + words[1:] * U64(0xD6E8FEB86659FD93), 91), U64(2**64 - 1))
+    least, again = np.ones(n, bool), np.zeros(n, bool)
+    for d in range(1, RADIUS + 1):
+        if d >= n:
+            break
+        same = row[d:] == row[:-d]
+        least[d:] &= ~same | (v[d:] < v[:-d])
+        least[:-d] &= ~same | (v[:-d] <= v[d:])
+        again[d:] |= same & (v[d:] == v[:-d])
+    begin = np.flatnonzero(again & np.append(True, ~again[:-1] | (row[1:] != row[:-1])))
+    end = np.flatnonzero(again & np.append(~again[1:] | (row[1:] != row[:-1]), True)) + 1
+    for a, b in zip(begin, end, strict=True):
+        if b - a >= PERIOD:
+            out[a:b:PERIOD] = True
+            out[b : b + 1] = True
+    return out | least
+
+
+class Paragraphs:
+    """Paragraphs of a slice: row, first word, words, start and end bytes and id of each; w has the words."""
+
+    def __init__(self, doc: np.ndarray, data: np.ndarray, off: np.ndarray):
+        self.w = w = Words(data, off)
+        self.hash = w.hash
+        head = np.flatnonzero(breaks(self.hash, w.row)) if len(w.row) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(w.row)))
+        keep = size > RADIUS
+        self.head, self.size = head[keep], size[keep]
+        self.row = w.row[self.head]
+        self.start, self.end = w.start[self.head], w.end[self.head + self.size - 1]
+        whole = w.span_hash(off[:-1], off[1:])
+        self.version = mix(whole ^ mix(doc.view(U64), 1), 2)[self.row]
+        self.pid = signed(mix(self.version + (self.start - off[self.row]).astype(U64), 3))
+
+    def sets(self, shingle: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Up to 4000 paragraphs at a time: which, their values, and the paragraph of each value."""
+        for k in range(0, len(self.row), 4000):
+            own = slice(k, min(k + 4000, len(self.row)))
+            head, size = self.head[own], self.size[own]
+            at = np.repeat(head - np.cumsum(size) + size, size) + np.arange(size.sum())
+            yield own, *neardup.value_sets(self.hash[at], np.repeat(np.arange(len(head)), size), len(head), shingle)
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, Paragraphs]]:
+    ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+    for a, b, data, off in slices(batch.column(1)):
+        yield a, data, off, Paragraphs(ids[a:b].copy(), data, off)
+
+
+def band_keys(value: np.ndarray, para: np.ndarray, paragraphs: int, cfg: neardup.Banding) -> pa.ListArray:
+    """A key for each band: a hash of the least values under `rows` hash functions, in full width, as the sets are small and many."""
+    rng = np.random.Generator(np.random.PCG64(31))
+    times = rng.integers(0, 2**63, (cfg.bands, cfg.rows), dtype=np.uint64) * U64(2) + U64(1)
+    lead = np.searchsorted(para, np.arange(paragraphs))
+    keys = np.zeros((paragraphs, cfg.bands), U64)
+    for b in range(cfg.bands):
+        for t in times[b]:
+            keys[:, b] = mix(keys[:, b] + np.minimum.reduceat(mix(value * t, b), lead), 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, cfg.bands), pa.int32()), pa.array(signed(keys.ravel())))
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
+def sketch_paragraphs(docs: DataFrame, cfg: neardup.Banding) -> DataFrame:
+    """A row for each paragraph; start and end are code points of the text, word is the number of its first word."""
 
     def run(batches):
         for batch in batches:
-            for pid, at, data, off, row, start, end, size, line, value, para in _sets(batch, min_words, cfg.shingle):
-                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                base = point[off[row]]
-                sketch = neardup.sketch_columns(value, para, len(pid), cfg.bins)
-                yield array_batch(SCHEMA, pid, *sketch, batch.column(0).take(pa.array(at)), point[start] - base, point[end] - base, size, line)
+            for a, data, off, p in _cut(batch):
+                point = _points(data)
+                base = point[off[p.row]]
+                for own, value, para in p.sets(cfg.shingle):
+                    many = own.stop - own.start
+                    n, s1, s2 = neardup.set_sums(value, para, many)
+                    sketch = n, signed(s1), signed(s2), band_keys(value, para, many, cfg)
+                    row = p.row[own]
+                    first = p.head[own] - p.w.first[row]
+                    yield array_batch(SCHEMA, p.pid[own], *sketch, batch.column(0).take(pa.array(a + row)), signed(p.version[own].copy()), point[p.start[own]] - base[own], point[p.end[own]] - base[own], p.size[own], first)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, DDL)
 
 
-def paragraph_set_rows(docs: DataFrame, min_words: int, cfg: neardup.Banding):
+def paragraph_set_rows(docs: DataFrame, cfg: neardup.Banding):
     def make(bits: np.ndarray) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(bits)
 
         def run(batches):
             for batch in batches:
-                for pid, *_, value, para in _sets(batch, min_words, cfg.shingle):
-                    wanted = neardup.in_bloom(sent.value, pid)
-                    if wanted.any():
-                        yield neardup.set_batch(pid, value, para, wanted)
+                for _, _, _, p in _cut(batch):
+                    for own, value, para in p.sets(cfg.shingle):
+                        wanted = neardup.in_bloom(sent.value, p.pid[own])
+                        if wanted.any():
+                            yield neardup.set_batch(p.pid[own], value, para, wanted)
 
         return plain(docs, "doc_id", "text").mapInArrow(run, "pid long, set array<long>")
 
     return make
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING, match_words: int = MATCH_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, component_id, kept): paragraphs with a near copy, in runs of min_words words or more.
+def around(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """(key, h, at): for the wanted keys, and some more, the words before a paragraph (key = pid) or behind it (key = ~pid).
 
-    component_id is the smallest doc_id of the component; kept is true for its first paragraph
-    by (doc_id, start).  Lines of fewer than match_words words neither match nor break a run.  Null,
-    empty or blank texts give no rows; nor do documents of a null id.  Repeated rows of one document are one.
+    h[k] is a hash of the k words next to it, at[k] the code point where the k-th of them ends on the far side.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(neardup.bloom(wanted))
+    schema = pa.schema([("key", pa.int64()), ("h", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+    step = np.arange(0, reach + 1)
+    salt = mix(step.astype(U64), 17)
+
+    def run(batches):
+        for batch in batches:
+            for _, data, off, p in _cut(batch):
+                point = _points(data)
+                for key, edge, sign in ((p.pid, p.head, -1), (~p.pid, p.head + p.size - 1, 1)):
+                    hit = np.flatnonzero(neardup.in_bloom(sent.value, key))
+                    for k in range(0, len(hit), 4000):
+                        own = hit[k : k + 4000]
+                        word = edge[own][:, None] + sign * step[None, :]
+                        row = p.row[own]
+                        inside = (word >= p.w.first[row][:, None]) & (word < p.w.first[row + 1][:, None])
+                        word = np.where(inside, word, 0)
+                        one = mix(p.hash[word] ^ salt[None, :], 19)
+                        one[:, 0] = 0
+                        h = np.bitwise_xor.accumulate(one, axis=1).astype(np.uint32).view(np.int32)[inside]
+                        at = (point[(p.w.start if sign < 0 else p.w.end)[word]] - point[off[row]][:, None])[inside]
+                        edges = pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]), pa.int32())
+                        lists = (pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (h, at))
+                        yield pa.RecordBatch.from_arrays([pa.array(key[own]), *lists], schema=schema)
+
+    return plain(docs, "doc_id", "text").mapInArrow(run, "key long, h array<int>, at array<int>")
+
+
+def extended(ends: DataFrame) -> DataFrame:
+    """(key, more, at): by how many words an end goes on like some other document's, and to which code point.
+
+    ends: stored (key, doc_id, of, side, h, at).  Ends of one component and side are one group.  In a group, how far
+    an end agrees with another one is found at LEVELS first and then, where it does, word by word.  Those that agree as
+    far as one of them does are a group of the next round, behind one word that may differ.  So no pairs are made.
+    """
+    state = ends.select("key", "doc_id", "h", F.xxhash64("of", "side").alias("g"), F.lit(0).alias("k"), F.lit(True).alias("asks"))
+    best = None
+    for turn in range(SKIPS + 1):
+        left = F.size("h") - 1 - F.col("k")
+        diff = lambda n: F.xxhash64("g", n, F.element_at("h", F.col("k") + n + 1).bitwiseXOR(F.element_at("h", F.col("k") + 1)))
+        some = state.withColumn("n", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n <= left))).select("key", "doc_id", "g", "n", diff(F.col("n")).alias("to"))
+        met = some.join(_apart(some, "to"), "to").groupBy("key", "g").agg(F.max("n").alias("level"))
+        fine = state.join(met, ["key", "g"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(left, 2 * F.col("level") - 1))))
+        fine = stored(fine.select("key", "doc_id", "g", "k", "asks", "n", diff(F.col("n")).alias("to")), f"para-try{turn}")
+        far = fine.join(_apart(fine, "to"), "to").where("asks").groupBy("key").agg(F.max_by(F.struct("n", "k", "to"), "n").alias("far"))
+        far = far.select("key", F.col("far.n").alias("n"), (F.col("far.n") + F.col("far.k")).alias("more"), F.col("far.to").alias("to")).where(F.col("n") >= (AGAIN if turn else 1))
+        far = stored(far, f"para-far{turn}")
+        best = far.select("key", "more") if best is None else best.unionByName(far.select("key", "more"))
+        if turn == SKIPS:
+            break
+        groups = far.select("to").distinct()
+        after = fine.join(groups, "to").select("key", F.col("to").alias("g"), (F.col("k") + F.col("n") + 1).alias("k"))
+        if not turn:  # ends that agree with none so far may do so behind their first word
+            after = after.unionByName(state.select("key", F.xxhash64("g", F.lit("skip")).alias("g"), F.lit(1).alias("k")))
+        own = far.select("key", F.col("to").alias("g"), F.lit(True).alias("asks"))
+        if not turn:
+            own = own.unionByName(state.join(far.select("key"), "key", "left_anti").select("key", F.xxhash64("g", F.lit("skip")).alias("g"), F.lit(True).alias("asks")))
+        after = after.join(own, ["key", "g"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        state = stored(after.join(ends.select("key", "doc_id", "h"), "key").where(F.col("k") < F.size("h") - 1), f"para-state{turn}")
+    best = best.groupBy("key").agg(F.max("more").alias("more"))
+    return best.join(ends.select("key", "at"), "key").select("key", "more", F.element_at("at", F.col("more").cast("int") + 1).alias("at"))
+
+
+def _apart(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that rows of two documents or more have."""
+    return df.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi")
+
+
+def passages(docs: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """hits with passage_start, passage_end and passage_words; hits: matched paragraphs (pid, doc_id, version, start, end, n_words, word, component)."""
+    place = Window.partitionBy("doc_id", "version").orderBy("word")
+    last = F.lag(F.struct("component", (F.col("word") + F.col("n_words")).alias("to"))).over(place)
+    row = hits.withColumn("last", last).withColumn("gap", F.col("word") - F.col("last.to")).withColumn("before", F.col("last.component")).drop("last")
+    row = stored(row, "para-order")
+    both = _apart(row.where(F.col("gap") <= GAP), "before", "component").withColumn("shared", F.lit(True))
+    row = row.join(both, ["before", "component"], "left").withColumn("shared", F.coalesce(F.col("shared") & (F.col("gap") <= GAP), F.lit(False)))
+    fresh = F.when(F.col("shared") & (F.col("gap") == 0), 0).otherwise(1)
+    row = row.withColumn("piece", F.sum(fresh).over(place))
+    row = row.withColumn("next", F.lead("piece").over(place))
+    row = row.withColumn("opens", fresh == 1).withColumn("closes", F.col("next").isNull() | (F.col("next") != F.col("piece"))).drop("next")
+    row = stored(row, "para-pieces")
+
+    side = lambda on, out: row.where(on).select(F.col("component").alias("of"), F.lit(out).alias("side")).distinct()
+    ends = side("opens", -1).unionByName(side("closes", 1))
+    key = F.when(F.col("side") < 0, F.col("pid")).otherwise(F.bitwise_not("pid"))
+    wanted = row.select("pid", "doc_id", F.col("component").alias("of")).join(ends, "of").select(key.alias("key"), "doc_id", "of", "side")
+    wanted = stored(wanted, "para-ends")
+    words = around(docs, wanted.select(F.col("key").alias("pid")), min_words).dropDuplicates(["key"])
+    far = stored(extended(stored(wanted.join(words, "key"), "para-around")), "para-extended")
+
+    ahead, behind = (far.select(F.col("key").alias("pid" if s < 0 else "other"), F.col("more").alias(f"more{s}"), F.col("at").alias(f"at{s}")) for s in (-1, 1))
+    behind = behind.withColumn("pid", F.bitwise_not("other")).drop("other")
+    row = row.join(ahead, "pid", "left").join(behind, "pid", "left")
+    piece = row.groupBy("doc_id", "version", "piece").agg(
+        F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min_by(F.struct("gap", "shared", "start", F.coalesce("more-1", F.lit(0)).alias("more"), "at-1"), "word").alias("l"), F.max_by(F.struct("end", F.coalesce("more1", F.lit(0)).alias("more"), "at1"), "word").alias("r")
+    )
+    order = Window.partitionBy("doc_id", "version").orderBy("piece")
+    unlike = F.col("l.gap") - F.col("l.more") - F.lag("r.more").over(order)
+    piece = piece.withColumn("joins", F.coalesce(F.col("l.shared") & (unlike <= EDITED), F.lit(False)))
+    piece = piece.withColumn("passage", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
+    whole = Window.partitionBy("doc_id", "version", "passage")
+    first, final = (F.col("word") - F.col("l.more")).alias("w"), (F.col("to") + F.col("r.more")).alias("w")
+    lo = F.min_by(F.struct(first, F.coalesce("l.at-1", "l.start").alias("p")), "piece").over(whole)
+    hi = F.max_by(F.struct(final, F.coalesce("r.at1", "r.end").alias("p")), "piece").over(whole)
+    piece = piece.withColumn("lo", lo).withColumn("hi", hi).withColumn("passage_words", F.col("hi.w") - F.col("lo.w")).where(F.col("passage_words") >= min_words)
+    piece = piece.select("doc_id", "version", "piece", F.col("lo.p").cast("long").alias("passage_start"), F.col("hi.p").cast("long").alias("passage_end"), "passage_words")
+    return row.drop("more-1", "at-1", "more1", "at1").join(piece, ["doc_id", "version", "piece"])
+
+
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
+    """(doc_id, start, end, n_words, component_id, kept, passage_start, passage_end, passage_words, version):
+    the matched paragraphs of passages of min_words words or more that stand in several documents.
+
+    component_id is the smallest doc_id of the paragraph's component; kept is true for its first
+    paragraph by (doc_id, start).  Places are code points.  A passage repeated within one document
+    only is none.  Null, empty or blank texts and documents of a null id give no rows; rows that
+    share id and text count once, rows that share the id alone are told apart by `version`.  An
+    empty table gives an empty one; other columns are ignored.
     """
     docs = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    rows = stored(sketch_paragraphs(docs, match_words, cfg), "para-rows")
-    got, _ = neardup.near_classes(rows.select(*neardup.SKETCH.names), paragraph_set_rows(docs, match_words, cfg), cfg, "para", keep=rows)
-    got = stored(got.select("doc_id", "start", "end", "n_words", "line", "component").dropDuplicates(["doc_id", "line"]), "para-members")
-    many = got.groupBy("component").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "start")).alias("f")).where("m > 1")
-    many = stored(many, "para-components")
-    first = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("start") == F.col("f.start"))
-    out = got.join(many, "component").select("doc_id", "start", "end", "n_words", "line", F.col("f.doc_id").alias("component_id"), first.alias("kept"))
-    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    out = out.withColumn("run", run).withColumn("total", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    return out.where(F.col("total") >= min_words).drop("line", "run", "total")
+    rows = stored(sketch_paragraphs(docs, cfg), "para-rows")
+    got = neardup.linked(rows, paragraph_set_rows(docs, cfg), cfg, "para").dropDuplicates(["pid"])
+    got = stored(got.select("pid", "doc_id", "version", "start", "end", "n_words", "word", "component"), "para-members")
+    many = got.groupBy("component").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "version")).alias("f")).where("hi > f.doc_id")
+    many = stored(many.select("component", "f"), "para-components")
+    hits = stored(got.join(many, "component"), "para-hits")
+    out = passages(docs, hits, min_words)
+    first = F.struct("doc_id", "start", "version") == F.col("f")
+    return out.select("doc_id", "start", "end", "n_words", F.col("f.doc_id").alias("component_id"), first.alias("kept"), "passage_start", "passage_end", "passage_words", "version")
+
+
+def versions(docs: DataFrame) -> DataFrame:
+    """docs with __version: the row's key as `repeated` has it."""
+    names = docs.columns
+    at, of = names.index("text"), names.index("doc_id")
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(of).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            out = np.zeros(batch.num_rows, np.int64)
+            for a, b, data, off in slices(batch.column(at)):
+                w = Words(data, off)
+                out[a:b] = signed(mix(w.span_hash(off[:-1], off[1:]) ^ mix(ids[a:b].copy().view(U64), 1), 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "__version"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__version", T.LongType())]))
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
-    """docs with every repeated paragraph but a component's first removed from the text."""
-    cuts = repeated(docs, min_words, cfg).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
+    """docs with every matched paragraph of a repeated passage but a component's first removed from the text.
+
+    Rows of a null id, and null texts, stay as they are.  The input must have no columns named __cuts or __version.
+    """
+    cuts = repeated(docs, min_words, cfg).where("not kept").groupBy(F.col("doc_id"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
     names = docs.columns
     at = names.index("text")
 
@@ -126,4 +326,5 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(cuts, "doc_id", "left").select(*(F.col(f"`{c}`") for c in names), "__cuts").mapInArrow(run, T.StructType(list(docs.schema.fields)))
+    keyed = versions(docs).join(cuts, ["doc_id", "__version"], "left")
+    return keyed.select(*(F.col(f"`{c}`") for c in names), "__cuts").mapInArrow(run, T.StructType(list(docs.schema.fields)))

@@ -306,47 +306,60 @@ def test_contaminated_finds_exact_and_edited_items(spark):
     assert cgk_decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_repeated_paragraphs_against_brute_force(spark):
-    rng = random.Random(11)
-    shared = [prose(rng, 60) for _ in range(5)]
-    notice, heading = prose(rng, 30), prose(rng, 25)
-    rows = []
+def test_repeated_passages_against_brute_force(spark):
+    """Passages of 51 words and more within longer lines, exact and edited; passages of 40 words, and repeats within a document, are none."""
+    rng = random.Random(3)
+    rows, planted, edited = [], set(), set()
     for i in range(40):
-        lines = [prose(rng, rng.randint(5, 80)) for _ in range(3)]
-        if i % 2:
-            w = rng.choice(shared).split(" ")
-            if rng.random() < 0.5:
-                w[rng.randrange(60)] = "changed"
-            lines.insert(rng.randrange(4), " ".join(w))
-        if i % 5 == 0:
-            lines[1:1] = [notice, *([heading] if i % 2 else [])]
-        rows.append((i + 10, "\n".join(lines)))
-    rows += ODD
-    paras, words, order = {}, {}, {}
-    for i, t in dict(rows).items():
-        at = 0
-        for line in (t or "").split("\n"):
-            w = line.lower().split()
-            if i is not None and len(w) >= 8:
-                k = (i, at + len(line) - len(line.lstrip()))
-                paras[k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-                words[k] = len(w)
-                order.setdefault(i, []).append(k)
-            at += len(line) + 1
-    keys = sorted(paras)
-    links = [(a, b) for a, b in itertools.combinations(keys, 2) if 100 * len(paras[a] & paras[b]) >= 80 * len(paras[a] | paras[b])]
-    want = closure(keys, links)
-    size = {k: sum(v == want[k] for v in want.values()) for k in keys}
-    expected = {}
-    for lines in order.values():
-        for matched, run in itertools.groupby(lines, key=lambda k: size[k] > 1):
-            run = list(run)
-            if matched and sum(words[k] for k in run) >= 50:
-                expected |= {k: (want[k][0], want[k] == k) for k in run}
-    got = {(r.doc_id, r.start): (r.component_id, r.kept) for r in paragraph_dedup.repeated(frame(spark, rows)).collect()}
-    assert got == expected and any(words[k] < 50 for k in got) and any(size[k] > 1 and k not in got for k in keys)
-    clean = {r.doc_id: r.text for r in paragraph_dedup.cleaned(frame(spark, rows)).collect()}
-    assert all((k not in got or got[k][1]) == (k[1] < 10**9 and dict(rows)[k[0]][k[1] : k[1] + 200] in clean[k[0]]) for k in got)
+        passage = prose(rng, rng.randint(60, 80) if i % 2 else rng.randint(51, 80)).split()
+        for j in range(2):
+            words = passage[:]
+            if j and i % 2:
+                for at in rng.sample(range(len(words)), 3):
+                    words[at] = "edit" + str(rng.randrange(10**6))
+            text = f"{prose(rng, 70)} {' '.join(words)} {prose(rng, 70)}"
+            rows.append((1000 + 2 * i + j, text))
+            (edited if i % 2 else planted).add(1000 + 2 * i + j)
+    short = prose(rng, 40)
+    rows += [(2000 + k, f"{prose(rng, 90)} {short} {prose(rng, 90)}") for k in range(6)]
+    twice = prose(rng, 60)
+    rows += [(2100, f"{twice} {prose(rng, 50)} {twice}"), (2101, prose(rng, 200))]
+    rows += [(2200, prose(rng, 30) + " shti" * 90), (2201, "shti " * 70 + prose(rng, 30))]
+    planted |= {2200, 2201}
+    rows += ODD + [(1000, prose(rng, 100))]  # another text of a known id
+    got = paragraph_dedup.repeated(frame(spark, rows)).collect()
+    found = {r.doc_id for r in got}
+    assert planted <= found
+    assert len(edited & found) >= 0.8 * len(edited), len(edited & found)
+    assert found <= planted | edited
+    text = dict(reversed(rows))
+    for r in got:
+        if r.doc_id in planted:
+            assert r.passage_words == len(text[r.doc_id][r.passage_start : r.passage_end].split()) >= 51
+            assert r.passage_start <= r.start < r.end <= r.passage_end
+        assert r.n_words == len(text[r.doc_id][r.start : r.end].split())
+    assert all(r.kept == (r.component_id == r.doc_id) for r in got if r.doc_id < 2000)
+    clean = [(r.doc_id, r.text) for r in paragraph_dedup.cleaned(frame(spark, rows)).collect()]
+    assert len(clean) == len(rows)
+    gone = {(r.doc_id, text[r.doc_id][r.start : r.end]) for r in got if not r.kept}
+    after = dict(c for c in clean if c[0] is not None and c[0] >= 1001 and c[0] < 3000)
+    assert all(piece not in after[i] for i, piece in gone if i not in (2200, 2201))
+    assert after[2101] == text[2101] and after[2000] == text[2000]
+    assert dict(clean)[9003] == "  \n " and dict(clean)[9001] is None
+    assert paragraph_dedup.repeated(frame(spark, [])).count() == 0
+    assert paragraph_dedup.cleaned(frame(spark, [])).count() == 0
+
+
+def test_paragraphs_break_alike_in_any_surroundings():
+    rng = random.Random(5)
+    for _ in range(200):
+        passage = prose(rng, 51)
+        cuts = []
+        for text in (f"{prose(rng, 40)} {passage} {prose(rng, 40)}", passage):
+            data = np.frombuffer(text.encode(), np.uint8)
+            p = paragraph_dedup.Paragraphs(np.array([1]), data, np.array([0, len(data)]))
+            cuts.append({text[a:b] for a, b in zip(p.start, p.end, strict=True)})
+        assert cuts[0] & cuts[1]
 
 
 def test_audit_locates_corruption(spark):
