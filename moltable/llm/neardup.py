@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, Words, array_batch, components, mix, plain, shingles, signed, slices, stored
+from .shared import U64, Words, array_batch, components, discard, mix, plain, shingles, signed, slices, stored
 
 VALUE_BITS = 52
 MANTISSA = 10
@@ -247,7 +247,9 @@ def verified(pairs: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg:
     x = pairs.join(sets.select(F.col("pid").alias("a"), F.col("set").alias("x")), "a")
     y = x.join(sets.select(F.col("pid").alias("b"), F.col("set").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return stored(y.where(both * 100 >= (F.size("x") + F.size("y") - both) * cfg.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+    out = stored(y.where(both * 100 >= (F.size("x") + F.size("y") - both) * cfg.percent).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+    discard(pairs)
+    return out
 
 
 def _hooked(label: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
@@ -312,7 +314,9 @@ def _block_links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
         x, y = np.nonzero(hit)
         return pa.Table.from_batches([array_batch(schema, a[0][x], b[0][y])])
 
-    return stored(both.groupBy("m", "p", "q").applyInArrow(compare, "u long, v long").distinct(), f"{name}-blocklinks")
+    out = stored(both.groupBy("m", "p", "q").applyInArrow(compare, "u long, v long").distinct(), f"{name}-blocklinks")
+    discard(part)
+    return out
 
 
 def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -329,13 +333,15 @@ def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Ban
 
     met = inside.where("pid <> lead").groupBy("pid", "lead").agg(F.count("*").alias("c"))
     pairs = met.groupBy("pid").agg(F.max_by("lead", "c").alias("a")).select("a", F.col("pid").alias("b"))
-    tried, links, label = None, None, None
+    tried, links, label, old = None, None, None, []
     for step in range(DRAWS + 2):
         if step:
             label = _hooked(label, more, f"{name}-label{step}")
             known = inside.select("key", "pid", "n").join(label, "pid", "left").withColumn("c", F.coalesce("c", "pid"))
             mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("pid", "c"), F.xxhash64("pid", "key", F.lit(step))).alias("drawn")).where("lo < hi").select("key", "drawn")
+            wider = inside
             inside = stored(known.join(mixed, "key").select("key", "pid", "n", "c", F.col("drawn.pid").alias("d"), F.col("drawn.c").alias("cd")), f"{name}-open{step}")
+            discard(wider)
             if inside.isEmpty():
                 break
             if step > DRAWS:
@@ -346,7 +352,9 @@ def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Ban
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = verified(likely(pairs, reps, cfg), sets_of, cfg, f"{name}-links{step}")
         links = more if links is None else links.unionByName(more)
+        old.append(pairs)
 
+    discard(inside, reps, *old)
     return light, classes, copies, links
 
 

@@ -9,10 +9,11 @@ paragraphs are verified on full sets; of each component that stands in two docum
 or more the first paragraph, by document and place, is kept.
 
 Paragraphs are then put together to passages.  Neighbours belong together if some other
-document has the same two components in a row.  The ends of such a piece are extended
-word by word, as far as another member of the component goes on alike, over up to
-SKIPS replaced words, and pieces go together across a few edited words.  Reported are the paragraphs of passages that hold
-at least `min_words` words, so that a repeated heading or notice alone is none.
+document has the same two components in a row.  The ends of a piece of fewer words than
+asked for, and of its neighbours, are extended word by word, as far as another member of
+the component goes on alike, over up to SKIPS replaced words; pieces go together across a
+few edited words.  Reported are the paragraphs of passages that hold at least `min_words`
+words, so that a repeated heading or notice alone is none.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import neardup
-from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
+from .shared import U64, Words, array_batch, discard, mix, plain, signed, slices, stored
 
 RADIUS = 6
 MIN_WORDS = 50
@@ -36,7 +37,7 @@ PERIOD = 2 * (RADIUS + 1)
 SKIPS = 2
 AGAIN = 4  # words that must be alike behind a replaced one
 LEVELS = (1, 2, 4, 8, 16, 32)
-BANDING = neardup.Banding(rows=2, bands=5, shingle=5, margin=1.0)  # misses 6e-3 of pairs at 0.8, next to none above 0.9
+BANDING = neardup.Banding(rows=2, bands=4, shingle=5, margin=1.0)  # misses 2e-2 of pairs at 0.8, 1e-3 at 0.9
 SCHEMA = pa.schema([("pid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("word", pa.int64())])
 DDL = "pid long, n long, s1 long, s2 long, sig array<long>, doc_id long, version long, start long, end long, n_words long, word long"
 
@@ -154,19 +155,15 @@ def paragraph_set_rows(docs: DataFrame, cfg: neardup.Banding):
 
 
 def around(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """(key, h, at): for the wanted keys, and some more, the words before a paragraph (key = pid) or behind it (key = ~pid).
-
-    h[k] is a hash of the k words next to it, at[k] the code point where the k-th of them ends on the far side.
-    """
+    """(key, h): for the wanted keys, and some more, h[k] is a hash of the k words before a paragraph (key = pid) or behind it (key = ~pid)."""
     sent = docs.sparkSession.sparkContext.broadcast(neardup.bloom(wanted))
-    schema = pa.schema([("key", pa.int64()), ("h", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+    schema = pa.schema([("key", pa.int64()), ("h", pa.list_(pa.int32()))])
     step = np.arange(0, reach + 1)
     salt = mix(step.astype(U64), 17)
 
     def run(batches):
         for batch in batches:
-            for _, data, off, p in _cut(batch):
-                point = _points(data)
+            for *_, p in _cut(batch):
                 for key, edge, sign in ((p.pid, p.head, -1), (~p.pid, p.head + p.size - 1, 1)):
                     hit = np.flatnonzero(neardup.in_bloom(sent.value, key))
                     for k in range(0, len(hit), 4000):
@@ -178,22 +175,20 @@ def around(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                         one = mix(p.hash[word] ^ salt[None, :], 19)
                         one[:, 0] = 0
                         h = np.bitwise_xor.accumulate(one, axis=1).astype(np.uint32).view(np.int32)[inside]
-                        at = (point[(p.w.start if sign < 0 else p.w.end)[word]] - point[off[row]][:, None])[inside]
                         edges = pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]), pa.int32())
-                        lists = (pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (h, at))
-                        yield pa.RecordBatch.from_arrays([pa.array(key[own]), *lists], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.ListArray.from_arrays(edges, pa.array(h))], schema=schema)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "key long, h array<int>, at array<int>")
+    return plain(docs, "doc_id", "text").mapInArrow(run, "key long, h array<int>")
 
 
 def extended(ends: DataFrame) -> DataFrame:
-    """(key, more, at): by how many words an end goes on like some other document's, and to which code point.
+    """(key, more): by how many words an end goes on like some other document's.
 
-    ends: stored (key, doc_id, of, side, h, at).  Ends of one component and side are one group.  In a group, how far
+    ends: stored (key, doc_id, of, side, asks, h); only those that ask get a row.  Ends of one component and side are one group.  In a group, how far
     an end agrees with another one is found at LEVELS first and then, where it does, word by word.  Those that agree as
     far as one of them does are a group of the next round, behind one word that may differ.  So no pairs are made.
     """
-    state = ends.select("key", "doc_id", "h", F.xxhash64("of", "side").alias("g"), F.lit(0).alias("k"), F.lit(True).alias("asks"))
+    state = ends.select("key", "doc_id", "h", F.xxhash64("of", "side").alias("g"), F.lit(0).alias("k"), "asks")
     best = None
     for turn in range(SKIPS + 1):
         left = F.size("h") - 1 - F.col("k")
@@ -202,7 +197,7 @@ def extended(ends: DataFrame) -> DataFrame:
         met = some.join(_apart(some, "to"), "to").groupBy("key", "g").agg(F.max("n").alias("level"))
         fine = state.join(met, ["key", "g"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(left, 2 * F.col("level") - 1))))
         fine = stored(fine.select("key", "doc_id", "g", "k", "asks", "n", diff(F.col("n")).alias("to")), f"para-try{turn}")
-        far = fine.join(_apart(fine, "to"), "to").where("asks").groupBy("key").agg(F.max_by(F.struct("n", "k", "to"), "n").alias("far"))
+        far = fine.join(_apart(fine, "to"), "to").where("asks").groupBy("key").agg(F.max_by(F.struct("n", "k", "to"), F.struct("n", "k", "to")).alias("far"))
         far = far.select("key", F.col("far.n").alias("n"), (F.col("far.n") + F.col("far.k")).alias("more"), F.col("far.to").alias("to")).where(F.col("n") >= (AGAIN if turn else 1))
         far = stored(far, f"para-far{turn}")
         best = far.select("key", "more") if best is None else best.unionByName(far.select("key", "more"))
@@ -212,13 +207,13 @@ def extended(ends: DataFrame) -> DataFrame:
         after = fine.join(groups, "to").select("key", F.col("to").alias("g"), (F.col("k") + F.col("n") + 1).alias("k"))
         if not turn:  # ends that agree with none so far may do so behind their first word
             after = after.unionByName(state.select("key", F.xxhash64("g", F.lit("skip")).alias("g"), F.lit(1).alias("k")))
-        own = far.select("key", F.col("to").alias("g"), F.lit(True).alias("asks"))
+        own = far.select("key", F.col("to").alias("g"))
         if not turn:
-            own = own.unionByName(state.join(far.select("key"), "key", "left_anti").select("key", F.xxhash64("g", F.lit("skip")).alias("g"), F.lit(True).alias("asks")))
-        after = after.join(own, ["key", "g"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            none = state.where("asks").join(far.select("key"), "key", "left_anti").select("key", F.xxhash64("g", F.lit("skip")).alias("g"))
+            after, own = after.join(own.select("g").unionByName(none.select("g")).distinct(), "g", "left_semi"), own.unionByName(none)
+        after = after.join(own.withColumn("asks", F.lit(True)), ["key", "g"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         state = stored(after.join(ends.select("key", "doc_id", "h"), "key").where(F.col("k") < F.size("h") - 1), f"para-state{turn}")
-    best = best.groupBy("key").agg(F.max("more").alias("more"))
-    return best.join(ends.select("key", "at"), "key").select("key", "more", F.element_at("at", F.col("more").cast("int") + 1).alias("at"))
+    return best.groupBy("key").agg(F.max("more").alias("more"))
 
 
 def _apart(df: DataFrame, *keys: str) -> DataFrame:
@@ -227,66 +222,73 @@ def _apart(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
-    """hits with passage_start, passage_end and passage_words; hits: matched paragraphs (pid, doc_id, version, start, end, n_words, word, component)."""
+    """hits with passage_word and passage_words; hits: matched paragraphs (pid, doc_id, version, start, end, n_words, word, component)."""
     place = Window.partitionBy("doc_id", "version").orderBy("word")
     last = F.lag(F.struct("component", (F.col("word") + F.col("n_words")).alias("to"))).over(place)
     row = hits.withColumn("last", last).withColumn("gap", F.col("word") - F.col("last.to")).withColumn("before", F.col("last.component")).drop("last")
     row = stored(row, "para-order")
+    discard(hits)
     both = _apart(row.where(F.col("gap") <= GAP), "before", "component").withColumn("shared", F.lit(True))
     row = row.join(both, ["before", "component"], "left").withColumn("shared", F.coalesce(F.col("shared") & (F.col("gap") <= GAP), F.lit(False)))
     fresh = F.when(F.col("shared") & (F.col("gap") == 0), 0).otherwise(1)
     row = row.withColumn("piece", F.sum(fresh).over(place))
-    row = row.withColumn("next", F.lead("piece").over(place))
-    row = row.withColumn("opens", fresh == 1).withColumn("closes", F.col("next").isNull() | (F.col("next") != F.col("piece"))).drop("next")
+    row = row.withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "version", "piece")))
+    small = lambda near, on: (F.col("words") < min_words) | on & (near < min_words)
+    row = row.withColumn("next", F.lead(F.struct("piece", "words", "shared")).over(place)).withColumn("prior", F.lag("words").over(place))
+    opens = (fresh == 1) & small(F.col("prior"), F.col("shared"))
+    closes = F.coalesce(F.col("next.piece") != F.col("piece"), F.lit(True)) & small(F.col("next.words"), F.col("next.shared"))
+    row = row.withColumn("opens", F.coalesce(opens, F.lit(False))).withColumn("closes", F.coalesce(closes, F.lit(False))).drop("next", "prior", "words")
     row = stored(row, "para-pieces")
 
     side = lambda on, out: row.where(on).select(F.col("component").alias("of"), F.lit(out).alias("side")).distinct()
     ends = side("opens", -1).unionByName(side("closes", 1))
-    key = F.when(F.col("side") < 0, F.col("pid")).otherwise(F.bitwise_not("pid"))
-    wanted = row.select("pid", "doc_id", F.col("component").alias("of")).join(ends, "of").select(key.alias("key"), "doc_id", "of", "side")
-    wanted = stored(wanted, "para-ends")
-    words = around(docs, wanted.select(F.col("key").alias("pid")), min_words).dropDuplicates(["key"])
-    far = stored(extended(stored(wanted.join(words, "key"), "para-around")), "para-extended")
-
-    ahead, behind = (far.select(F.col("key").alias("pid" if s < 0 else "other"), F.col("more").alias(f"more{s}"), F.col("at").alias(f"at{s}")) for s in (-1, 1))
+    wanted = row.select("pid", "doc_id", F.col("component").alias("of"), "opens", "closes").join(ends, "of")
+    left = F.col("side") < 0
+    key, asks = F.when(left, F.col("pid")).otherwise(F.bitwise_not("pid")), F.when(left, F.col("opens")).otherwise(F.col("closes"))
+    wanted = stored(wanted.select(key.alias("key"), "doc_id", "of", "side", asks.alias("asks")), "para-ends")
+    words = around(docs, wanted.select(F.col("key").alias("pid")), min_words)
+    ends = stored(wanted.join(words, "key"), "para-around")
+    far = stored(extended(ends), "para-extended")
+    discard(wanted, ends)
+
+    ahead, behind = (far.select(F.col("key").alias("pid" if s < 0 else "other"), F.col("more").alias(f"more{s}")) for s in (-1, 1))
     behind = behind.withColumn("pid", F.bitwise_not("other")).drop("other")
     row = row.join(ahead, "pid", "left").join(behind, "pid", "left")
     piece = row.groupBy("doc_id", "version", "piece").agg(
-        F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min_by(F.struct("gap", "shared", "start", F.coalesce("more-1", F.lit(0)).alias("more"), "at-1"), "word").alias("l"), F.max_by(F.struct("end", F.coalesce("more1", F.lit(0)).alias("more"), "at1"), "word").alias("r")
+        (F.min("word") - F.coalesce(F.min_by("more-1", "word"), F.lit(0))).alias("lo"), (F.max(F.col("word") + F.col("n_words")) + F.coalesce(F.max_by("more1", "word"), F.lit(0))).alias("hi"), F.min_by("shared", "word").alias("shared")
     )
     order = Window.partitionBy("doc_id", "version").orderBy("piece")
-    unlike = F.col("l.gap") - F.col("l.more") - F.lag("r.more").over(order)
-    piece = piece.withColumn("joins", F.coalesce(F.col("l.shared") & (unlike <= EDITED), F.lit(False)))
-    piece = piece.withColumn("passage", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
+    joins = F.coalesce(F.col("shared") & (F.col("lo") - F.lag("hi").over(order) <= EDITED), F.lit(False))
+    piece = piece.withColumn("joins", joins).withColumn("passage", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
     whole = Window.partitionBy("doc_id", "version", "passage")
-    first, final = (F.col("word") - F.col("l.more")).alias("w"), (F.col("to") + F.col("r.more")).alias("w")
-    lo = F.min_by(F.struct(first, F.coalesce("l.at-1", "l.start").alias("p")), "piece").over(whole)
-    hi = F.max_by(F.struct(final, F.coalesce("r.at1", "r.end").alias("p")), "piece").over(whole)
-    piece = piece.withColumn("lo", lo).withColumn("hi", hi).withColumn("passage_words", F.col("hi.w") - F.col("lo.w")).where(F.col("passage_words") >= min_words)
-    piece = piece.select("doc_id", "version", "piece", F.col("lo.p").cast("long").alias("passage_start"), F.col("hi.p").cast("long").alias("passage_end"), "passage_words")
-    return row.drop("more-1", "at-1", "more1", "at1").join(piece, ["doc_id", "version", "piece"])
+    piece = piece.withColumn("passage_word", F.min("lo").over(whole)).withColumn("passage_words", F.max("hi").over(whole) - F.col("passage_word"))
+    piece = piece.where(F.col("passage_words") >= min_words).select("doc_id", "version", "piece", "passage_word", "passage_words")
+    return row.drop("more-1", "more1").join(piece, ["doc_id", "version", "piece"])
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
-    """(doc_id, start, end, n_words, component_id, kept, passage_start, passage_end, passage_words, version):
-    the matched paragraphs of passages of min_words words or more that stand in several documents.
+    """(doc_id, start, end, n_words, word, component_id, kept, passage_word, passage_words, version): the matched paragraphs of passages of min_words words or more that stand in several documents.
 
     component_id is the smallest doc_id of the paragraph's component; kept is true for its first
-    paragraph by (doc_id, start).  Places are code points.  A passage repeated within one document
+    paragraph by (doc_id, start).  start and end are code points, word and passage_word numbers of words.  A passage repeated within one document
     only is none.  Null, empty or blank texts and documents of a null id give no rows; rows that
     share id and text count once, rows that share the id alone are told apart by `version`.  An
     empty table gives an empty one; other columns are ignored.
     """
     docs = plain(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = stored(docs.dropDuplicates(), "para-texts")
     rows = stored(sketch_paragraphs(docs, cfg), "para-rows")
-    got = neardup.linked(rows, paragraph_set_rows(docs, cfg), cfg, "para").dropDuplicates(["pid"])
+    got = neardup.linked(rows, paragraph_set_rows(docs, cfg), cfg, "para")
     got = stored(got.select("pid", "doc_id", "version", "start", "end", "n_words", "word", "component"), "para-members")
     many = got.groupBy("component").agg(F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "version")).alias("f")).where("hi > f.doc_id")
+    discard(rows)
     many = stored(many.select("component", "f"), "para-components")
     hits = stored(got.join(many, "component"), "para-hits")
+    discard(got, many)
     out = passages(docs, hits, min_words)
     first = F.struct("doc_id", "start", "version") == F.col("f")
-    return out.select("doc_id", "start", "end", "n_words", F.col("f.doc_id").alias("component_id"), first.alias("kept"), "passage_start", "passage_end", "passage_words", "version")
+    return out.select("doc_id", "start", "end", "n_words", "word", F.col("f.doc_id").alias("component_id"), first.alias("kept"), "passage_word", "passage_words", "version")
 
 
 def versions(docs: DataFrame) -> DataFrame:
