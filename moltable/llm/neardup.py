@@ -36,6 +36,7 @@ VALUE_BITS = 52
 MANTISSA = 10
 BLOOM_WORDS = 1 << 20
 DRAWS = 1  # rounds with a drawn member before the block comparison
+SMALL = 8  # members of a bucket whose pairs are compared one by one; larger buckets are compared block against block
 BLOCK_SETS = 512
 BLOCK_VALUES = 400_000
 
@@ -345,6 +346,12 @@ def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Ban
             if inside.isEmpty():
                 break
             if step > DRAWS:
+                small = inside.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") <= SMALL).select("key")
+                one, two = (inside.join(small, "key").select("key", F.col("pid").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
+                pairs = stored(one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"{name}-small")
+                links = links.unionByName(verified(likely(pairs, reps, cfg), sets_of, cfg, f"{name}-smalllinks"))
+                old.append(pairs)
+                inside = stored(inside.join(small, "key", "left_anti"), f"{name}-large")
                 links = links.unionByName(_block_links(inside, sets_of, cfg, name))
                 break
             pairs = inside.where("c <> cd").select(F.least("pid", "d").alias("a"), F.greatest("pid", "d").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")

@@ -36,7 +36,6 @@ EDITED = 4  # of them may differ
 PERIOD = 2 * (RADIUS + 1)
 SKIPS = 2
 AGAIN = 4  # words that must be alike behind a replaced one
-LEVELS = (1, 2, 4, 8, 16, 32)
 BANDING = neardup.Banding(rows=2, bands=4, shingle=5, margin=1.0)  # misses 2e-2 of pairs at 0.8, 1e-3 at 0.9
 SCHEMA = pa.schema([("pid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("word", pa.int64())])
 DDL = "pid long, n long, s1 long, s2 long, sig array<long>, doc_id long, version long, start long, end long, n_words long, word long"
@@ -155,11 +154,10 @@ def paragraph_set_rows(docs: DataFrame, cfg: neardup.Banding):
 
 
 def around(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
-    """(key, h): for the wanted keys, and some more, h[k] is a hash of the k words before a paragraph (key = pid) or behind it (key = ~pid)."""
+    """(key, h): for the wanted keys, and some more, hashes of the `reach` words before a paragraph (key = pid) or behind it (key = ~pid), the nearest first."""
     sent = docs.sparkSession.sparkContext.broadcast(neardup.bloom(wanted))
     schema = pa.schema([("key", pa.int64()), ("h", pa.list_(pa.int32()))])
-    step = np.arange(0, reach + 1)
-    salt = mix(step.astype(U64), 17)
+    step = np.arange(1, reach + 1)
 
     def run(batches):
         for batch in batches:
@@ -172,48 +170,81 @@ def around(docs: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
                         row = p.row[own]
                         inside = (word >= p.w.first[row][:, None]) & (word < p.w.first[row + 1][:, None])
                         word = np.where(inside, word, 0)
-                        one = mix(p.hash[word] ^ salt[None, :], 19)
-                        one[:, 0] = 0
-                        h = np.bitwise_xor.accumulate(one, axis=1).astype(np.uint32).view(np.int32)[inside]
+                        h = (p.hash[word].astype(np.uint32) | np.uint32(1)).view(np.int32)[inside]
                         edges = pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]), pa.int32())
                         yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.ListArray.from_arrays(edges, pa.array(h))], schema=schema)
 
     return plain(docs, "doc_id", "text").mapInArrow(run, "key long, h array<int>")
 
 
-def extended(ends: DataFrame) -> DataFrame:
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many words the rows of x and y begin alike, over SKIPS replaced words that AGAIN words alike follow; 0 is no word."""
+    same = (x == y) & (x != 0)
+    run = np.zeros((len(x), x.shape[1] + 2), np.int64)
+    for j in range(x.shape[1] - 1, -1, -1):
+        run[:, j] = np.where(same[:, j], run[:, j + 1] + 1, 0)
+    at = np.arange(len(x))
+    k = run[:, 0].copy()
+    for _ in range(SKIPS):
+        more = run[at, np.minimum(k + 1, x.shape[1])]
+        k = np.where(more >= AGAIN, k + 1 + more, k)
+    return k
+
+
+def _best(of: np.ndarray, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For rows sorted by (of, h): how far each is alike with the nearest row of its group and another document, before or behind."""
+    n = len(of)
+    new = np.append(True, (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]))
+    start = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    out = np.zeros(n, np.int64)
+    for near in (start[run] - 1, np.append(start[1:], n)[run]):
+        ok = np.flatnonzero((near >= 0) & (near < n))
+        ok = ok[of[near[ok]] == of[ok]]
+        out[ok] = np.maximum(out[ok], alike(h[ok], h[near[ok]]))
+    return out
+
+
+def extended(ends: DataFrame, reach: int) -> DataFrame:
     """(key, more): by how many words an end goes on like some other document's.
 
-    ends: stored (key, doc_id, of, side, asks, h); only those that ask get a row.  Ends of one component and side are one group.  In a group, how far
-    an end agrees with another one is found at LEVELS first and then, where it does, word by word.  Those that agree as
-    far as one of them does are a group of the next round, behind one word that may differ.  So no pairs are made.
+    ends: (key, doc_id, of, asks, h); only those that ask get a row.  Ends are sorted by group and by their words in range
+    partitions, so that the one that agrees longest stands next to each; no pairs are made and a hot group is split.  The first
+    and last rows of every partition are compared once more with those of the next, two rows a partition.
     """
-    state = ends.select("key", "doc_id", "h", F.xxhash64("of", "side").alias("g"), F.lit(0).alias("k"), "asks")
-    best = None
-    for turn in range(SKIPS + 1):
-        left = F.size("h") - 1 - F.col("k")
-        diff = lambda n: F.xxhash64("g", n, F.element_at("h", F.col("k") + n + 1).bitwiseXOR(F.element_at("h", F.col("k") + 1)))
-        some = state.withColumn("n", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n <= left))).select("key", "doc_id", "g", "n", diff(F.col("n")).alias("to"))
-        met = some.join(_apart(some, "to"), "to").groupBy("key", "g").agg(F.max("n").alias("level"))
-        fine = state.join(met, ["key", "g"]).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(left, 2 * F.col("level") - 1))))
-        fine = stored(fine.select("key", "doc_id", "g", "k", "asks", "n", diff(F.col("n")).alias("to")), f"para-try{turn}")
-        far = fine.join(_apart(fine, "to"), "to").where("asks").groupBy("key").agg(F.max_by(F.struct("n", "k", "to"), F.struct("n", "k", "to")).alias("far"))
-        far = far.select("key", F.col("far.n").alias("n"), (F.col("far.n") + F.col("far.k")).alias("more"), F.col("far.to").alias("to")).where(F.col("n") >= (AGAIN if turn else 1))
-        far = stored(far, f"para-far{turn}")
-        best = far.select("key", "more") if best is None else best.unionByName(far.select("key", "more"))
-        if turn == SKIPS:
-            break
-        groups = far.select("to").distinct()
-        after = fine.join(groups, "to").select("key", F.col("to").alias("g"), (F.col("k") + F.col("n") + 1).alias("k"))
-        if not turn:  # ends that agree with none so far may do so behind their first word
-            after = after.unionByName(state.select("key", F.xxhash64("g", F.lit("skip")).alias("g"), F.lit(1).alias("k")))
-        own = far.select("key", F.col("to").alias("g"))
-        if not turn:
-            none = state.where("asks").join(far.select("key"), "key", "left_anti").select("key", F.xxhash64("g", F.lit("skip")).alias("g"))
-            after, own = after.join(own.select("g").unionByName(none.select("g")).distinct(), "g", "left_semi"), own.unionByName(none)
-        after = after.join(own.withColumn("asks", F.lit(True)), ["key", "g"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        state = stored(after.join(ends.select("key", "doc_id", "h"), "key").where(F.col("k") < F.size("h") - 1), f"para-state{turn}")
-    return best.groupBy("key").agg(F.max("more").alias("more"))
+    schema = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("part", pa.int64()), ("of", pa.int64()), ("doc_id", pa.int64()), ("h", pa.list_(pa.int32()))])
+
+    def run(batches):
+        held = list(batches)  # one range partition
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, doc, of, part = (np.asarray(t.column(c)) for c in ("key", "doc_id", "of", "part"))
+        asks, lists = np.asarray(t.column("asks")), t.column("h").combine_chunks()
+        size = np.asarray(lists.value_lengths())
+        h = np.zeros((len(key), reach), np.int32)
+        h[np.repeat(np.arange(len(key)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+        more = _best(of, doc, h)
+        edge = np.zeros(len(key), bool)
+        edge[[0, -1]] = True
+        for kind, take in ((-1, np.flatnonzero(asks & (more > 0))), (0, np.flatnonzero(edge))):
+            for k in range(0, len(take), 4000):
+                own = take[k : k + 4000]
+                blank = pa.array([None] * len(own), pa.list_(pa.int32())) if kind else lists.take(pa.array(own))
+                yield array_batch(schema, key[own], more[own], np.full(len(own), -1) if kind else part[own], of[own], doc[own], blank)
+
+    laid = ends.repartitionByRange("of", "h").sortWithinPartitions("of", "h").select("key", "doc_id", "of", F.spark_partition_id().cast("long").alias("part"), "asks", "h")
+    out = stored(laid.mapInArrow(run, "key long, more long, part long, of long, doc_id long, h array<int>"), "para-far")
+    edges = sorted(out.where("part >= 0").collect(), key=lambda r: (r.part, r.of, r.h))
+    more = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a.part != b.part and a.of == b.of and a.doc_id != b.doc_id:
+            x, y = (np.array([r.h + [0] * (reach - len(r.h))]) for r in (a, b))
+            more += [(r.key, int(alike(x, y)[0])) for r in (a, b)]
+    found = out.where("part < 0").select("key", "more")
+    if more:
+        found = found.unionByName(out.sparkSession.createDataFrame(more, "key long, more long"))
+    return found.groupBy("key").agg(F.max("more").alias("more"))
 
 
 def _apart(df: DataFrame, *keys: str) -> DataFrame:
@@ -245,10 +276,10 @@ def passages(docs: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
     wanted = row.select("pid", "doc_id", F.col("component").alias("of"), "opens", "closes").join(ends, "of")
     left = F.col("side") < 0
     key, asks = F.when(left, F.col("pid")).otherwise(F.bitwise_not("pid")), F.when(left, F.col("opens")).otherwise(F.col("closes"))
-    wanted = stored(wanted.select(key.alias("key"), "doc_id", "of", "side", asks.alias("asks")), "para-ends")
+    wanted = stored(wanted.select(key.alias("key"), "doc_id", F.xxhash64("of", "side").alias("of"), asks.alias("asks")), "para-ends")
     words = around(docs, wanted.select(F.col("key").alias("pid")), min_words)
     ends = stored(wanted.join(words, "key"), "para-around")
-    far = stored(extended(ends), "para-extended")
+    far = extended(ends, min_words)
     discard(wanted, ends)
 
     ahead, behind = (far.select(F.col("key").alias("pid" if s < 0 else "other"), F.col("more").alias(f"more{s}")) for s in (-1, 1))
