@@ -214,10 +214,10 @@ def band_rows(reps: DataFrame, cfg: Banding) -> DataFrame:
 
 def likely(pairs: DataFrame, reps: DataFrame, cfg: Banding) -> DataFrame:
     """Of pairs (a, b) those that the estimate doesn't rule out; all of them where the sketch is too coarse for one (margin 1)."""
-    left = reps.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-    right = reps.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
     if cfg.margin >= 1:
         return pairs
+    left = reps.select(F.col("pid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
+    right = reps.select(F.col("pid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -320,15 +320,8 @@ def _block_links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
     return out
 
 
-def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str, keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """rows without sketches, classes of equal sets, copies with their class, and links (u, v) between class nodes; keyed: rows is stored already and has the band keys in sig."""
-    rows = rows if keyed else stored(rows, f"{name}-sketch")
-    light = rows.select("pid", "n", "s1", "s2")
-    classes = light.where("n > 0 and pid is not null").groupBy("n", "s1", "s2").agg(F.min("pid").alias("node"), F.max("pid").alias("last")).where("node < last")
-    classes = stored(classes, f"{name}-classes")
-    copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node"), f"{name}-copies")
-    reps = stored(rows.where("n > 0 and pid is not null").join(copies, "pid", "left_anti").select("pid", "n", "sig"), f"{name}-reps")
-    bands = reps.select(F.explode("sig").alias("key"), "pid", "n") if keyed else band_rows(reps, cfg)
+def _candidate_links(bands: DataFrame, reps: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
+    """Links (u, v) between members of buckets; bands: (key, pid, n), reps: stored sketches of the pids (for estimates), which are deleted in the end."""
     buckets = bands.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("key", "lead")
     inside = stored(bands.join(buckets, "key"), f"{name}-buckets")
 
@@ -362,24 +355,39 @@ def _links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Ban
         old.append(pairs)
 
     discard(inside, reps, *old)
-    return light, classes, copies, links
+    return links
 
 
 def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
-    """rows: sketches (SKETCH).  Gives (pid, n, node, component) of every row."""
-    light, _, copies, links = _links(rows, sets_of, cfg, name)
+    """rows: sketches (SKETCH).  Gives (pid, n, component) of every row."""
+    rows = stored(rows, f"{name}-sketch")
+    light = rows.select("pid", "n", "s1", "s2")
+    classes = light.where("n > 0 and pid is not null").groupBy("n", "s1", "s2").agg(F.min("pid").alias("node"), F.max("pid").alias("last")).where("node < last")
+    classes = stored(classes, f"{name}-classes")
+    copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node"), f"{name}-copies")
+    reps = stored(rows.where("n > 0 and pid is not null").join(copies, "pid", "left_anti").select("pid", "n", "sig"), f"{name}-reps")
+    links = _candidate_links(band_rows(reps, cfg), reps, sets_of, cfg, name)
     groups = components(links, f"{name}-cc")
     out = light.drop("s1", "s2").join(copies.distinct(), "pid", "left").withColumn("node", F.coalesce("node", "pid"))
-    return out.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return out.join(groups, "node", "left").select("pid", "n", F.coalesce("component", "node").alias("component"))
 
 
 def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
-    """rows: a stored table of pid, n, s1, s2, band keys (sig) and more columns.  Gives those of rows that are linked with another one, and their component."""
-    _, classes, copies, links = _links(rows, sets_of, cfg, name, keyed=True)
-    groups = components(links, f"{name}-cc")
-    own = copies.unionByName(classes.select(F.col("node").alias("pid"), "node")).unionByName(groups.select(F.col("node").alias("pid"), "node")).distinct()
-    own = own.join(groups, "node", "left").select("pid", F.coalesce("component", "node").alias("component"))
-    return rows.drop("s1", "s2", "sig", "n").join(stored(own, f"{name}-own"), "pid")
+    """rows: a stored table of pid, n, a set's hash s, its band keys k0, k1, ... and more columns.  Gives those of rows that are linked with another one, and their component."""
+    keys = [f"k{i}" for i in range(cfg.bands)]
+    reps = rows.groupBy("s").agg(F.min("pid").alias("pid"), F.min("n").alias("n"), F.count("*").alias("copies"), *(F.min(k).alias(k) for k in keys))
+    reps = stored(reps, f"{name}-reps")
+    twice = stored(reps.where("copies > 1").select("s", F.col("pid").alias("node")), f"{name}-copies")
+    bands = reps.select(F.explode(F.array(*keys)).alias("key"), "pid", "n").repartition("key")  # grouped and joined by key in one exchange
+    names = reps.select("s", F.col("pid").alias("node"))
+    named = stored(names, f"{name}-names")
+    links = _candidate_links(bands, reps, sets_of, cfg, name)
+    groups = stored(components(links, f"{name}-cc"), f"{name}-groups")
+    own = twice.unionByName(named.join(groups.select("node"), "node", "left_semi").select("s", "node")).distinct()
+    own = own.join(groups, "node", "left").select("s", F.coalesce("component", "node").alias("component"))
+    own = stored(own, f"{name}-own")
+    discard(named, twice, groups)
+    return rows.drop("n", *keys).join(own, "s").drop("s")
 
 
 def near_documents(docs: DataFrame, cfg: Banding, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

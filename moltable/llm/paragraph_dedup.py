@@ -37,8 +37,7 @@ PERIOD = 2 * (RADIUS + 1)
 SKIPS = 2
 AGAIN = 4  # words that must be alike behind a replaced one
 BANDING = neardup.Banding(rows=2, bands=4, shingle=5, margin=1.0)  # misses 2e-2 of pairs at 0.8, 1e-3 at 0.9
-SCHEMA = pa.schema([("pid", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("word", pa.int64())])
-DDL = "pid long, n long, s1 long, s2 long, sig array<long>, doc_id long, version long, start long, end long, n_words long, word long"
+PLACE = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("word", pa.int32())])
 
 
 def breaks(words: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -101,16 +100,18 @@ def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, P
         yield a, data, off, Paragraphs(ids[a:b].copy(), data, off)
 
 
-def band_keys(value: np.ndarray, para: np.ndarray, paragraphs: int, cfg: neardup.Banding) -> pa.ListArray:
+def band_keys(value: np.ndarray, para: np.ndarray, paragraphs: int, cfg: neardup.Banding) -> list[np.ndarray]:
     """A key for each band: a hash of the least values under `rows` hash functions, in full width, as the sets are small and many."""
     rng = np.random.Generator(np.random.PCG64(31))
     times = rng.integers(0, 2**63, (cfg.bands, cfg.rows), dtype=np.uint64) * U64(2) + U64(1)
     lead = np.searchsorted(para, np.arange(paragraphs))
-    keys = np.zeros((paragraphs, cfg.bands), U64)
+    keys = []
     for b in range(cfg.bands):
+        key = np.full(paragraphs, b, U64)
         for t in times[b]:
-            keys[:, b] = mix(keys[:, b] + np.minimum.reduceat(mix(value * t, b), lead), 1)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, cfg.bands), pa.int32()), pa.array(signed(keys.ravel())))
+            key = mix(key + np.minimum.reduceat(mix(value * t, b), lead), 1)
+        keys.append(signed(key))
+    return keys
 
 
 def _points(data: np.ndarray) -> np.ndarray:
@@ -120,6 +121,9 @@ def _points(data: np.ndarray) -> np.ndarray:
 def sketch_paragraphs(docs: DataFrame, cfg: neardup.Banding) -> DataFrame:
     """A row for each paragraph; start and end are code points of the text, word is the number of its first word."""
 
+    keys = [f"k{i}" for i in range(cfg.bands)]
+    schema = pa.schema([(c, pa.int64()) for c in ("pid", "n", "s", *keys)] + list(PLACE))
+
     def run(batches):
         for batch in batches:
             for a, data, off, p in _cut(batch):
@@ -128,12 +132,12 @@ def sketch_paragraphs(docs: DataFrame, cfg: neardup.Banding) -> DataFrame:
                 for own, value, para in p.sets(cfg.shingle):
                     many = own.stop - own.start
                     n, s1, s2 = neardup.set_sums(value, para, many)
-                    sketch = n, signed(s1), signed(s2), band_keys(value, para, many, cfg)
+                    sketch = n, signed(mix(s1 ^ mix(s2, 29), 37)), *band_keys(value, para, many, cfg)
                     row = p.row[own]
                     first = p.head[own] - p.w.first[row]
-                    yield array_batch(SCHEMA, p.pid[own], *sketch, batch.column(0).take(pa.array(a + row)), signed(p.version[own].copy()), point[p.start[own]] - base[own], point[p.end[own]] - base[own], p.size[own], first)
+                    yield array_batch(schema, p.pid[own], *sketch, batch.column(0).take(pa.array(a + row)), signed(p.version[own].copy()), point[p.start[own]] - base[own], point[p.end[own]] - base[own], p.size[own], first)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, DDL)
+    return plain(docs, "doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("pid", "n", "s", *keys, "doc_id", "version")) + ", start int, end int, n_words int, word int")
 
 
 def paragraph_set_rows(docs: DataFrame, cfg: neardup.Banding):
