@@ -321,7 +321,7 @@ def _block_links(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
 
 
 def _candidate_links(bands: DataFrame, reps: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Banding, name: str) -> DataFrame:
-    """Links (u, v) between members of buckets; bands: (key, pid, n), reps: stored sketches of the pids (for estimates), which are deleted in the end."""
+    """Links (u, v) between members of buckets; bands: (key, pid, n), reps: stored sketches of the pids, for estimates."""
     buckets = bands.groupBy("key").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("key", "lead")
     inside = stored(bands.join(buckets, "key"), f"{name}-buckets")
 
@@ -354,7 +354,7 @@ def _candidate_links(bands: DataFrame, reps: DataFrame, sets_of: Callable[[np.nd
         links = more if links is None else links.unionByName(more)
         old.append(pairs)
 
-    discard(inside, reps, *old)
+    discard(inside, *old)
     return links
 
 
@@ -367,6 +367,7 @@ def near_classes(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cf
     copies = stored(light.join(classes, ["n", "s1", "s2"]).where("pid <> node").select("pid", "node"), f"{name}-copies")
     reps = stored(rows.where("n > 0 and pid is not null").join(copies, "pid", "left_anti").select("pid", "n", "sig"), f"{name}-reps")
     links = _candidate_links(band_rows(reps, cfg), reps, sets_of, cfg, name)
+    discard(reps)
     groups = components(links, f"{name}-cc")
     out = light.drop("s1", "s2").join(copies.distinct(), "pid", "left").withColumn("node", F.coalesce("node", "pid"))
     return out.join(groups, "node", "left").select("pid", "n", F.coalesce("component", "node").alias("component"))
@@ -379,14 +380,12 @@ def linked(rows: DataFrame, sets_of: Callable[[np.ndarray], DataFrame], cfg: Ban
     reps = stored(reps, f"{name}-reps")
     twice = stored(reps.where("copies > 1").select("s", F.col("pid").alias("node")), f"{name}-copies")
     bands = reps.select(F.explode(F.array(*keys)).alias("key"), "pid", "n").repartition("key")  # grouped and joined by key in one exchange
-    names = reps.select("s", F.col("pid").alias("node"))
-    named = stored(names, f"{name}-names")
     links = _candidate_links(bands, reps, sets_of, cfg, name)
     groups = stored(components(links, f"{name}-cc"), f"{name}-groups")
-    own = twice.unionByName(named.join(groups.select("node"), "node", "left_semi").select("s", "node")).distinct()
+    own = twice.unionByName(reps.select("s", F.col("pid").alias("node")).join(groups.select("node"), "node", "left_semi").select("s", "node")).distinct()
     own = own.join(groups, "node", "left").select("s", F.coalesce("component", "node").alias("component"))
     own = stored(own, f"{name}-own")
-    discard(named, twice, groups)
+    discard(reps, twice, groups)
     return rows.drop("n", *keys).join(own, "s").drop("s")
 
 
