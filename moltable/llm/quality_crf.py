@@ -21,6 +21,7 @@ from .shared import Words, array_batch, plain, slices
 
 FIT_DOCUMENTS = 2500
 FIT_LINES = 2000
+FIT_BLOCK = 50
 OWN = 11
 FEATURES = 3 * OWN + 1
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 lower, 3 digit, 4 symbol, 5 !, 6 |, 7 sentence mark
@@ -142,7 +143,8 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = 20
 
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES) -> Model | None:
     """labels: (doc_id, label 0 or 1).  Learns from at most `documents` labelled rows, those of the
-    least hash of doc_id, and of them from those of at most `lines` lines; None without rows."""
+    least hash of doc_id.  Of a document of more than `lines` lines as many are taken, in runs of FIT_BLOCK
+    lines that are spread evenly over the whole text.  None without rows, or with labels of one kind."""
     chosen = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     schema = pa.schema([("label", pa.int64()), ("lines", pa.int64()), ("x", pa.binary())])
@@ -152,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, line
             for a, b, data, off in slices(batch.column(1)):
                 x, _, row = line_features(data, off)
                 n = np.bincount(row, minlength=b - a)
-                part = np.split(x, np.cumsum(n)[:-1])
-                ok = [i for i in range(b - a) if 0 < n[i] <= lines]
-                if ok:
-                    label = np.asarray(batch.column(0).slice(a, b - a))
-                    yield array_batch(schema, label[ok], n[ok], pa.array([part[i].astype(np.float32).tobytes() for i in ok], pa.binary()))
+                label, at = np.asarray(batch.column(0).slice(a, b - a)), np.cumsum(n) - n
+                for i in np.flatnonzero(n):
+                    own = x[at[i] : at[i] + n[i]].astype(np.float32)
+                    runs = [own] if n[i] <= lines else [own[k : k + FIT_BLOCK] for k in np.linspace(0, n[i] - FIT_BLOCK, lines // FIT_BLOCK).astype(int)]
+                    yield array_batch(schema, np.full(len(runs), label[i]), [len(r) for r in runs], pa.array([r.tobytes() for r in runs], pa.binary()))
 
     few = plain(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
     got = few.mapInArrow(run, "label long, lines long, x binary").toPandas()

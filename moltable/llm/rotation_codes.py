@@ -11,6 +11,7 @@ double precision.  Vectors that are equal are one class and are compared once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ from .shared import U64, array_batch, components, mix, signed, stored
 
 @dataclass(frozen=True)
 class Codes:
-    """At an angle t a pair shares a band's key with probability (1 - t / pi)**bits; 32 bands of 16 bits miss 2e-6 at cosine 0.98."""
+    """At an angle t a pair shares a band's key with probability (1 - t / pi)**bits; 32 bands of 16 bits miss 2e-6 at cosine 0.98.
+
+    A vector of few components gets more rotations than `rotations`, so that no bit of a key stands in two bands.
+    """
 
     rotations: int = 8
     bits: int = 16
@@ -32,9 +36,15 @@ class Codes:
     seed: int = 5
 
     def matrices(self, dim: int) -> np.ndarray:
-        rng = np.random.Generator(np.random.PCG64([self.seed, dim]))
-        q = np.linalg.qr(rng.standard_normal((self.rotations, dim, dim)))
-        return q[0] * np.sign(np.diagonal(q[1], axis1=1, axis2=2))[:, None, :]
+        return _matrices(self, dim)
+
+
+@lru_cache(maxsize=8)
+def _matrices(cfg: Codes, dim: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.PCG64([cfg.seed, dim]))
+    count = max(cfg.rotations, -(-cfg.bands * cfg.bits // dim))
+    q = np.linalg.qr(rng.standard_normal((count, dim, dim)))
+    return q[0] * np.sign(np.diagonal(q[1], axis1=1, axis2=2))[:, None, :]
 
 
 def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +91,7 @@ def near_vectors(vectors: DataFrame, cfg: Codes = Codes()) -> DataFrame:
                     sub = part.slice(a, 2000)
                     bits, _ = encode(unit(sub.column(1))[0], cfg)
                     flat = bits.reshape(len(bits), -1)
-                    take = np.resize(np.arange(flat.shape[1]), cfg.bands * cfg.bits)
-                    words = (flat[:, take].reshape(len(bits), cfg.bands, cfg.bits) << np.arange(cfg.bits)).sum(2).astype(U64)
+                    words = (flat[:, : cfg.bands * cfg.bits].reshape(len(bits), cfg.bands, cfg.bits) << np.arange(cfg.bits)).sum(2).astype(U64)
                     h = mix(words + (np.arange(cfg.bands, dtype=U64) << U64(32)) + U64(int(dim) << 48))
                     yield array_batch(schema, np.repeat(np.asarray(sub.column(0)), cfg.bands), signed(h.ravel().copy()))
 

@@ -39,6 +39,8 @@ EVIDENCE = 20.0
 _CLASS = np.zeros(0x180, np.int64)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED, 1):
     _CLASS[ord(_c)] = _i
+    if len(_c.upper()) == 1 and ord(_c.upper()) < len(_CLASS):
+        _CLASS[ord(_c.upper())] = _i
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
@@ -138,11 +140,13 @@ def count_characters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            for _, _, data, _ in slices(batch.column(0)):
-                point = np.frombuffer(data.tobytes().decode("utf-8").lower().encode("utf-32-le"), np.uint32)
+            for _, _, data, off in slices(batch.column(0)):
+                point = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
                 c = _CLASS[np.where(point < len(_CLASS), point, 0)]
+                row = np.repeat(np.arange(len(off) - 1), np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]))
                 if len(c) > 2:
-                    total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+                    own = row[:-2] == row[2:]  # no trigram goes over a row's end
+                    total += np.bincount(((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[own], minlength=CLASSES**3)
         at = np.flatnonzero(total)
         if len(at):
             yield array_batch(schema, at, total[at])
@@ -288,7 +292,7 @@ def copies(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, model: CharModel, documents: int = FIT_DOCUMENTS, table: int = TABLE) -> Lexicon:
     """labels: (doc_id, label 0 or 1).  Learns from at most `documents` labelled rows, those of the least hash of doc_id.
 
-    Near copies among them count once: of documents of one component of near copies and one label that of the least id stays.
+    The lexicon holds at most `table` pieces of evidence, those of most toxic rows.  Near copies among them count once: of documents of one component of near copies and one label that of the least id stays.
     """
     spark = docs.sparkSession
     chosen = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
