@@ -19,25 +19,44 @@ THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a quality score of at least THRESHOLD stay; the model learns from labelled rows that are not held out."""
+    """Documents of a quality score of at least THRESHOLD stay; the model learns from labelled rows that are not held out.
+
+    A null or empty text has the share of good documents as its score; repeated rows go or stay together.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
     return quality_crf.scored(docs, quality_crf.fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with __key: the doc_id, or, for a null id and for one that several rows share, a hash of id and text above all ids."""
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    if shared.isEmpty() and docs.where("doc_id is null").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id").cast("long"))
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    known = docs.join(shared.withColumn("__shared", F.lit(True)), F.col("doc_id") == F.col("__id"), "left")
+    return known.withColumn("__key", F.when(F.col("doc_id").isNull() | F.col("__shared").isNotNull(), own).otherwise(F.col("doc_id"))).drop("__id", "__shared")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays; of rows that share an id, one."""
-    out = neardup.near_documents(docs, neardup.Banding(shingle=5))
-    gone = out.where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the row of the smallest doc_id stays.
+
+    Rows of a null id or of one that others share stand behind all others, in the order of a hash of id and text; of
+    rows that are equal in both one stays.  Texts that are null or without words are in no group: all their rows stay.
+    An empty table gives an empty one.
+    """
+    keyed = row_keys(docs)
+    out = neardup.near_documents(keyed, neardup.Banding(shingle=5), id_col="__key")
+    gone = out.where("not kept").select(F.col("doc_id").alias("__key")).distinct()
+    left = keyed.join(gone, "__key", "left_anti")
+    many = (F.col("__key") >= F.lit(1 << 62)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~many).unionByName(left.where(many).dropDuplicates(["__key"])).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = cgk_decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents whose text holds a benchmark item go, whatever their id; null and empty texts hold none and stay.  Repeated rows go or stay together."""
+    held = F.xxhash64("text")
+    leaks = cgk_decontam.contaminated(docs.select(held.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", held).join(leaks, "__text", "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
