@@ -106,37 +106,66 @@ def minimum_image(reduced: Column, d: Vector) -> Column:
     return let(start, lambda base: F.array_min(F.transform(images, lambda s: image(base, s))))
 
 
-def translations(basis: Column, radius: Column, reach: int) -> Column:
-    """All lattice vectors up to a radius with coefficients within reach, as structs of i, j, k, x, y, z."""
-    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) for k in range(-reach, reach + 1)))
+def translations(basis: Column, radius: Column) -> Column:
+    """All lattice vectors up to a radius, as structs of i, j, k, x, y, z.
 
-    def point(s: Column) -> Column:
-        r = to_cartesian(basis, (s["i"].cast("double"), s["j"].cast("double"), s["k"].cast("double")))
-        return F.struct(s["i"].alias("i"), s["j"].alias("j"), s["k"].alias("k"), r[0].alias("x"), r[1].alias("y"), r[2].alias("z"))
+    A vector within the radius has coefficients of at most the radius times the length of the dual vector, which bounds each axis.
+    """
+    dual = reciprocal(basis)
+    reach = [F.floor(radius * F.sqrt(dot(column(dual, i), column(dual, i))) + 1e-9).cast("int") for i in range(3)]
+    axis = [F.sequence(-r, r) for r in reach]
 
-    far = lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= radius * radius
-    return F.filter(F.transform(grid, point), far)
+    def point(i: Column, j: Column, k: Column) -> Column:
+        r = to_cartesian(basis, (i.cast("double"), j.cast("double"), k.cast("double")))
+        return F.struct(i.alias("i"), j.alias("j"), k.alias("k"), r[0].alias("x"), r[1].alias("y"), r[2].alias("z"))
 
+    grid = F.flatten(F.transform(axis[0], lambda i: F.flatten(F.transform(axis[1], lambda j: F.transform(axis[2], lambda k: point(i, j, k))))))
+    return F.filter(grid, lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= radius * radius)
 
-def reduced(basis: Column, rounds: int = 24) -> Column:
-    """A Minkowski-reduced basis: the longest vector is shortened by the others, over and over, lengths ascending."""
+
+def reduced(basis: Column, rounds: int = 64) -> Column:
+    """A Minkowski-reduced basis, lengths ascending.
+
+    A round takes from the second vector its rounded multiple of the first, and from the longest the lattice vector of
+    the two others nearest to it: rounded coefficients within their plane, and their neighbours.  Each round that changes
+    something shortens a vector by whole multiples at once, so the rounds needed grow with the logarithm of the skew;
+    a basis that still changes after `rounds` of them is an error, not a wrong result.
+    """
 
     def ordered(s: Column) -> Column:
         rows = F.array(*(F.struct(dot(column(s, i), column(s, i)).alias("q"), F.lit(i).alias("i"), F.slice(s, 3 * i + 1, 3).alias("v")) for i in range(3)))
         return let(F.array_sort(rows), lambda r: F.concat(r[0]["v"], r[1]["v"], r[2]["v"]))
 
-    def step(s: Column, _: Column) -> Column:
-        a, b, c = (column(s, i) for i in range(3))
-        tries = [F.struct(dot(c, c).alias("q"), F.array(*c).alias("v"))]
-        k = F.round(dot(b, a) / dot(a, a))
-        b2 = tuple(y - k * x for x, y in zip(a, b, strict=True))
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                if i or j:
-                    v = tuple(z + i * x + j * y for x, y, z in zip(a, b, c, strict=True))
-                    tries.append(F.struct(dot(v, v).alias("q"), F.array(*v).alias("v")))
-        best = F.array_min(F.array(*tries))["v"]
-        shorter = dot(b2, b2) < dot(b, b)
-        return let(F.when(shorter, F.concat(F.slice(s, 1, 3), F.array(*b2), F.slice(s, 7, 3))).otherwise(F.concat(F.slice(s, 1, 6), best)), ordered)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), let(basis, ordered), step)
+    def square(v: Column) -> Column:
+        return v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+
+    def product(s: Column, i: int, j: int) -> Column:
+        return dot(column(s, i), column(s, j))
+
+    # every intermediate value is bound once, as expressions are trees and would double with each use
+    around = F.array(*(F.struct(F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+
+    def nearest(s: Column, k: Column) -> Column:
+        def away(o: Column) -> Column:
+            v = F.array(*(z - (k["i"] + o["i"]) * x - (k["j"] + o["j"]) * y for x, y, z in zip(*(column(s, n) for n in range(3)), strict=True)))
+            return let(v, lambda w: F.struct(square(w).alias("q"), w.alias("v")))
+
+        return let(F.array_min(F.transform(around, away)), lambda m: F.when(m["q"] < product(s, 2, 2) * (1 - 1e-14), F.concat(F.slice(s, 1, 6), m["v"])).otherwise(s))
+
+    def third(s: Column) -> Column:
+        gram = F.struct(*(product(s, i, j).alias(f"g{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1), (0, 2), (1, 2))))
+        plane = lambda g: g["g00"] * g["g11"] - g["g01"] * g["g01"]
+        start = lambda g: F.struct(F.round((g["g02"] * g["g11"] - g["g12"] * g["g01"]) / plane(g)).alias("i"), F.round((g["g12"] * g["g00"] - g["g02"] * g["g01"]) / plane(g)).alias("j"))
+        return let(let(gram, start), lambda k: nearest(s, k))
+
+    def step(s: Column) -> Column:
+        second = let(F.round(product(s, 1, 0) / product(s, 0, 0)), lambda k: F.array(*(y - k * x for x, y in zip(column(s, 0), column(s, 1), strict=True))))
+        return let(second, lambda v: F.when(square(v) < product(s, 1, 1) * (1 - 1e-14), F.concat(F.slice(s, 1, 3), v, F.slice(s, 7, 3))).otherwise(third(s)))
+
+    def turn(state: Column, _: Column) -> Column:
+        following = lambda s: let(let(s, step), lambda n: let(ordered(n), lambda m: F.struct(m.alias("s"), (m == s).alias("done"))))
+        return F.when(state["done"], state).otherwise(let(state["s"], following))
+
+    start = F.struct(let(basis, ordered).alias("s"), F.lit(False).alias("done"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
+    return let(end, lambda e: F.when(e["done"], e["s"]).otherwise(F.raise_error(F.lit("lattice reduction does not end")).cast("array<double>")))

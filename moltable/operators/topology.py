@@ -15,22 +15,30 @@ from ..model import degrees, incidence
 from ..storage import stored
 
 
-def _expand(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], name: str) -> DataFrame:
-    """All rows reached from start: step gives the next rows of the last ones; known keys are dropped."""
+def _expand(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], name: str, levels: bool = False, depth: int | None = None) -> DataFrame:
+    """All rows reached from start: step gives the next rows of the last ones; known keys are dropped.
+
+    levels: every step goes over one bond and bonds go both ways, so that only the last two levels can come again.
+    depth: how many steps to take at most.
+    """
     seen = last = stored(start, name)
-    while True:
-        new = stored(step(last).dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti").select(*start.columns), name)
+    before = None
+    while depth is None or depth > 0:
+        known = seen if not levels else last if before is None else last.unionByName(before)
+        new = stored(step(last).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*start.columns), name)
         if new.isEmpty():
-            return seen
-        seen, last = seen.unionByName(new), new
+            break
+        seen, last, before = seen.unionByName(new), new, last
+        depth = None if depth is None else depth - 1
+    return seen
 
 
-def distances(sites: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol_id, a, b, d): hops between all pairs of sites that are connected, itself at 0."""
+def distances(sites: DataFrame, bonds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(mol_id, a, b, d): hops between all pairs of sites that are connected, itself at 0; up to `depth` hops if it is given."""
     inc = stored(incidence(bonds).select("mol_id", F.col("site_id").alias("b"), "nbr"), "inc")
     start = sites.select("mol_id", F.col("site_id").alias("a"), F.col("site_id").alias("b"), F.lit(0).alias("d"))
     step = lambda last: last.join(inc, ["mol_id", "b"]).select("mol_id", "a", F.col("nbr").alias("b"), (F.col("d") + 1).alias("d"))
-    return _expand(start, step, ["mol_id", "a", "b"], "dist")
+    return _expand(start, step, ["mol_id", "a", "b"], "dist", levels=True, depth=depth)
 
 
 def bfs(sites: DataFrame, bonds: DataFrame, starts: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def bfs(sites: DataFrame, bonds: DataFrame, starts: DataFrame) -> DataFrame:
     first = sites.select("mol_id", "site_id").join(starts.select("mol_id", F.col("start").alias("site_id")), ["mol_id", "site_id"])
     first = first.select("mol_id", F.col("site_id").alias("start"), "site_id", F.lit(0).alias("depth"))
     step = lambda last: last.join(inc, ["mol_id", "site_id"]).select("mol_id", "start", F.col("nbr").alias("site_id"), (F.col("depth") + 1).alias("depth"))
-    return _expand(first, step, ["mol_id", "start", "site_id"], "bfs")
+    return _expand(first, step, ["mol_id", "start", "site_id"], "bfs", levels=True)
 
 
 def components(sites: DataFrame, bonds: DataFrame) -> DataFrame:

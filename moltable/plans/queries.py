@@ -366,7 +366,7 @@ _PAIR = _REACH + f""", fp AS (SELECT mol_id, d, lo, hi, {_mix(_SEED, 'd', 'p')},
 
 def _pair_fp(spark, sf_dir):
     s, b = seeded(spark, sf_dir)
-    return fingerprint.pair(s, topology.distances(s, b), 3)
+    return fingerprint.pair(s, topology.distances(s, b, 3), 3)
 
 
 @query("fp_pair", CTE + _PAIR + f" SELECT mol_id, {_SIGNED('code')} AS code, n FROM pairfp")
@@ -634,7 +634,7 @@ def minimum_image(spark, sf_dir):
 @query("translations", "WITH p AS (SELECT p_partkey, 5 + p_size % 7 AS a FROM part), r AS (SELECT unnest(range(-3, 4)) AS i) SELECT p_partkey, count(*) AS n FROM p, r x, r y, r z WHERE (x.i ** 2 + y.i ** 2 + z.i ** 2) * a * a <= 144 GROUP BY p_partkey")
 def translations(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (5 + F.col("p_size") % 7).cast("double").alias("a"))
-    return p.select("p_partkey", F.size(lattice.translations(lattice.cubic(F.col("a")), F.lit(12.0), 3)).cast("long").alias("n"))
+    return p.select("p_partkey", F.size(lattice.translations(lattice.cubic(F.col("a")), F.lit(12.0))).cast("long").alias("n"))
 
 
 @query("lattice_reduced")

@@ -7,6 +7,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,41 @@ def test_minimum_image_in_an_oblique_cell(spark):
         assert abs(d2 - want) < 1e-9
 
 
+def test_reduction_of_very_skewed_cells(spark):
+    """Lengths after reduction are those of the shortest independent lattice vectors, however skewed the basis is."""
+    rng = random.Random(8)
+    cells = [([1.0, 0, 0, 0, 1.0, 0, 100.0, 0, 1.0], [1.0, 1.0, 1.0]), ([1.0, 0, 0, 1e6, 2.0, 0, -1e7, 12345.0, 3.0], None)]
+    for _ in range(20):
+        cells.append(([rng.uniform(-1, 1) * 10 ** rng.randint(0, 3) for _ in range(9)], None))
+    df = spark.createDataFrame([(i, [float(v) for v in c]) for i, (c, _) in enumerate(cells)], "k int, cell array<double>")
+    got = {r.k: r.m for r in df.select("k", lattice.reduced(F.col("cell")).alias("m")).collect()}
+    for k, (cell, want) in enumerate(cells):
+        m = np.array(got[k]).reshape(3, 3)
+        length = np.sqrt((m * m).sum(1))
+        assert (np.diff(length) >= -1e-9).all()
+        assert abs(abs(np.linalg.det(m)) / abs(np.linalg.det(np.array(cell).reshape(3, 3))) - 1) < 1e-6
+        near = sorted((float(np.linalg.norm(np.array(v) @ m)), v) for v in itertools.product(range(-3, 4), repeat=3) if any(v))
+        short = []  # successive minima by enumeration
+        for d, v in near:
+            if np.linalg.matrix_rank(np.array([*(s for _, s in short), v])) > len(short):
+                short.append((d, v))
+        assert np.allclose(length, [d for d, _ in short], rtol=1e-9)
+        if want:
+            assert np.allclose(length, want)
+    d2 = df.where("k = 0").withColumn("m", lattice.reduced(F.col("cell"))).select(lattice.minimum_image(F.col("m"), (F.lit(0.0), F.lit(0.0), F.lit(0.9)))["d2"].alias("d")).first().d
+    assert abs(d2 - 0.01) < 1e-9
+
+
+def test_translations_are_all_vectors_in_the_radius(spark):
+    rows = [([1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0], 4.0), ([1.0, 0, 0, 0.9, 0.5, 0, 0.3, 0.2, 2.0], 3.0)]
+    got = spark.createDataFrame([([float(v) for v in c], r) for c, r in rows], "cell array<double>, r double").select(lattice.translations(F.col("cell"), F.col("r")).alias("t")).collect()
+    for (cell, radius), row in zip(rows, got, strict=True):
+        m = np.array(cell).reshape(3, 3)
+        want = {v for v in itertools.product(range(-15, 16), repeat=3) if np.linalg.norm(np.array(v) @ m) <= radius}
+        assert {(p.i, p.j, p.k) for p in row.t} == want
+    assert len(got[0].t) == 257
+
+
 def test_scalars_and_tensors(spark):
     row = spark.range(1).select(
         scalar.divide(F.lit(1.0), F.lit(0.0)).alias("a"), scalar.divide(F.lit(1.0), F.lit(-0.0)).alias("b"), scalar.minimum(F.lit(float("nan")), F.lit(2.0)).alias("c"), scalar.signum(F.lit(-0.0)).alias("d"),
