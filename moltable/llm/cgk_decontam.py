@@ -5,7 +5,7 @@ the pointer on if a random bit of (step, character) says so.  Two texts of small
 distance walk together most of the time, so their outputs have small Hamming distance.
 A key samples some output positions; `repeats` walks with a key each are drawn.
 
-Windows of items start at each of their words, windows of documents at every third
+Windows of items start at each of their words, windows of documents at every second
 word, so that an item in a document has several aligned pairs of windows, each with
 `repeats` chances.  A pair with a common key goes on if the outputs agree in at least
 `least` steps and in a share of `agree` of those within the item, and if the 60 bytes
@@ -38,7 +38,7 @@ class Walk:
     sampled: int = 36
     samples: int = 10
     repeats: int = 3
-    stride: int = 3
+    stride: int = 2
     tail: int = 24
     agree: float = 0.35
     least: int = 30
