@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where none is set, as in tests."""
+    """spark.checkpoint.dir; where none is set a local folder on a local master, as in tests, and an error on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         got = os.path.join(tempfile.gettempdir(), "moltable-checkpoints")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
