@@ -3,22 +3,24 @@
 Each merge (u, v) -> w of the vocabulary is one *gadget* put into an automaton whose
 states are "after token x" and whose arcs are labelled by tokens: the gadget adds a
 w arc beside every path u v and cuts the v arc out of the state behind u.  The state
-behind w is a copy of the state behind v as it was then.  Written out, the arcs are
+behind w is a copy of the state behind v as it was then.  Written out, these arcs are
 of the order of the vocabulary squared, so they are kept as what the gadgets did: a
 table of cuts with the time of each, and for each token its time and two parts.
-Whether an arc exists is then read off these tables, by going down the right parts
-of the one token and the left parts of the other.
 
-Every text has one path through the automaton, and so has every prefix of it.  Encoding
-walks along a pre-split word: from a state the arcs that spell what comes next are
-looked up, longest first; a place that turns out to lead nowhere is never entered
-again, as only one path could have reached it.  Decoding emits the labels of the ids.
+Texts are read by bytes, so the automaton is made deterministic over bytes: a state
+holds, for every token label that the last bytes may begin, the token that stands
+before it, and the token that ends here.  Every prefix of a text has one path through
+the gadgets' automaton, so there is one such token.  A state is a row of 256 entries of
+a transition table; entries are compiled from the gadgets when they are first met.
+Encoding is a table lookup a byte, and the ids are read off backwards, from the token
+that ends the word.  Decoding emits the labels of the ids.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,9 +33,11 @@ from .shared import plain
 
 END = "</w>"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-MAX_ARCS = 1_000_000
+MAX_ARCS = 400_000
+MAX_STATES = 40_000  # rows of the transition table, of 1 KB each; a full table is begun again, with the same results
 LONG_WORD = 48
 NEVER = 1 << 60
+EMPTY_ROW = array("i", [-1]) * 256
 
 
 def byte_symbols() -> list[str]:
@@ -54,19 +58,85 @@ class Automaton:
         self._arcs: dict[tuple[int, int], bool] = {}
         for k, (a, b) in enumerate(merges):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.inner: dict[str, int] = {}  # labels within a word with their tokens; -1 for what only begins one
-        self.final: dict[str, int] = {}  # labels that end a word, without the mark
-        void = {i for i in vocab.values() if self.time[i] == NEVER}
-        for s, i in vocab.items():
-            if i in void:
+        self._compile_labels()
+
+    def _compile_labels(self) -> None:
+        """The trie of labels over bytes: at each node the token that it spells within a word, and at a word's end."""
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        self.child: dict[int, int] = {}
+        self.inner, self.final, self.grows = [-1], [-1], [False]
+        self.length = {}
+        for s, i in self.vocab.items():
+            ends = s.endswith(END) and len(s) > len(END)
+            label = s[: -len(END)] if ends else s
+            if self.time[i] == NEVER or self.time[i] < 0 and len(label) > 1:
                 continue
-            if s.endswith(END) and len(s) > len(END):
-                self.final[s[: -len(END)]] = i
+            node = 0
+            for c in label:
+                at = node << 8 | byte[c]
+                self.grows[node] = True
+                node = self.child.setdefault(at, len(self.inner))
+                if node == len(self.inner):
+                    self.inner.append(-1)
+                    self.final.append(-1)
+                    self.grows.append(False)
+            (self.final if ends else self.inner)[node] = i
+            self.length[i] = len(label)
+        self.nodes = len(self.inner)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: list[array] = []
+        self.spans: list[tuple[int, ...]] = []  # of each state: (token before + 1) * nodes + node of the label begun since
+        self.token: list[int] = []
+        self.ending: list[int | None] = []
+        self.state: dict[tuple[int, ...], int] = {}
+        self._enter((0,), -1)
+
+    def _enter(self, spans: tuple[int, ...], token: int) -> int:
+        got = self.state.get(spans)
+        if got is None:
+            got = self.state[spans] = len(self.rows)
+            self.rows.append(array("i", EMPTY_ROW))
+            self.spans.append(spans)
+            self.token.append(token)
+            self.ending.append(None)
+        return got
+
+    def _transition(self, state: int, b: int) -> int:
+        """Compile one entry of the table: each begun label goes on by byte b, and the one that is whole here ends."""
+        spans, token, nodes = [], -1, self.nodes
+        for code in self.spans[state]:
+            before, node = divmod(code, nodes)
+            node = self.child.get(node << 8 | b)
+            if node is None:
                 continue
-            self.inner[s] = i
-            for k in range(1, len(s)):
-                self.inner.setdefault(s[:k], -1)
-        self.reach = max(map(len, self.final), default=1)
+            t = self.inner[node]
+            if t >= 0 and (not before or self.arc(before - 1, t)):
+                token = t
+            if self.grows[node] or self.final[node] >= 0:
+                spans.append(before * nodes + node)
+        if token >= 0:
+            spans.append((token + 1) * nodes)
+        if len(self.rows) >= MAX_STATES:
+            self._clear()
+            return self._enter(tuple(spans), token)
+        row = self.rows[state]
+        row[b] = to = self._enter(tuple(spans), token)
+        return to
+
+    def _word_end(self, state: int) -> int:
+        """The token that ends a word in this state, -1 for none."""
+        got = self.ending[state]
+        if got is None:
+            got = -1
+            for code in self.spans[state]:
+                before, node = divmod(code, self.nodes)
+                t = self.final[node]
+                if t >= 0 and (not before or self.arc(before - 1, t)):
+                    got = t
+            self.ending[state] = got
+        return got
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         """Merge number k: w beside u v, and v no longer behind u.  A pair that earlier gadgets cut everywhere makes nothing."""
@@ -100,40 +170,24 @@ class Automaton:
             else:
                 until, also, x = a, False, self.right[x]
 
-    def _ahead(self, word: str, at: int) -> list[tuple[int, int]]:
-        """(token, end) of the arcs that spell what follows `at`, the longest last."""
-        out, inner, n = [], self.inner, len(word)
-        for end in range(at + 1, n):
-            t = inner.get(word[at:end])
-            if t is None:
-                break
-            if t >= 0:
-                out.append((t, end))
-        if n - at <= self.reach and (t := self.final.get(word[at:])) is not None:
-            out.append((t, n))
-        return out
-
     def encode(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-split word of byte symbols."""
+        """Ids of one pre-split word."""
         if not word:
             return ()
-        n, path, ends, ahead, dead = len(word), [], [0], [self._ahead(word, 0)], set()
-        while True:
-            if not ahead[-1]:
-                dead.add(ends.pop())
-                ahead.pop()
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                path.pop()
-                continue
-            t, end = ahead[-1].pop()
-            if end in dead or path and not self.arc(path[-1], t):
-                continue
+        state, tokens = 0, []
+        data = word.encode("utf-8")
+        for b in data:
+            to = self.rows[state][b]
+            state = to if to >= 0 else self._transition(state, b)
+            tokens.append(self.token[state])
+        path, at, t = [], len(data), self._word_end(state)
+        while t >= 0:
             path.append(t)
-            if end == n:
-                return tuple(path)
-            ends.append(end)
-            ahead.append(self._ahead(word, end))
+            at -= self.length[t]
+            if at == 0:
+                return tuple(reversed(path))
+            t = tokens[at - 1]
+        raise ValueError(f"no path spells {word!r}")
 
 
 class Codec:
@@ -149,7 +203,6 @@ class Codec:
         self.automaton.labels |= {i: s for s, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = tuple(self.special)
-        self.table = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.words = _Words(self)
 
     def pieces(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
@@ -164,7 +217,7 @@ class Codec:
                 yield None, PRETOKEN.findall(p.lower())
 
     def word_ids(self, word: str) -> tuple[int, ...]:
-        return self.automaton.encode(word.encode("utf-8").decode("latin-1").translate(self.table))
+        return self.automaton.encode(word)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
