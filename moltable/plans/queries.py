@@ -202,24 +202,17 @@ def components(spark, sf_dir):
     return topology.components(*molecules(spark, sf_dir))
 
 
-@query(
-    "components_network",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS c, l_suppkey + 1000000000 AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 3 = 0 AND o_custkey % 11 = 0)
-, n AS (SELECT c AS x FROM e UNION SELECT s FROM e), b AS (SELECT c AS x, s AS y FROM e UNION ALL SELECT s, c FROM e)
-, r AS (SELECT x, x AS y FROM n UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
-SELECT x AS site_id, min(y) AS component FROM r GROUP BY x""",
-)
-def components_network(spark, sf_dir):
-    """One large graph, of customers and suppliers, instead of many small ones."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    e = o.where("o_custkey % 11 = 0").join(li.where("l_suppkey % 3 = 0"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
-    node = e.select(F.col("a").alias("site_id")).union(e.select("b")).distinct().withColumn("mol_id", F.lit(1).cast("long"))
-    return topology.components(node, e.withColumn("mol_id", F.lit(1).cast("long")).withColumn("bond_id", F.lit(0))).select("site_id", "component")
+NETWORK_COMPONENTS = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT o_custkey AS c, l_suppkey + 1000000000 AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+, b AS MATERIALIZED (SELECT c AS x, s AS y FROM e UNION ALL SELECT s, c FROM e)
+, r(x, m) USING KEY (x) AS (SELECT x, min(least(x, y)) FROM b GROUP BY x
+  UNION SELECT b.y, min(r.m) FROM r JOIN b ON b.x = r.x JOIN recurring.r AS known ON known.x = b.y WHERE r.m < known.m GROUP BY b.y)
+SELECT x AS site_id, m AS component FROM r"""
 
 
-@query("components_network_whole")
-def components_network_whole(spark, sf_dir):
-    """The graph of components_network over every customer and supplier; too many reached pairs for its SQL."""
+@query("components_network", NETWORK_COMPONENTS)
+@query("components_network_whole", NETWORK_COMPONENTS)
+def components_network(spark, sf_dir):
+    """One large graph, of all customers and suppliers, instead of many small ones."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     one = F.lit(1).cast("long").alias("mol_id")
     e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(one, F.lit(0).alias("bond_id"), F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
