@@ -6,7 +6,7 @@ number of bits that holds N permutes the numbers, walking on while a value lies
 outside (cycle-walking), so the permutation is of exactly 0..N-1, needs no table and
 can be inverted.  Slots are range-partitioned into shards of a fixed number of
 sequences of a fixed stride: where a slot's tokens start follows from its number, and
-a reader goes on from any slot.
+read() goes on from any slot.
 """
 
 from __future__ import annotations
@@ -156,7 +156,11 @@ def shards(docs: DataFrame, cfg: Layout = Layout()) -> DataFrame:
         first = F.broadcast(first)
     placed = sequences(docs, cfg).join(first, "doc_id").select("doc_id", "seq", "n_tokens", "body", "first")
     placed = placed.mapInArrow(place, "shard long, slot long, doc_id long, seq long, n_tokens long, body binary")
-    return stored(placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(write, SHARD_DDL), "shards", "zstd")
+    # slots are uniform and their number is known, so ranges of shards need no sample, which would encode all texts a second time
+    n_shards = -(-n // cfg.per_shard)
+    parts = max(1, min(n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {max(n_shards, 1)} as int)"))
+    return stored(ranged.sortWithinPartitions("slot").mapInArrow(write, SHARD_DDL), "shards", "zstd")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -176,3 +180,25 @@ def index(written: DataFrame, cfg: Layout = Layout()) -> DataFrame:
                 yield array_batch(schema, first + at, docs, seqs, sizes, np.full(n, shard), at * cfg.stride, sha)
 
     return written.mapInArrow(run, "slot long, doc_id long, seq long, n_tokens long, shard long, byte_offset long, sha256 string")
+
+
+def read(written: DataFrame, cfg: Layout = Layout(), start: int = 0, stop: int | None = None) -> DataFrame:
+    """(slot, doc_id, seq, ids) of the slots from start up to before stop (None: to the end), in slot order within each task's rows.
+
+    A reader that stopped goes on by start = its last slot + 1.  Only shards that hold such slots are read: shards lie in
+    the files in ascending order, so the condition on `shard` skips files and row groups, and within a shard a slot's
+    bytes begin at its place times the stride.  Slots outside 0..N-1 give no rows.
+    """
+    last = F.lit(True) if stop is None else F.col("shard") <= (stop - 1) // cfg.per_shard
+    schema = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, first, n, docs, seqs, sizes, content = (c[k].as_py() for c in batch.columns)
+                a, b = max(0, start - first), n if stop is None else min(n, stop - first)
+                if a < b:
+                    ids = [np.frombuffer(content, "<u2", sizes[i], i * cfg.stride).astype(np.int32) for i in range(a, b)]
+                    yield array_batch(schema, np.arange(first + a, first + b), docs[a:b], seqs[a:b], ids)
+
+    return written.where((F.col("shard") >= start // cfg.per_shard) & last).mapInArrow(run, "slot long, doc_id long, seq long, ids array<int>")

@@ -244,6 +244,26 @@ def test_shards_hold_every_sequence_at_its_slot(spark):
     assert feistel_shards.shards(frame(spark, []), cfg).count() == 0
 
 
+def test_shards_are_read_on_from_any_slot(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(40)] + [(40, "long " * 3000)]
+    cfg = feistel_shards.Layout(tokens=32, per_shard=8)
+    written = feistel_shards.shards(frame(spark, rows), cfg)
+    whole = [tuple(r) for r in feistel_shards.read(written, cfg).orderBy("slot").collect()]
+    assert [r[0] for r in whole] == list(range(len(whole)))
+    texts: dict[int, list] = {}
+    for _, doc, seq, ids in sorted(whole, key=lambda r: (r[1], r[2])):
+        texts.setdefault(doc, []).extend(ids)
+    assert {d: bytes(ids[:-1]).decode() for d, ids in texts.items()} == dict(rows)
+    assert all(ids[-1] == feistel_shards.END_OF_TEXT for ids in texts.values())
+    for at in (0, 1, 7, 8, 21, len(whole) - 1, len(whole), len(whole) + 50):
+        first = [tuple(r) for r in feistel_shards.read(written, cfg, 0, at).orderBy("slot").collect()]
+        rest = [tuple(r) for r in feistel_shards.read(written, cfg, at).orderBy("slot").collect()]
+        assert first + rest == whole and len(rest) == max(0, len(whole) - at)
+    plan = feistel_shards.read(written, cfg, 16, 24)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(shard,2)" in plan and "LessThanOrEqual(shard,2)" in plan
+
+
 def test_toxicity_sees_through_disguises(spark):
     rng = random.Random(8)
     bad = ["moron", "idiot", "loser"]
