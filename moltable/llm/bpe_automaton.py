@@ -10,8 +10,8 @@ table of cuts with the time of each, and for each token its time and two parts.
 Texts are read by bytes, so the automaton is made deterministic over bytes: a state
 holds, for every token label that the last bytes may begin, the token that stands
 before it, and the token that ends here.  Every prefix of a text has one path through
-the gadgets' automaton, so there is one such token.  A state is a row of 256 entries of
-a transition table; entries are compiled from the gadgets when they are first met.
+the gadgets' automaton, so there is one such token.  Entries of the transition table
+(state, byte) are compiled from the gadgets when they are first met.
 Encoding is a table lookup a byte, and the ids are read off backwards, from the token
 that ends the word.  Decoding emits the labels of the ids.
 """
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,10 +33,9 @@ from .shared import plain
 END = "</w>"
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 MAX_ARCS = 400_000
-MAX_STATES = 40_000  # rows of the transition table, of 1 KB each; a full table is begun again, with the same results
+MAX_STATES = 150_000  # of some 600 bytes with their transitions; a full table is begun again, with the same results
 LONG_WORD = 48
 NEVER = 1 << 60
-EMPTY_ROW = array("i", [-1]) * 256
 
 
 def byte_symbols() -> list[str]:
@@ -86,7 +84,7 @@ class Automaton:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: list[array] = []
+        self.table: dict[int, int] = {}  # state << 8 | byte -> state
         self.spans: list[tuple[int, ...]] = []  # of each state: (token before + 1) * nodes + node of the label begun since
         self.token: list[int] = []
         self.ending: list[int | None] = []
@@ -96,8 +94,7 @@ class Automaton:
     def _enter(self, spans: tuple[int, ...], token: int) -> int:
         got = self.state.get(spans)
         if got is None:
-            got = self.state[spans] = len(self.rows)
-            self.rows.append(array("i", EMPTY_ROW))
+            got = self.state[spans] = len(self.spans)
             self.spans.append(spans)
             self.token.append(token)
             self.ending.append(None)
@@ -118,11 +115,10 @@ class Automaton:
                 spans.append(before * nodes + node)
         if token >= 0:
             spans.append((token + 1) * nodes)
-        if len(self.rows) >= MAX_STATES:
+        if len(self.spans) >= MAX_STATES:
             self._clear()
             return self._enter(tuple(spans), token)
-        row = self.rows[state]
-        row[b] = to = self._enter(tuple(spans), token)
+        to = self.table[state << 8 | b] = self._enter(tuple(spans), token)
         return to
 
     def _word_end(self, state: int) -> int:
@@ -177,8 +173,8 @@ class Automaton:
         state, tokens = 0, []
         data = word.encode("utf-8")
         for b in data:
-            to = self.rows[state][b]
-            state = to if to >= 0 else self._transition(state, b)
+            to = self.table.get(state << 8 | b)
+            state = self._transition(state, b) if to is None else to
             tokens.append(self.token[state])
         path, at, t = [], len(data), self._word_end(state)
         while t >= 0:
