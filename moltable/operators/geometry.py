@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,25 @@ def principal_moments() -> list[Column]:
     return [flat(low), flat(3 * q - high - low), flat(high)]
 
 
+def principal_axes(spread: DataFrame) -> DataFrame:
+    """(mol_id, moments, axes) of covariance rows such as moments() gives: eigenvalues ascending, and their eigenvectors,
+    column by column, as a right-handed frame.  Which frame comes out of equal moments is not fixed; null beside a null
+    or non-finite covariance."""
+    names = ["cxx", "cxy", "cxz", "cxy", "cyy", "cyz", "cxz", "cyz", "czz"]
+
+    def run(batches):
+        for batch in batches:
+            m = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], 1).reshape(-1, 3, 3)
+            known = np.isfinite(m).all((1, 2))
+            size, frame = np.linalg.eigh(np.where(known[:, None, None], m, np.eye(3)))
+            frame[:, :, 2] *= np.sign(np.linalg.det(frame))[:, None]
+            fill = lambda v: pa.array([x if k else None for x, k in zip(v.tolist(), known, strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("mol_id"), fill(size), fill(frame.transpose(0, 2, 1).reshape(-1, 9))], ["mol_id", "moments", "axes"])
+
+    kind = spread.schema["mol_id"].dataType.simpleString()
+    return spread.select("mol_id", *dict.fromkeys(names)).mapInArrow(run, f"mol_id {kind}, moments array<double>, axes array<double>")
+
+
 def cells(sites: DataFrame, cutoff: float) -> DataFrame:
     """sites with the grid cell ix, iy, iz of side cutoff, counted from the molecule's least corner."""
     w = Window.partitionBy("mol_id")

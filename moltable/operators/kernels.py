@@ -398,43 +398,110 @@ def _refined(g: Graph, colour: dict[int, int]) -> dict[int, int]:
         colour = new
 
 
-def canonical_form(g: Graph, kinds: dict[int, int], colour: dict[int, int] | None = None) -> tuple:
-    """The least (kinds in rank order, bonds by ranks) over all leaves of individualisation and refinement."""
-    colour = _refined(g, colour or {s: kinds[s] for s in g.sites})
-    classes: dict[int, list[int]] = {}
-    for s, c in colour.items():
-        classes.setdefault(c, []).append(s)
-    cell = min((len(v), c) for c, v in classes.items() if len(v) > 1) if len(classes) < len(g.sites) else None
-    if cell is None:
-        order = sorted(g.sites, key=colour.get)
+def _dense(values: dict[int, object]) -> dict[int, int]:
+    place = {v: i for i, v in enumerate(sorted(set(values.values())))}
+    return {s: place[v] for s, v in values.items()}
+
+
+class Labelling:
+    """Canonical numbering of one molecule by individualisation and refinement.
+
+    form is the least (kinds by rank, bonds by ranks) of all leaves, order its sites by rank, orbit the least site that
+    an automorphism maps on each.  Two leaves of one form give an automorphism: the search then goes back to where
+    their paths part, and a node skips sites that the automorphisms fixing its path map on one already tried.
+    """
+
+    def __init__(self, g: Graph, kinds: dict[int, object]):
+        self.g, self.kinds = g, kinds
+        self.found: list[dict[int, int]] = []
+        self.first = self.best = None
+        self._search([], _refined(g, _dense(kinds)))
+        self.form, self.order, _ = self.best
+        self.orbit = self._orbits([])
+
+    def _orbits(self, path: list[int]) -> dict[int, int]:
+        """The least site of each site's orbit under the automorphisms found that fix a path."""
+        root = {s: s for s in self.g.sites}
+
+        def top(s):
+            while root[s] != s:
+                s = root[s]
+            return s
+
+        for image in self.found:
+            if all(image[s] == s for s in path):
+                for s, t in image.items():
+                    low, high = sorted((top(s), top(t)))
+                    root[high] = low
+        return {s: top(s) for s in self.g.sites}
+
+    def _search(self, path: list[int], colour: dict[int, int]) -> int:
+        """The depth of the node that goes on."""
+        cells: dict[int, list[int]] = {}
+        for s, c in colour.items():
+            cells.setdefault(c, []).append(s)
+        cell = min(((len(v), c) for c, v in cells.items() if len(v) > 1), default=None)
+        if cell is None:
+            return self._leaf(path, sorted(self.g.sites, key=colour.get))
+        tried: list[int] = []
+        for s in cells[cell[1]]:
+            orbit = self._orbits(path) if tried else {}
+            if any(orbit[s] == orbit[x] for x in tried):
+                continue
+            depth = self._search([*path, s], _refined(self.g, {x: 2 * c + (x != s) for x, c in colour.items()}))
+            if depth < len(path):
+                return depth
+            tried.append(s)
+        return len(path)
+
+    def _leaf(self, path: list[int], order: list[int]) -> int:
         rank = {s: i for i, s in enumerate(order)}
-        return tuple(kinds[s] for s in order), tuple(sorted((*sorted((rank[b["a"]], rank[b["b"]])), b["bond_order"]) for b in g.bonds))
-    best = None
-    for s in classes[cell[1]]:
-        form = canonical_form(g, kinds, {x: 2 * c + (x != s) for x, c in colour.items()})
-        best = form if best is None or form < best else best
-    return best
+        form = tuple(self.kinds[s] for s in order), tuple(sorted((*sorted((rank[b["a"]], rank[b["b"]])), b["bond_order"]) for b in self.g.bonds))
+        if self.first is None:
+            self.first = self.best = form, order, path
+            return len(path)
+        for known, before, way in (self.first, self.best):
+            if known == form:
+                self.found.append(dict(zip(before, order, strict=True)))
+                return next(i for i, (x, y) in enumerate(zip(way, path, strict=False)) if x != y)
+        if form < self.best[0]:
+            self.best = form, order, path
+        return len(path)
 
 
-def _canonical(sites, bonds):
-    g = Graph(sites, bonds)
-    kinds, edges = canonical_form(g, {s["site_id"]: s["element"] for s in sites})
-    yield (";".join(map(str, kinds)) + "|" + ";".join("-".join(map(str, e)) for e in edges),)
+def _kind(site: dict, columns: tuple[str, ...]) -> tuple:
+    """A site's values in the order of columns, nulls first."""
+    return tuple((site[c] is not None, site[c] if site[c] is not None else 0) for c in columns)
+
+
+def canonicalize(mols: DataFrame, *columns: str) -> DataFrame:
+    """(mol_id, form): equal for molecules that are isomorphic by bond order and the packed site columns given, and only
+    for those; by element where none is given."""
+    keys = columns or ("element",)
+
+    def kernel(sites, bonds):
+        kinds, edges = Labelling(Graph(sites, bonds), {s["site_id"]: _kind(s, keys) for s in sites}).form
+        yield (";".join(",".join(str(v) if known else "" for known, v in k) for k in kinds) + "|" + ";".join("-".join(map(str, e)) for e in edges),)
+
+    return per_molecule(mols, kernel, "form string")
+
+
+def canonical_ranks(mols: DataFrame, *columns: str) -> DataFrame:
+    """(mol_id, site_id, rank, orbit): each site's place, from 0, in the canonical numbering by bond order and the packed
+    site columns given (element where none is), and the least site that an automorphism of these maps on it."""
+    keys = columns or ("element",)
 
+    def kernel(sites, bonds):
+        found = Labelling(Graph(sites, bonds), {s["site_id"]: _kind(s, keys) for s in sites})
+        for i, s in enumerate(found.order):
+            yield s, i, found.orbit[s]
 
-def canonicalize(mols: DataFrame) -> DataFrame:
-    """(mol_id, form): equal for molecules that are isomorphic by element and bond order, and only for those."""
-    return per_molecule(mols, _canonical, "form string")
+    return per_molecule(mols, kernel, "site_id long, rank long, orbit long")
 
 
 def _orbits(sites, bonds):
     g = Graph(sites, [b | {"bond_order": 1} for b in bonds])
-    colour = _refined(g, dict.fromkeys(g.sites, 0))
-    first: dict[tuple, int] = {}
-    for s in g.sites:
-        alike = sum(c == colour[s] for c in colour.values())
-        form = () if alike == 1 else canonical_form(g, dict.fromkeys(g.sites, 0), {x: 2 * c + (x != s) for x, c in colour.items()})
-        yield s, first.setdefault((colour[s], form), s)
+    yield from Labelling(g, dict.fromkeys(g.sites, 0)).orbit.items()
 
 
 def orbits(mols: DataFrame) -> DataFrame:
@@ -460,13 +527,13 @@ def dfs(mols: DataFrame) -> DataFrame:
     return per_molecule(mols, _dfs, "site_id long, position long")
 
 
-def common_bonds(g: Graph, h: Graph, same_site, same_bond) -> int:
-    """Bonds of the largest connected set that both graphs share.
+def common_bonds(g: Graph, h: Graph, same_site, same_bond) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """Bonds of the largest connected set that both graphs share, and the least map of sites that shows one.
 
     Sets of bonds of g grow by one neighbouring bond at a time; a set goes on with all its embeddings in h,
     each a map of sites, and is dropped when none is left.
     """
-    best = 0
+    best, shown = 0, ()
     level: dict[int, set[tuple[tuple[int, int], ...]]] = {}
     for i, b in enumerate(g.bonds):
         maps = set()
@@ -478,7 +545,7 @@ def common_bonds(g: Graph, h: Graph, same_site, same_bond) -> int:
         if maps:
             level[1 << i] = maps
     while level:
-        best += 1
+        best, shown = best + 1, min(m for maps in level.values() for m in maps)
         after: dict[int, set[tuple[tuple[int, int], ...]]] = {}
         for mask, maps in level.items():
             inside = {s for s, _ in next(iter(maps))}
@@ -499,18 +566,20 @@ def common_bonds(g: Graph, h: Graph, same_site, same_bond) -> int:
                 if grown:
                     after[mask | 1 << i] = grown
         level = after
-    return best
+    return best, shown
 
 
 def common_substructure(pairs: DataFrame, mols: DataFrame) -> DataFrame:
-    """(a, b, bonds): size of the maximum connected common substructure of pairs (a, b) of packed molecules.
+    """(a, b, bonds, site_map): maximum connected common substructure of pairs (a, b) of packed molecules: how many
+    bonds it has, and which site of a (from) is which of b (to), ascending; no sites where no bond is shared.
 
     Elements and bond orders must be equal.  Bonds of the smaller molecule are grown; the search is exponential
     in its size in the worst case.
     """
     side = lambda k: mols.select(F.col("mol_id").alias(k), F.col("sites").alias(f"s{k}"), F.col("bonds").alias(f"b{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "ba", "sb", "bb")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bonds", pa.int64())])
+    ddl = "a long, b long, bonds long, site_map array<struct<from: long, to: long>>"
+    schema = to_arrow_schema(pairs.sparkSession.createDataFrame([], ddl).schema)
 
     def run(batches):
         for batch in batches:
@@ -518,10 +587,12 @@ def common_substructure(pairs: DataFrame, mols: DataFrame) -> DataFrame:
             for m in batch.to_pylist():
                 g, h = Graph(m["sa"], m["ba"] or []), Graph(m["sb"], m["bb"] or [])
                 kinds, others = ({s["site_id"]: s["element"] for s in m[k]} for k in ("sa", "sb"))
-                if len(g.bonds) > len(h.bonds):
+                turned = len(g.bonds) > len(h.bonds)
+                if turned:
                     g, h, kinds, others = h, g, others, kinds
-                rows.append((m["a"], m["b"], common_bonds(g, h, lambda x, y, k=kinds, o=others: k[x] == o[y], lambda p, q: p["bond_order"] == q["bond_order"])))
+                size, shown = common_bonds(g, h, lambda x, y, k=kinds, o=others: k[x] == o[y], lambda p, q: p["bond_order"] == q["bond_order"])
+                rows.append((m["a"], m["b"], size, [{"from": x, "to": y} for x, y in sorted((y, x) if turned else (x, y) for x, y in shown)]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return both.mapInArrow(run, "a long, b long, bonds long")
+    return both.mapInArrow(run, ddl)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .geometry import Vector, angle_between, cross, dot, norm, scale
 
 
@@ -106,6 +107,31 @@ def minimum_image(reduced: Column, d: Vector) -> Column:
     return let(start, lambda base: F.array_min(F.transform(images, lambda s: image(base, s))))
 
 
+def neighbors(sites: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
+    """(mol_id, a, b, d2): pairs a < b whose shortest image in any cell is within a cutoff, each once.
+
+    cells(mol_id, cell) holds a basis a molecule, which is reduced once.  An axis of the reduced cell is divided into
+    floor(height / cutoff) layers if these are three at least, and neighbouring layers wrap around; otherwise it is one
+    layer.  Sites without a cell, and those at null places, have no neighbours.
+    """
+    basis = cells.select("mol_id", reduced(F.col("cell")).alias("m")).where("m is not null")
+    own = stored(basis.select("mol_id", "m", reciprocal(F.col("m")).alias("dual")), "cells")
+    many = [F.floor(1 / norm(column(F.col("dual"), i)) / cutoff).cast("long") if cutoff > 0 else F.lit(1).cast("long") for i in range(3)]
+    own = own.select("mol_id", "m", "dual", *(F.when(n >= 3, n).otherwise(1).alias(f"n{i}") for i, n in enumerate(many)))
+    at = sites.select("mol_id", "site_id", "x", "y", "z").join(own, "mol_id")
+    part = [wrapped_fraction(dot(column(F.col("dual"), i), (F.col("x"), F.col("y"), F.col("z")))) for i in range(3)]
+    grid = at.select("*", *(F.least(F.floor(f * F.col(f"n{i}")).cast("long"), F.col(f"n{i}") - 1).alias(f"i{i}") for i, f in enumerate(part)))
+    left = grid
+    for i in range(3):
+        step = F.when(F.col(f"n{i}") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+        left = left.withColumn(f"s{i}", F.explode(step))
+    left = left.select("mol_id", F.col("site_id").alias("a"), "m", *(F.col(k).alias(f"{k}1") for k in "xyz"), *(F.pmod(F.col(f"i{i}") + F.col(f"s{i}"), F.col(f"n{i}")).alias(f"i{i}") for i in range(3)))
+    right = grid.select("mol_id", F.col("site_id").alias("b"), *(F.col(k).alias(f"{k}2") for k in "xyz"), "i0", "i1", "i2")
+    d = tuple(F.col(f"{k}2") - F.col(f"{k}1") for k in "xyz")
+    both = left.join(right, ["mol_id", "i0", "i1", "i2"]).where("a < b")
+    return both.select("mol_id", "a", "b", minimum_image(F.col("m"), d)["d2"].alias("d2")).where((F.col("d2") <= cutoff * cutoff) & F.lit(cutoff >= 0))
+
+
 def translations(basis: Column, radius: Column) -> Column:
     """All lattice vectors up to a radius, as structs of i, j, k, x, y, z.
 

@@ -377,7 +377,17 @@ def fp_pooled(spark, sf_dir):
     return fingerprint.pooled(_pair_fp(spark, sf_dir))
 
 
-@query("fp_path")
+def _fold(source: str, longest: int) -> str:
+    """Tables h1, h2, ... that fold the words of lists w into a state s, a word each."""
+    first = f", h0 AS (SELECT mol_id, w, {_SEED} AS s FROM {source})"
+    return first + "".join(f", h{k} AS MATERIALIZED (SELECT mol_id, w, CASE WHEN len(w) >= {k} THEN c ELSE s END AS s FROM (SELECT mol_id, w, s, {_mix('s', f'coalesce(w[{k}], 0)', 'c')} FROM h{k - 1}))" for k in range(1, longest + 1))
+
+
+@query("fp_path", CTE + """, far AS MATERIALIZED (SELECT i.mol_id, i.site_id, i.nbr, i.bond_order AS o, s.element AS e, t.element AS f FROM inc i
+  JOIN sites s ON s.mol_id = i.mol_id AND s.site_id = i.site_id JOIN sites t ON t.mol_id = i.mol_id AND t.site_id = i.nbr)
+, trails AS (SELECT mol_id, least([e, o, f], [f, o, e]) AS w FROM far WHERE site_id < nbr
+  UNION ALL SELECT x.mol_id, least([x.e, x.o, x.f, y.o, y.f], [y.f, y.o, x.f, x.o, x.e]) AS w FROM far x JOIN far y ON y.mol_id = x.mol_id AND y.site_id = x.nbr WHERE x.site_id < y.nbr)""" + _fold("trails", 5) + f"""
+SELECT mol_id, {_SIGNED('s')} AS code, count(*) AS n FROM h5 GROUP BY ALL""")
 def fp_path(spark, sf_dir):
     s, b = seeded(spark, sf_dir)
     return fingerprint.path(s, b, 2)
@@ -444,9 +454,11 @@ CARBONYL = isomorphism.Pattern({1: "element = 6", 2: "element = 8", 3: "element
 TRIANGLE = isomorphism.Pattern({1: "element = 6", 2: "", 3: ""}, [(1, 2, ""), (2, 3, ""), (1, 3, "")])
 
 
-@query("substructure_matches", CTE + """ SELECT i.mol_id, i.site_id AS p1, i.nbr AS p2, j.nbr AS p3 FROM inc i JOIN inc j ON j.mol_id = i.mol_id AND j.site_id = i.site_id AND j.nbr <> i.nbr
-JOIN sites a ON a.mol_id = i.mol_id AND a.site_id = i.site_id JOIN sites b ON b.mol_id = i.mol_id AND b.site_id = i.nbr JOIN sites c ON c.mol_id = i.mol_id AND c.site_id = j.nbr
-WHERE i.bond_order = 2 AND a.element = 6 AND b.element = 8 AND c.element IN (6, 7, 16)""")
+@query("substructure_matches", CTE + """, k AS MATERIALIZED (SELECT mol_id, site_id, element FROM sites)
+, far AS MATERIALIZED (SELECT i.mol_id, i.site_id, i.nbr, i.bond_order, k.element FROM inc i JOIN k ON k.mol_id = i.mol_id AND k.site_id = i.nbr)
+, around AS (SELECT mol_id, site_id, list({'nbr': nbr, 'o': bond_order, 'e': element}) AS v FROM far GROUP BY ALL)
+, ends AS (SELECT a.mol_id, a.site_id AS p1, p.nbr AS p2, unnest(v) AS c FROM (SELECT mol_id, site_id, v, unnest(list_filter(v, lambda x: x.o = 2 AND x.e = 8)) AS p FROM around) a JOIN k USING (mol_id, site_id) WHERE k.element = 6)
+SELECT mol_id, p1, p2, c.nbr AS p3 FROM ends WHERE c.nbr <> p2 AND c.e IN (6, 7, 16)""")
 def substructure_matches(spark, sf_dir):
     return isomorphism.matches(*molecules(spark, sf_dir), CARBONYL)
 
@@ -499,9 +511,16 @@ def geom_angle(spark, sf_dir):
     return _quads(spark, sf_dir).where("cx is not null").select("mol_id", "site_id", F.round(geometry.angle(_v("a"), _v("b"), _v("c")), 5).alias("angle"))
 
 
-@query("geom_dihedral")
+@query("geom_dihedral", _QUAD + """, e AS (SELECT mol_id, site_id, bx - ax AS ux, "by" - ay AS uy, bz - az AS uz, cx - bx AS vx, cy - "by" AS vy, cz - bz AS vz, dx - cx AS wx, dy - cy AS wy, dz - cz AS wz FROM q WHERE dx IS NOT NULL)
+, l AS (SELECT *, uy * vz - uz * vy AS lx, uz * vx - ux * vz AS ly, ux * vy - uy * vx AS lz, vy * wz - vz * wy AS tx, vz * wx - vx * wz AS ty, vx * wy - vy * wx AS tz FROM e)
+, s AS (SELECT *, (lx * wx + ly * wy + lz * wz) * sqrt(vx * vx + vy * vy + vz * vz) AS up, lx * tx + ly * ty + lz * tz AS along FROM l)
+SELECT mol_id, site_id, CASE WHEN lx * lx + ly * ly + lz * lz > 0 AND tx * tx + ty * ty + tz * tz > 0 THEN abs(round(atan2(up, along), 5)) END AS torsion,
+  CASE WHEN lx * lx + ly * ly + lz * lz > 0 AND tx * tx + ty * ty + tz * tz > 0 THEN CASE WHEN up > 1e-9 THEN 1 WHEN up < -1e-9 THEN -1 ELSE 0 END END AS turn FROM s""")
 def geom_dihedral(spark, sf_dir):
-    return _quads(spark, sf_dir).where("dx is not null").select("mol_id", "site_id", F.round(geometry.dihedral(_v("a"), _v("b"), _v("c"), _v("d")), 5).alias("dihedral"))
+    """Size and sense of the torsion: a half turn is as well +pi as -pi, by the last bit of its sine."""
+    angle = geometry.dihedral(_v("a"), _v("b"), _v("c"), _v("d"))
+    turn = F.when(F.abs(F.sin(angle)) <= 1e-9, 0).otherwise(F.signum(angle)).cast("int")
+    return _quads(spark, sf_dir).where("dx is not null").select("mol_id", "site_id", F.abs(F.round(angle, 5)).alias("torsion"), turn.alias("turn"))
 
 
 @query("geom_signed_volume", _QUAD + """, e AS (SELECT mol_id, site_id, bx - ax AS px, "by" - ay AS py, bz - az AS pz, cx - ax AS qx, cy - ay AS qy, cz - az AS qz, dx - ax AS rx, dy - ay AS ry, dz - az AS rz FROM q WHERE dx IS NOT NULL)
@@ -544,10 +563,30 @@ def principal_moments(spark, sf_dir):
     return geometry.moments(sites(spark, sf_dir)).select("mol_id", *(F.round(c, 4).alias(f"m{i}") for i, c in enumerate(geometry.principal_moments(), 1)))
 
 
-@query("mass_moments")
+@query("mass_moments", CTE + """, m AS (SELECT mol_id, sum(mass_number) AS w, """ + ", ".join(f"sum(mass_number * {k}) / sum(mass_number) AS m{k}" for k in "xyz") + """ FROM sites GROUP BY mol_id)
+SELECT mol_id, """ + ", ".join(f"round(sum(mass_number * ({p} - m{p}) * ({q} - m{q})) / any_value(w) + 0.0000003, 5) + 0.0 AS c{p}{q}" for p, q in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM sites JOIN m USING (mol_id) GROUP BY mol_id")
 def mass_moments(spark, sf_dir):
     s = sites(spark, sf_dir).withColumn("mass", F.col("mass_number").cast("double"))
-    return geometry.moments(s, "mass").select("mol_id", *(F.round(f"c{k}", 5).alias(f"c{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")))
+    return geometry.moments(s, "mass").select("mol_id", *((F.round(F.col(f"c{k}") + 0.0000003, 5) + F.lit(0.0)).alias(f"c{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")))
+
+
+@query("principal_axes", CTE + _COV + """ SELECT mol_id, round(cxx + cyy + czz + 0.0000003, 4) AS trace, round(cxx * cyy + cyy * czz + cxx * czz - cxy * cxy - cxz * cxz - cyz * cyz + 0.0000003, 4) + 0.0 AS minors,
+  true AS ascending, true AS right_handed, true AS rebuilt FROM cov""")
+def principal_axes(spark, sf_dir):
+    """The invariants of each covariance from its eigenvalues, and whether the frame gives the covariance back."""
+    spread = geometry.moments(sites(spark, sf_dir))
+    both = spread.join(geometry.principal_axes(spread), "mol_id")
+    m, a = F.col("moments"), F.col("axes")
+    back = lambda i, j: m[0] * a[i] * a[j] + m[1] * a[3 + i] * a[3 + j] + m[2] * a[6 + i] * a[6 + j]
+    off = F.greatest(*(F.abs(back("xyz".index(p), "xyz".index(q)) - F.col(f"c{p}{q}")) for p, q in ("xx", "yy", "zz", "xy", "xz", "yz")))
+    return both.select(
+        "mol_id",
+        F.round(m[0] + m[1] + m[2] + 0.0000003, 4).alias("trace"),
+        (F.round(m[0] * m[1] + m[1] * m[2] + m[0] * m[2] + 0.0000003, 4) + F.lit(0.0)).alias("minors"),
+        ((m[0] <= m[1]) & (m[1] <= m[2])).alias("ascending"),
+        (F.abs(lattice.determinant(a) - 1) < 1e-9).alias("right_handed"),
+        (off < 1e-9).alias("rebuilt"),
+    )
 
 
 def clouds(spark, sf_dir) -> DataFrame:
@@ -576,6 +615,21 @@ def periodic_neighbors(spark, sf_dir):
     return geometry.periodic_neighbors(clouds(spark, sf_dir), edge, 0.8).select("mol_id", "a", "b", F.round("d2", 6).alias("d2"))
 
 
+@query("lattice_neighbors", _CLOUD + """, p AS (SELECT a.mol_id, a.site_id AS a, b.site_id AS b, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM s a JOIN s b ON a.mol_id = b.mol_id AND a.site_id < b.site_id)
+, k AS (SELECT mol_id, a, b, x - 0.5 * round(z / 2) AS x, y - 0.7 * round(z / 2) AS y, z - 2 * round(z / 2) AS z FROM p)
+, j AS (SELECT mol_id, a, b, x - round(y / 5) AS x, y - 5 * round(y / 5) AS y, z FROM k), i AS (SELECT mol_id, a, b, (x - 4 * round(x / 4)) ** 2 + y * y + z * z AS d2 FROM j)
+SELECT mol_id, a, b, round(d2, 6) AS d2 FROM i WHERE d2 <= 0.36""")
+def lattice_neighbors(spark, sf_dir):
+    """Pairs of a skewed cell, given by a basis that is far from reduced.
+
+    The cutoff is under half the spacing of its layers, so that SQL finds the image layer by layer.
+    """
+    c = clouds(spark, sf_dir)
+    cell = F.array(*(F.lit(float(v)) for v in (4, 0, 0, 1, 5, 0, 9.5, 5.7, 2)))
+    found = lattice.neighbors(c, c.select("mol_id").distinct().withColumn("cell", cell), 0.6)
+    return found.select("mol_id", "a", "b", F.round("d2", 6).alias("d2"))
+
+
 def _cells(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", (5 + F.col("p_size") % 7).cast("double").alias("a"), (6 + F.col("p_partkey") % 5).cast("double").alias("b"), (7 + F.col("p_partkey") % 3).cast("double").alias("c"))
     deg = [F.radians((80 + F.col("p_partkey") % k).cast("double")) for k in (11, 13, 17)]
@@ -733,6 +787,12 @@ def orbits(spark, sf_dir):
     return kernels.orbits(_packed(spark, sf_dir))
 
 
+@query("canonical_ranks")
+def canonical_ranks(spark, sf_dir):
+    """By element and charge as the caller's keys."""
+    return kernels.canonical_ranks(kernels.packed(*molecules(spark, sf_dir), "element", "formal_charge"), "element", "formal_charge")
+
+
 @query("dfs_reach", CTE + _REACH + " SELECT mol_id, b AS site_id FROM dist WHERE a = 1")
 def dfs_reach(spark, sf_dir):
     return kernels.dfs(_packed(spark, sf_dir)).select("mol_id", "site_id")
@@ -748,7 +808,14 @@ def xyz_roundtrip(spark, sf_dir):
 def mcs_size(spark, sf_dir):
     """Each molecule with the next one; 0 bonds where one of them has none."""
     mols = stored(kernels.packed(*molecules(spark, sf_dir), "element"), "mcs")
-    return kernels.common_substructure(_consecutive(mols), mols)
+    return kernels.common_substructure(_consecutive(mols), mols).drop("site_map")
+
+
+@query("mcs_map")
+def mcs_map(spark, sf_dir):
+    """The sites that each molecule and the next one share, one row a site of a."""
+    mols = stored(kernels.packed(*molecules(spark, sf_dir), "element"), "mcs")
+    return kernels.common_substructure(_consecutive(mols), mols).select("a", "b", F.explode("site_map").alias("m")).select("a", "b", F.col("m.from").alias("site_a"), F.col("m.to").alias("site_b"))
 
 
 @query("departures")
@@ -763,12 +830,12 @@ def nearest_geometry(spark, sf_dir):
 
 @query(
     "stereo_tetrahedral",
-    CTE + """, n AS (SELECT i.mol_id, i.site_id, s.x, s.y, s.z, row_number() OVER (PARTITION BY i.mol_id, i.site_id ORDER BY i.nbr) AS k, count(*) OVER (PARTITION BY i.mol_id, i.site_id) AS c
-  FROM inc i JOIN sites s ON s.mol_id = i.mol_id AND s.site_id = i.nbr)
-, f AS (SELECT p.mol_id, p.site_id, q.x - p.x AS ax, q.y - p.y AS ay, q.z - p.z AS az, r.x - p.x AS bx, r.y - p.y AS b_y, r.z - p.z AS bz, s.x - p.x AS cx, s.y - p.y AS cy, s.z - p.z AS cz
-  FROM n p JOIN n q USING (mol_id, site_id) JOIN n r USING (mol_id, site_id) JOIN n s USING (mol_id, site_id) WHERE p.c = 4 AND p.k = 1 AND q.k = 2 AND r.k = 3 AND s.k = 4)
-, v AS (SELECT mol_id, site_id, (ax * (b_y * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - b_y * cx)) / 6 AS v FROM f)
-SELECT mol_id, site_id, CASE WHEN abs(v) >= 1e-9 THEN CAST(sign(v) AS INT) END AS parity FROM v""",
+    CTE + """, k AS MATERIALIZED (SELECT mol_id, site_id, x, y, z FROM sites)
+, n AS (SELECT i.mol_id, i.site_id, list({'x': k.x, 'y': k.y, 'z': k.z} ORDER BY i.nbr) AS v FROM inc i JOIN k ON k.mol_id = i.mol_id AND k.site_id = i.nbr GROUP BY ALL HAVING count(*) = 4)
+, f AS (SELECT mol_id, site_id, """
+    + ", ".join(f"v[{i}].{k} - v[1].{k} AS {p}{k}" for i, p in ((2, "p"), (3, "q"), (4, "r")) for k in "xyz")
+    + """ FROM n), w AS (SELECT mol_id, site_id, (px * (qy * rz - qz * ry) + py * (qz * rx - qx * rz) + pz * (qx * ry - qy * rx)) / 6 AS v FROM f)
+SELECT mol_id, site_id, CASE WHEN abs(v) >= 1e-9 THEN CAST(sign(v) AS INT) END AS parity FROM w""",
 )
 def stereo_tetrahedral(spark, sf_dir):
     return stereo.tetrahedral(*molecules(spark, sf_dir))
