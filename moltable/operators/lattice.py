@@ -155,7 +155,7 @@ def reduced(basis: Column, rounds: int = 64) -> Column:
     A round takes from the second vector its rounded multiple of the first, and from the longest the lattice vector of
     the two others nearest to it: rounded coefficients within their plane, and their neighbours.  Each round that changes
     something shortens a vector by whole multiples at once, so the rounds needed grow with the logarithm of the skew;
-    a basis that still changes after `rounds` of them is an error, not a wrong result.
+    a basis that still changes after `rounds` of them is an error, not a wrong result.  A null basis gives null.
     """
 
     def ordered(s: Column) -> Column:
@@ -194,4 +194,4 @@ def reduced(basis: Column, rounds: int = 64) -> Column:
 
     start = F.struct(let(basis, ordered).alias("s"), F.lit(False).alias("done"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn)
-    return let(end, lambda e: F.when(e["done"], e["s"]).otherwise(F.raise_error(F.lit("lattice reduction does not end")).cast("array<double>")))
+    return let(end, lambda e: F.when(basis.isNull() | e["done"], e["s"]).otherwise(F.raise_error(F.lit("lattice reduction does not end")).cast("array<double>")))

@@ -507,3 +507,91 @@ def test_handedness_and_sides(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "a long, b long")
     assert {r.b: r.relation for r in stereo.relate(pairs, forms).collect()} == {1: "Identical", 2: "Enantiomers", 3: "Diastereomers", 4: "Unrelated"}
     assert {r.mol_id: r.is_chiral for r in stereo.is_chiral(forms).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
+def _automorphic(n, bonds, kinds):
+    """The least site of each orbit, by trying all permutations."""
+    edges = {frozenset((a, b)): o for a, b, o in bonds}
+    least = {s: s for s in range(1, n + 1)}
+    for p in itertools.permutations(range(1, n + 1)):
+        if all(kinds[s - 1] == kinds[p[s - 1] - 1] for s in range(1, n + 1)) and all(edges.get(frozenset(p[x - 1] for x in e)) == o for e, o in edges.items()):
+            for s in range(1, n + 1):
+                least[s] = min(least[s], p[s - 1])
+    return least
+
+
+def test_canonical_numbering_against_all_permutations():
+    rng = random.Random(5)
+    for _ in range(150):
+        n = rng.randint(1, 6)
+        bonds = [(a, b, rng.choice([1, 1, 2])) for a, b in itertools.combinations(range(1, n + 1), 2) if rng.random() < 0.5]
+        kinds = [rng.choice([6, 6, 7]) for _ in range(n)]
+        rows = lambda m: [{"bond_id": i, "a": a, "b": b, "bond_order": o} for i, (a, b, o) in enumerate(m)]
+        graph = lambda m: kernels.Graph([{"site_id": s} for s in range(1, n + 1)], rows(m))
+        found = kernels.Labelling(graph(bonds), dict(enumerate(kinds, 1)))
+        assert found.orbit == _automorphic(n, bonds, kinds), (bonds, kinds)
+        p = rng.sample(range(1, n + 1), n)
+        moved = kernels.Labelling(graph([(p[a - 1], p[b - 1], o) for a, b, o in bonds]), {p[s - 1]: kinds[s - 1] for s in range(1, n + 1)})
+        assert moved.form == found.form
+
+
+def test_canonical_numbering_of_a_long_chain_with_hydrogens():
+    n = 20
+    bonds = [(i, i + 1) for i in range(1, n)]
+    for i in range(1, n + 1):
+        bonds += [(i, n + len(bonds) - (n - 1) + k + 1) for k in range(3 if i in (1, n) else 2)]
+    sites = sorted({s for b in bonds for s in b})
+    assert len(sites) == 62
+    g = kernels.Graph([{"site_id": s} for s in sites], [{"a": a, "b": b, "bond_order": 1} for a, b in bonds])
+    found = kernels.Labelling(g, {s: 6 if s <= n else 1 for s in sites})
+    assert len(set(found.orbit.values())) == 20
+
+
+def test_canonical_ranks_take_the_callers_keys(spark):
+    pair = ([(1, "C", 0, 0), (2, "C", 1, 0)], [(1, 2, 1)])
+    mols = kernels.packed(*tables(spark, {1: pair}), "element", "formal_charge")
+    ranks = lambda *k: {(r.site_id, r.orbit) for r in kernels.canonical_ranks(mols, *k).collect()}
+    assert ranks() == {(1, 1), (2, 1)} and ranks("element", "formal_charge") == {(1, 1), (2, 2)}
+
+
+def test_common_substructure_maps_sites(spark):
+    chain = ([(1, "C", 0, 0), (2, "C", 0, 0), (3, "O", 0, 0)], [(1, 2, 1), (2, 3, 1)])
+    other = ([(1, "N", 0, 0), (2, "O", 0, 0), (3, "C", 0, 0), (4, "C", 0, 0)], [(2, 3, 1), (3, 4, 1), (1, 4, 1)])
+    s, b = tables(spark, {0: chain, 1: other})
+    pairs = spark.createDataFrame([(0, 1), (1, 0)], "a long, b long")
+    got = {(r.a, r.b): [tuple(m) for m in r.site_map] for r in kernels.common_substructure(pairs, kernels.packed(s, b, "element")).collect()}
+    assert got == {(0, 1): [(1, 4), (2, 3), (3, 2)], (1, 0): [(2, 3), (3, 2), (4, 1)]}
+
+
+def test_principal_axes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, i, *map(float, rng.normal(size=3) * (3, 2, 1))) for m in range(4) for i in range(6)] + [(9, 0, 1.0, 2.0, 3.0), (10, 0, None, 0.0, 0.0)]
+    spread = geometry.moments(spark.createDataFrame(rows, "mol_id long, site_id long, x double, y double, z double"))
+    got = {r.mol_id: r for r in geometry.principal_axes(spread).collect()}
+    assert got[10].moments is None and got[9].moments == [0.0] * 3
+    for m in range(4):
+        p = np.array([r[2:] for r in rows if r[0] == m])
+        frame = np.array(got[m].axes).reshape(3, 3).T
+        assert np.allclose(frame @ np.diag(got[m].moments) @ frame.T, np.cov(p.T, bias=True)) and np.isclose(np.linalg.det(frame), 1)
+    assert geometry.principal_axes(spread.where("mol_id < 0")).count() == 0
+
+
+def test_neighbors_in_skewed_cells(spark):
+    rng = np.random.default_rng(6)
+    base = {1: [[5, 0, 0], [2, 6, 0], [11, 5, 7]], 2: [[1, 0, 0], [0, 1, 0], [100, 0, 1]], 3: [[9, 0, 0], [-4, 8, 0], [1, -3, 9]]}
+    place = {m: rng.uniform(-20, 20, (12, 3)) for m in base}
+    rows = [(m, i, *map(float, p)) for m, ps in place.items() for i, p in enumerate(ps)]
+    df = spark.createDataFrame([*rows, (1, 99, None, 0.0, 0.0), (4, 0, 0.0, 0.0, 0.0)], "mol_id long, site_id long, x double, y double, z double")
+    cells = spark.createDataFrame([(m, [float(v) for r in c for v in r]) for m, c in base.items()] + [(4, None)], "mol_id long, cell array<double>")
+    for cutoff in (0.4, 2.5, 4.0):
+        got = {(r.mol_id, r.a, r.b): r.d2 for r in lattice.neighbors(df, cells, cutoff).collect()}
+        want = {}
+        for m, c in base.items():
+            short = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1]] if m == 2 else c, float)
+            for a, b in itertools.combinations(range(12), 2):
+                near = np.round((place[m][b] - place[m][a]) @ np.linalg.inv(short))
+                d = place[m][b] - place[m][a] - near @ short
+                d2 = min(float(((d + np.array(s) @ short) ** 2).sum()) for s in itertools.product(range(-4, 5), repeat=3))
+                if d2 <= cutoff * cutoff:
+                    want[m, a, b] = d2
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
