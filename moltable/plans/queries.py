@@ -514,11 +514,17 @@ def geom_angle(spark, sf_dir):
 @query("geom_dihedral", _QUAD + """, e AS (SELECT mol_id, site_id, bx - ax AS ux, "by" - ay AS uy, bz - az AS uz, cx - bx AS vx, cy - "by" AS vy, cz - bz AS vz, dx - cx AS wx, dy - cy AS wy, dz - cz AS wz FROM q WHERE dx IS NOT NULL)
 , l AS (SELECT *, uy * vz - uz * vy AS lx, uz * vx - ux * vz AS ly, ux * vy - uy * vx AS lz, vy * wz - vz * wy AS tx, vz * wx - vx * wz AS ty, vx * wy - vy * wx AS tz FROM e)
 , s AS (SELECT *, (lx * wx + ly * wy + lz * wz) * sqrt(vx * vx + vy * vy + vz * vz) AS up, lx * tx + ly * ty + lz * tz AS along FROM l)
-SELECT mol_id, site_id, CASE WHEN lx * lx + ly * ly + lz * lz > 0 AND tx * tx + ty * ty + tz * tz > 0 THEN abs(round(atan2(up, along), 5)) END AS torsion,
-  CASE WHEN lx * lx + ly * ly + lz * lz > 0 AND tx * tx + ty * ty + tz * tz > 0 THEN CASE WHEN up > 1e-9 THEN 1 WHEN up < -1e-9 THEN -1 ELSE 0 END END AS turn FROM s""")
+SELECT mol_id, site_id, CASE WHEN lx * lx + ly * ly + lz * lz > 1e-8 AND tx * tx + ty * ty + tz * tz > 1e-8 THEN abs(round(atan2(up, along), 5)) END AS torsion,
+  CASE WHEN lx * lx + ly * ly + lz * lz > 1e-8 AND tx * tx + ty * ty + tz * tz > 1e-8 THEN CASE WHEN up > 1e-9 THEN 1 WHEN up < -1e-9 THEN -1 ELSE 0 END END AS turn FROM s""")
 def geom_dihedral(spark, sf_dir):
-    """Size and sense of the torsion: a half turn is as well +pi as -pi, by the last bit of its sine."""
-    angle = geometry.dihedral(_v("a"), _v("b"), _v("c"), _v("d"))
+    """Size and sense of the torsion: a half turn is as well +pi as -pi, by the last bit of its sine.
+
+    Null where three points lie on a line but for rounding, as the angle is then rounding alone.
+    """
+    a, b, c, d = (_v(p) for p in "abcd")
+    axis = geometry.sub(c, b)
+    fixed = F.least(*(geometry.norm(geometry.cross(u, axis)) for u in (geometry.sub(b, a), geometry.sub(d, c)))) > 1e-4
+    angle = F.when(fixed, geometry.dihedral(a, b, c, d))
     turn = F.when(F.abs(F.sin(angle)) <= 1e-9, 0).otherwise(F.signum(angle)).cast("int")
     return _quads(spark, sf_dir).where("dx is not null").select("mol_id", "site_id", F.abs(F.round(angle, 5)).alias("torsion"), turn.alias("turn"))
 
