@@ -19,7 +19,6 @@ that ends the word.  Decoding emits the labels of the ids.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pretokens import Spec, Splitter, sent
 from .shared import plain
 
 END = "</w>"
@@ -187,11 +187,14 @@ class Automaton:
 
 
 class Codec:
-    """Normalising, pre-splitting and the automaton for one vocabulary file."""
+    """Normalising, pre-splitting and the automaton for one vocabulary file.
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    Classes and lower case of letters beyond ASCII are those of the file's library.
+    """
+
+    def __init__(self, described: Spec):
+        spec = json.loads(described.text)
+        self.splitter = Splitter(described)
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges)
@@ -208,9 +211,13 @@ class Codec:
             if p in self.special:
                 yield self.special[p], []
             elif p:
-                if not p.isascii():
-                    p = unicodedata.normalize("NFC", p).replace("Σ", "σ")
-                yield None, PRETOKEN.findall(p.lower())
+                if p.isascii():
+                    yield None, PRETOKEN.findall(p.lower())
+                    continue
+                points = self.splitter.points(p)
+                low = points.tobytes().decode("utf-32-le")
+                start, end = self.splitter.split(points)
+                yield None, [low[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
     def word_ids(self, word: str) -> tuple[int, ...]:
         return self.automaton.encode(word)
@@ -264,8 +271,8 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(described: Spec) -> Codec:
+    return Codec(described)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,12 +280,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     ids is the ids in decimal joined by one space, decoded the labels of these ids.  A null
     or empty text has no ids: 0 and two empty strings.  Repeated rows each give a row; a
-    null id stays null; other columns are left behind.
+    null id stays null; an empty table gives an empty one; other columns are left behind.
+    The vocabulary is read on the driver and sent to the workers.
     """
+    spec = sent(docs.sparkSession, vocabulary)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def run(batches):
-        c = codec(vocabulary)
+        c = codec(spec.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)

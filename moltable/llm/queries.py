@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, cgk_decontam, feistel_shards, merkle_audit, neardup, paragraph_dedup, pii_sanitise, quality_crf, rotation_codes, toxicity_channel
+from . import bpe_automaton, cgk_decontam, feistel_shards, merkle_audit, neardup, paragraph_dedup, pii_sanitise, quality_crf, rotation_codes, token_counts, toxicity_channel, vector_codes, whitening
 
 try:
     import public_tokenizers
@@ -82,6 +82,34 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def _nearest(books: str) -> str:
+    """SQL: each part with its nearest entry of the codebook table, the first of equal ones."""
+    far = "CAST(list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    return f"SELECT row_id, p, y, min({{'d': {far}, 'k': k}}) AS near FROM parts JOIN {books} USING (p) GROUP BY ALL"
+
+
+def _improved(books: str, assigned: str) -> str:
+    """SQL: each entry's floored mean, position by position; an unused entry stays."""
+    return f"""
+  SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, k, list(v ORDER BY j) AS c FROM (
+      SELECT p, near.k AS k, j, CAST(floor(sum(y[j]) / count(*)) AS BIGINT) AS v FROM {assigned}, (SELECT unnest(range(1, width + 1)) AS j FROM size) GROUP BY ALL
+    ) GROUP BY ALL
+  ) m ON b.p = m.p AND b.k = m.k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash_neardup": op1_hyperminhash_neardup,
     "op2_quality_crf": op2_quality_crf,
@@ -93,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_merkle_audit": op9_merkle_audit,
     "op10_bpe_automaton": op10_bpe_automaton,
+    "op11_two_tier_counts": op11_two_tier_counts,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_product_codes": op13_product_codes,
 }
 ORACLES: dict[str, str] = {
     "op9_merkle_audit": r"""
@@ -116,5 +147,24 @@ SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_
   CAST(b.off AS BIGINT) AS replica_offset, CAST(b.len AS BIGINT) AS replica_length, b.digest AS replica_digest
 FROM a FULL JOIN b ON a.page_id = b.page_id
 WHERE a.digest IS DISTINCT FROM b.digest OR a.off IS DISTINCT FROM b.off
+""",
+    "op13_product_codes": f"""
+WITH whole AS (
+  SELECT vec_id, label, row_number() OVER () AS row_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), size AS (SELECT greatest(1, (max(len(x)) + 15) // 16) AS width FROM whole
+), padded AS (
+  SELECT vec_id, label, row_id, list_concat(x, list_transform(range(16 * width - len(x)), lambda z: CAST(0 AS BIGINT))) AS x, width FROM whole, size
+), parts AS (
+  SELECT row_id, p, x[p * width + 1 : p * width + width] AS y FROM padded, (SELECT unnest(range(16)) AS p)
+), c0 AS (
+  SELECT p, k, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST, x) - 1 AS k, y AS c FROM parts JOIN padded USING (row_id)) WHERE k < 64
+), a0 AS ({_nearest("c0")}), c1 AS ({_improved("c0", "a0")}), a1 AS ({_nearest("c1")}), c2 AS ({_improved("c1", "a1")}), a2 AS ({_nearest("c2")}
+), coded AS (
+  SELECT row_id, string_agg(printf('%02x', CAST(near.k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a2 GROUP BY row_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN padded USING (row_id), digest
 """,
 }
