@@ -13,6 +13,7 @@ from ..model import degrees
 from ..operators import composition, conjugation, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
 from ..sources import xyz
 from ..storage import stored
+from . import stereo_queries
 from .projection import CTE, bonds, molecules, sites, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -873,3 +874,7 @@ def stereo_consistency(spark, sf_dir):
     declared = s.where("l_partkey % 5 = 0").select("mol_id", F.lit(0).alias("locus_kind"), F.col("site_id").alias("locus_id"))
     detected = degrees(s, b).where("degree >= 3").select("mol_id", F.lit(0).alias("locus_kind"), F.col("site_id").alias("locus_id"))
     return stereo.consistency(declared, detected)
+
+
+QUERIES |= stereo_queries.QUERIES
+ORACLES |= stereo_queries.ORACLES

@@ -26,3 +26,23 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def settled(parts: list[DataFrame], name: str = "step") -> DataFrame:
+    """The rows of all parts as one stored table; the tables that the parts were read from are deleted."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    out = stored(out, name)
+    discard(*parts)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    spark = tables[0].sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(conf).delete(path, True)
