@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from . import rotations
 from .frames import BOND_LOCUS, frames, kinds_of
-from .symmetry import KEY, _sums, certificates, classes, colours, stable, ties
+from .symmetry import KEY, Ties, _sums, certificates, classes, colours, stable, ties
 
 LOCUS = ["locus_kind", "locus_id"]
 DECLARED = "mol_id long, tag long, locus_kind int, locus_id long, kind int, neighbors array<long>"
@@ -26,12 +26,12 @@ def tagged(declared: DataFrame) -> DataFrame:
 
 
 def signals(declared: DataFrame, bonds: DataFrame, colour: DataFrame, mirrored: DataFrame | None = None) -> DataFrame:
-    """(mol_id, tag, site_id, lo, hi): what the configurations say at each site that anchors some, by the classes `colour`.
+    """(mol_id, tag, site_id, lo, hi): what the configurations say at each site that anchors some, by the ranks of `colour`.
 
     A bond speaks at both its ends.  mirrored holds the (mol_id, tag) that take mirror images.
     """
     slots = declared.select(*KEY, *LOCUS, "kind", F.posexplode("neighbors").alias("slot", "site_id")).join(colour, [*KEY, "site_id"])
-    ranks = slots.groupBy(*KEY, *LOCUS, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "colour"))), lambda e: e["colour"]).alias("ranks"))
+    ranks = slots.groupBy(*KEY, *LOCUS, "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "rank"))), lambda e: e["rank"]).alias("ranks"))
     got = rotations.descriptors(ranks)
     if mirrored is None:
         said = got.withColumn("said", F.xxhash64("kind", "descriptor"))
@@ -44,33 +44,34 @@ def signals(declared: DataFrame, bonds: DataFrame, colour: DataFrame, mirrored:
 
 
 def _with(key: DataFrame, signal: DataFrame) -> DataFrame:
-    """The caller's colours with signals folded in; a site without one keeps its colour."""
+    """Colours with signals folded in; a site without one keeps its colour."""
     return key.join(signal, [*KEY, "site_id"], "left").select(*KEY, "site_id", F.when(F.col("lo").isNull(), F.col("colour")).otherwise(F.xxhash64("colour", "lo", "hi")).alias("colour"))
 
 
-def refined(key: DataFrame, bonds: DataFrame, tie: DataFrame, declared: DataFrame, mirrored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(classes, colours that led to them) of every colouring (mol_id, tag) when stereochemistry adds no more classes."""
-    start, live = key, classes(key, tie)
-    done, begun = [], []
-    said = declared.select(*KEY).distinct()
-    quiet = lambda df, of: df.join(of, KEY, "left_anti")
-    done.append(quiet(live, said))
-    begun.append(quiet(start, said))
-    live, start = live.join(said, KEY, "left_semi"), start.join(said, KEY, "left_semi")
+def refined(key: DataFrame, bonds: DataFrame, tie: Ties, declared: DataFrame, mirrored: DataFrame | None = None) -> DataFrame:
+    """(mol_id, tag, site_id, colour, rank) of every colouring when stereochemistry adds no more classes.
+
+    A rank is the list of a site's colours round by round: ranks order first by what earlier rounds told apart, so that
+    descriptors of sites that were unlike once stay unlike.
+    """
+    live = classes(key, tie).withColumn("rank", F.array("colour"))
+    said = stored(declared.select(*KEY).distinct(), "said")
+    done = [live.join(said, KEY, "left_anti")]
+    live = stored(live.join(said, KEY, "left_semi"), "live")
     while not live.isEmpty():
-        began = stored(_with(key.join(live.select(*KEY).distinct(), KEY, "left_semi"), signals(declared, bonds, live, mirrored)), "began")
+        began = stored(_with(live, signals(declared, bonds, live, mirrored)), "began")
         new = classes(began, tie)
-        count = lambda df, name: df.groupBy(*KEY).agg(F.count_distinct("colour").alias(name))
-        on = stored(count(new, "m").join(count(live, "n"), KEY).where("m <> n").select(*KEY), "growing")
-        done.append(quiet(new, on))
-        begun.append(quiet(began, on))
-        live, start = new.join(on, KEY, "left_semi"), began
-    return stored(_union(done), "refined"), stored(_union(begun), "begun")
+        both = live.join(new.withColumnRenamed("colour", "next"), [*KEY, "site_id"])
+        grown = both.groupBy(*KEY).agg((F.count_distinct("next") > F.count_distinct("colour")).alias("grown"))
+        step = stored(both.join(grown, KEY).select(*KEY, "site_id", F.when(F.col("grown"), F.col("next")).otherwise(F.col("colour")).alias("colour"), F.when(F.col("grown"), F.concat("rank", F.array("next"))).otherwise(F.col("rank")).alias("rank"), "grown"), "round")
+        done.append(step.where("not grown").drop("grown"))
+        live = step.where("grown").drop("grown")
+    return stored(_union(done), "refined")
 
 
-def settle(key: DataFrame, bonds: DataFrame, tie: DataFrame, declared: DataFrame) -> DataFrame:
-    """The caller's colours with the signals of the refined classes."""
-    got, _ = refined(key, bonds, tie, declared)
+def settle(key: DataFrame, bonds: DataFrame, tie: Ties, declared: DataFrame) -> DataFrame:
+    """The caller's colours with what the configurations say by the refined classes."""
+    got = refined(key, bonds, tie, declared)
     return stored(_with(key, signals(declared, bonds, got)), "settled")
 
 
@@ -86,7 +87,7 @@ def _ordered(own: DataFrame, colour: DataFrame, degree: DataFrame) -> DataFrame:
     return got.select(*KEY, *LOCUS, "kind", F.transform("v", lambda e: e["site_id"]).alias("neighbors"), F.array_join(F.transform(below, lambda i: i.cast("string")), ",").alias("pattern"), tied.alias("tied"))
 
 
-def realizable(own: DataFrame, colour: DataFrame, tie: DataFrame) -> DataFrame:
+def realizable(own: DataFrame, colour: DataFrame, tie: Ties) -> DataFrame:
     """(mol_id, tag, locus_kind, locus_id, kind, neighbors, admitted) of the loci that have more than one configuration.
 
     own are frames with kinds under every tag, colour a settled colouring.  Classes hold with the frame's anchors made
@@ -94,7 +95,7 @@ def realizable(own: DataFrame, colour: DataFrame, tie: DataFrame) -> DataFrame:
     colouring of its own.  neighbors are in order of class, admitted are the orders of them.
     """
     many = F.broadcast(rotations.admits(own.sparkSession))
-    degree = stored(tie.groupBy("mol_id", "site_id").agg(F.count("*").alias("d")), "degrees")
+    degree = stored(tie.rows.groupBy("mol_id", "site_id").agg(F.count("*").alias("d")), "degrees")
     flat = stable(colour, tie)
     first = stored(_ordered(own, flat, degree).join(many, ["kind", "pattern"]), "patterns")
     open_ = first.where("size(admitted) = 1 and tied").select(*KEY, *LOCUS).join(own, [*KEY, *LOCUS]).withColumn("to", F.xxhash64("tag", *LOCUS))
@@ -117,7 +118,7 @@ def stereocenters(sites: DataFrame, bonds: DataFrame, geometry: DataFrame, decla
 
     geometry (mol_id, site_id, geometry) gives sites their kind; without declared configurations the constitution alone decides.
     """
-    tie, key = ties(bonds, bond_key), stored(colours(sites, site_key), "keys")
+    tie, key = ties(sites, bonds, bond_key), stored(colours(sites, site_key), "keys")
     own = stored(kinds_of(frames(sites, bonds), geometry).withColumn("tag", F.lit(0).cast("long")), "loci")
     colour = key if declared is None else settle(key, bonds, tie, stored(tagged(declared), "declared"))
     return realizable(own, colour, tie).select("mol_id", *LOCUS, "kind")
@@ -135,13 +136,15 @@ def forms(sites: DataFrame, bonds: DataFrame, declared: DataFrame, site_key: str
 
     sites may have a tag, one for each assignment of a molecule.  stereo.relate and stereo.is_chiral read these rows.
     """
-    tie, key = ties(bonds, bond_key), stored(colours(sites, site_key), "keys")
+    tie, key = ties(sites, bonds, bond_key), stored(colours(sites, site_key), "keys")
     own = stored(tagged(declared), "declared")
     # three colourings of each: as it is, configured, mirrored
     name = stored(key.select(*KEY).distinct().select("mol_id", F.col("tag").alias("base"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.xxhash64("tag", F.lit(k)).alias("tag")) for k in range(3)))).alias("e")).select("mol_id", "base", "e.k", "e.tag"), "names")
     spread = lambda df, *ks: df.withColumnRenamed("tag", "base").join(name.where(F.col("k").isin(*ks)), ["mol_id", "base"]).drop("base", "k")
     both = stored(spread(key, 1, 2).select(*KEY, "site_id", "colour"), "both")
-    _, start = refined(both, bonds, tie, stored(spread(own, 1, 2), "both-declared"), name.where("k = 2").select(*KEY))
+    own, mirrored = stored(spread(own, 1, 2), "both-declared"), name.where("k = 2").select(*KEY)
+    got = refined(both, bonds, tie, own, mirrored)
+    start = _with(both, signals(own, bonds, got, mirrored))
     start = stored(start.unionByName(spread(key, 0).select(*KEY, "site_id", "colour")), "starts")
     cert = certificates(start, tie).join(name, KEY)
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("certificate")))
@@ -156,7 +159,7 @@ def stereoisomers(sites: DataFrame, bonds: DataFrame, geometry: DataFrame, site_
     open one; loci that open only then follow in later rounds.  Assignments of one form are one isomer.
     Their number grows exponentially with the stereogenic loci, as the result does.
     """
-    tie, key = ties(bonds, bond_key), stored(colours(sites, site_key), "keys")
+    tie, key = ties(sites, bonds, bond_key), stored(colours(sites, site_key), "keys")
     frame = stored(kinds_of(frames(sites, bonds), geometry), "loci")
     spark = sites.sparkSession
     live = stored(sites.select("mol_id").distinct().withColumn("tag", F.lit(0).cast("long")), "branches")

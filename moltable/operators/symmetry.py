@@ -3,11 +3,17 @@
 Colours are rows (mol_id, tag, site_id, colour): a tag names one colouring of a molecule, so that many are refined at
 once over the same bonds.  A colour is a 64-bit hash of what a site has seen, never of its number, so equal
 colours of two molecules mean the same, and their order is fixed.  Each colouring stops by itself when a
-round splits no class of it; its colours do not depend on what else is in the table.
+round splits no class of it; its colours do not depend on what else is in the table.  Molecules of ordinary
+size go through all rounds as one row of arrays, in Columns; a molecule of any size goes through the same
+rounds as joins of its sites and bonds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +29,32 @@ def _sums(h: Column) -> tuple[Column, Column]:
     return F.sum(h.bitwiseAND(F.lit(LOW))).alias("lo"), F.sum(F.shiftrightunsigned(h, 31)).alias("hi")
 
 
-def ties(bonds: DataFrame, bond_key: str = "bond_order") -> DataFrame:
-    """(mol_id, site_id, nbr, tie): bonds from both ends with a hash of their key."""
-    return stored(incidence(bonds, bond_key).select("mol_id", "site_id", "nbr", F.xxhash64(bond_key).alias("tie")), "ties")
+#: Molecules of up to so many sites are refined as one row each, larger ones by joins; colours are the same.
+PACKED = 1000
+
+
+@dataclass(frozen=True)
+class Ties:
+    """Bonds from both ends with a hash of their key: as rows, packed by molecule, and rows of the molecules too large for that."""
+
+    rows: DataFrame  # (mol_id, site_id, nbr, tie)
+    packed: DataFrame  # (mol_id, near): for each site in order the places of its neighbours and the ties
+    large: DataFrame | None
+
+
+def ties(sites: DataFrame, bonds: DataFrame, bond_key: str = "bond_order", packed: int = PACKED) -> Ties:
+    rows = stored(incidence(bonds, bond_key).select("mol_id", "site_id", "nbr", F.xxhash64(bond_key).alias("tie")), "ties")
+    one = sites.select("mol_id", "site_id").distinct()
+    size = one.groupBy("mol_id").agg(F.count("*").alias("n"))
+    small = one.join(size.where(F.col("n") <= packed), "mol_id").groupBy("mol_id").agg(F.array_sort(F.collect_list("site_id")).alias("s"))
+    place = stored(small.select("mol_id", F.posexplode("s").alias("i", "site_id")), "places")
+    far = rows.join(place, ["mol_id", "site_id"]).join(place.select("mol_id", F.col("i").alias("to"), F.col("site_id").alias("nbr")), ["mol_id", "nbr"])
+    far = far.groupBy("mol_id", "i").agg(F.collect_list(F.struct("to", "tie")).alias("e"))
+    near = place.join(far, ["mol_id", "i"], "left").groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("e", F.array().cast("array<struct<to:int,tie:bigint>>")).alias("e")))).alias("v"))
+    near = stored(near.select("mol_id", F.transform("v", lambda x: x["e"]).alias("near")), "packed")
+    discard(place)
+    big = size.where(F.col("n") > packed).select("mol_id")
+    return Ties(rows, near, None if big.isEmpty() else stored(big, "large"))
 
 
 def colours(sites: DataFrame, site_key: str = "element") -> DataFrame:
@@ -34,31 +63,72 @@ def colours(sites: DataFrame, site_key: str = "element") -> DataFrame:
     return sites.select("mol_id", tag.cast("long").alias("tag"), "site_id", F.xxhash64(site_key).alias("colour"))
 
 
-def _hop(colour: DataFrame, tie: DataFrame) -> DataFrame:
-    far = colour.select(*KEY, F.col("site_id").alias("nbr"), F.col("colour").alias("c"))
-    seen = far.join(tie, ["mol_id", "nbr"]).groupBy(*KEY, "site_id").agg(*_sums(F.xxhash64("tie", "c")))
-    zero = F.lit(0).cast("long")
-    return colour.join(seen, [*KEY, "site_id"], "left").select(*KEY, "site_id", F.xxhash64("colour", F.coalesce("lo", zero), F.coalesce("hi", zero)).alias("colour"))
+def _halves(h: Column) -> tuple[Column, Column]:
+    return h.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(h, 31)
 
 
-def stable(colour: DataFrame, tie: DataFrame) -> DataFrame:
-    """The coarsest finer colouring in which sites of one colour see the same colours over the same bonds."""
+def _round(live: DataFrame, tie: DataFrame) -> DataFrame:
+    """One hop: every site takes the hash of its colour and of what its neighbours send; a colouring that splits nothing more keeps its old colours."""
+    zero = F.lit(0).cast("long")
+    lo, hi = _halves(F.xxhash64("tie", "colour"))
+    own = live.select(*KEY, "site_id", "colour", "n", zero.alias("lo"), zero.alias("hi"))
+    far = live.join(tie, ["mol_id", "site_id"]).select(*KEY, F.col("nbr").alias("site_id"), F.lit(None).cast("long").alias("colour"), F.lit(None).cast("long").alias("n"), lo.alias("lo"), hi.alias("hi"))
+    new = own.unionByName(far).groupBy(*KEY, "site_id").agg(F.max("colour").alias("colour"), F.max("n").alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    new = stored(new.select(*KEY, "site_id", "colour", "n", F.xxhash64("colour", "lo", "hi").alias("next")), "hop")
+    split = F.col("m") > F.col("n")
+    now = new.join(new.groupBy(*KEY).agg(F.count_distinct("next").alias("m")), KEY)
+    step = stored(now.select(*KEY, "site_id", F.when(split, F.col("next")).otherwise(F.col("colour")).alias("colour"), F.col("m").alias("n"), split.alias("live")), "colours")
+    discard(new)
+    return step
+
+
+def _joined(colour: DataFrame, tie: DataFrame) -> list[DataFrame]:
+    """Rounds by joins: rows that came to rest in each."""
     first = colour.groupBy(*KEY).agg(F.count_distinct("colour").alias("n"))
-    live = stored(colour.join(first, KEY).select(*KEY, "site_id", "colour", "n"), "colours")
-    done, used = [], [live]
+    live, done = stored(colour.join(first, KEY).select(*KEY, "site_id", "colour", "n"), "colours"), []
     while True:
-        new = _hop(_hop(live.drop("n"), tie), tie)
-        now = new.groupBy(*KEY).agg(F.count_distinct("colour").alias("m"))
-        both = live.join(new.withColumnRenamed("colour", "next"), [*KEY, "site_id"]).join(now, KEY)
-        step = stored(both.select(*KEY, "site_id", F.when(F.col("m") > F.col("n"), F.col("next")).otherwise(F.col("colour")).alias("colour"), F.col("m").alias("n"), (F.col("m") > F.col("n")).alias("live")), "colours")
-        used.append(step)
+        step = _round(live, tie)
+        discard(live)
         done.append(step.where("not live").select(*KEY, "site_id", "colour"))
-        live = step.where("live").drop("live")
+        live = stored(step.where("live").drop("live"), "colours")
         if live.isEmpty():
-            break
-    out = settled(done, "stable")
-    discard(*used)
-    return out
+            return done
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rest(colour: Column, near: Column) -> Column:
+    """The same rounds over one array of colours, whose sites see the places `near`."""
+
+    def heard(c: Column, e: Column) -> Column:
+        code = F.transform(e, lambda x: F.xxhash64(x["tie"], F.get(c, x["to"])))
+        zero = F.lit(0).cast("long")
+        return _let(code, lambda h: F.struct(F.aggregate(h, zero, lambda s, x: s + _halves(x)[0]).alias("lo"), F.aggregate(h, zero, lambda s, x: s + _halves(x)[1]).alias("hi")))
+
+    def step(state: Column, _: Column) -> Column:
+        c = state["c"]
+        new = F.zip_with(c, near, lambda own, e: _let(heard(c, e), lambda h: F.xxhash64(own, h["lo"], h["hi"])))
+        n = lambda x: F.size(F.array_distinct(x))
+        moved = _let(new, lambda x: F.when(n(x) > state["n"], F.struct(x.alias("c"), n(x).alias("n"), F.lit(True).alias("live"))).otherwise(F.struct(c.alias("c"), state["n"].alias("n"), F.lit(False).alias("live"))))
+        return F.when(state["live"], moved).otherwise(state)
+
+    start = F.struct(colour.alias("c"), F.size(F.array_distinct(colour)).alias("n"), F.lit(True).alias("live"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(colour) + 1), start, step)["c"]
+
+
+def stable(colour: DataFrame, tie: Ties) -> DataFrame:
+    """The coarsest finer colouring in which sites of one colour see the same colours over the same bonds."""
+    row = colour if tie.large is None else colour.join(tie.large, "mol_id", "left_anti")
+    row = row.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("site_id", "colour"))).alias("v")).join(tie.packed, "mol_id")
+    out = row.select(*KEY, F.transform("v", lambda x: x["site_id"]).alias("s"), _rest(F.transform("v", lambda x: x["colour"]), F.col("near")).alias("c"))
+    out = out.select(*KEY, F.explode(F.arrays_zip("s", "c")).alias("e")).select(*KEY, F.col("e.s").alias("site_id"), F.col("e.c").alias("colour"))
+    if tie.large is None:
+        return stored(out, "stable")
+    more = _joined(colour.join(tie.large, "mol_id", "left_semi"), tie.rows)
+    return stored(reduce(DataFrame.unionByName, more, out), "stable")
 
 
 def _marked(colour: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -67,18 +137,18 @@ def _marked(colour: DataFrame, chosen: DataFrame) -> DataFrame:
     return colour.join(pick, KEY).select("mol_id", F.col("to").alias("tag"), "site_id", F.when(F.col("site_id") == F.col("own"), F.xxhash64("colour", F.lit(1))).otherwise(F.col("colour")).alias("colour"))
 
 
-def _cells(colour: DataFrame, tie: DataFrame) -> DataFrame:
+def _cells(colour: DataFrame, tie: Ties) -> DataFrame:
     """(mol_id, tag, colour, size) of classes of several sites that bear two bonds or more, in molecules with a ring.
 
     Sites of one stable colour of a forest are always images of each other, and a site of one bond follows its neighbour.
     """
-    degree = tie.groupBy("mol_id", "site_id").agg(F.count("*").alias("d"))
+    degree = tie.rows.groupBy("mol_id", "site_id").agg(F.count("*").alias("d"))
     ringed = degree.groupBy("mol_id").agg(F.sum("d").alias("ends"), F.count("*").alias("k")).where("ends >= 2 * k").select("mol_id")
     inner = degree.where("d > 1").select("mol_id", "site_id").join(ringed, "mol_id", "left_semi")
     return colour.join(inner, ["mol_id", "site_id"], "left_semi").groupBy(*KEY, "colour").agg(F.count("*").alias("size"), F.min("site_id").alias("least")).where("size > 1")
 
 
-def classes(colour: DataFrame, tie: DataFrame) -> DataFrame:
+def classes(colour: DataFrame, tie: Ties) -> DataFrame:
     """Symmetry classes: the stable colouring, split while making single sites individual tells members of a class apart.
 
     Every member of an undecided class gets a colouring of its own, refined together with all others; the hash of
@@ -109,11 +179,11 @@ def classes(colour: DataFrame, tie: DataFrame) -> DataFrame:
 
 def orbits(sites: DataFrame, bonds: DataFrame, site_key: str = "element", bond_key: str = "bond_order") -> DataFrame:
     """(mol_id, site_id, orbit): the least site of each symmetry class."""
-    got = classes(colours(sites, site_key), ties(bonds, bond_key))
+    got = classes(colours(sites, site_key), ties(sites, bonds, bond_key))
     return got.join(got.groupBy("mol_id", "colour").agg(F.min("site_id").alias("orbit")), ["mol_id", "colour"]).select("mol_id", "site_id", "orbit")
 
 
-def certificates(colour: DataFrame, tie: DataFrame) -> DataFrame:
+def certificates(colour: DataFrame, tie: Ties) -> DataFrame:
     """(mol_id, tag, certificate): equal for two colourings exactly if a map of sites and bonds takes one to the other.
 
     A site of the smallest undecided class (of equal sizes that of the least colour) is made individual and classes are
@@ -133,7 +203,7 @@ def certificates(colour: DataFrame, tie: DataFrame) -> DataFrame:
         last = last.unionByName(more)
     last = stored(last.join(colour.select(*KEY, "site_id", F.col("colour").alias("key")), [*KEY, "site_id"]), "final")
     own = last.select(*KEY, F.xxhash64("colour", "key").alias("h"))
-    ends = last.select(*KEY, "site_id", "colour").join(tie, ["mol_id", "site_id"])
+    ends = last.select(*KEY, "site_id", "colour").join(tie.rows, ["mol_id", "site_id"])
     far = ends.join(last.select(*KEY, F.col("site_id").alias("nbr"), F.col("colour").alias("c2")), [*KEY, "nbr"])
     total = own.unionByName(far.select(*KEY, F.xxhash64("colour", "c2", "tie").alias("h"))).groupBy(*KEY).agg(*_sums(F.col("h")), F.count("*").alias("k"))
     return total.select(*KEY, F.concat_ws("-", F.col("k").cast("string"), F.hex("lo"), F.hex("hi")).alias("certificate"))

@@ -169,3 +169,117 @@ def test_orbits_against_all_permutations(spark):
         got.setdefault(r.mol_id, {})[r.site_id] = r.orbit
     for m, (z, bonds) in mols.items():
         assert [got[m][i] for i in range(1, len(z) + 1)] == automorphic(z, bonds), m
+
+
+def star(*, more=(), bonds=()):
+    """Site 1 with neighbours 2 to 5."""
+    return [6, *more], [(1, i, 1) for i in range(2, 6)] + list(bonds)
+
+
+def pair(swap=False):
+    """Two like centres 1 and 2, each with H, O and C: 3 4 5 at the first, 6 7 8 at the second."""
+    return [6, 6, 1, 8, 7, 1, 8, 7], [(1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 6, 1), (2, 7, 1), (2, 8, 1)]
+
+
+def triple():
+    """A centre 2 between the like centres 1 and 3; 2 has H (4) and O (5), the others H, O, N each."""
+    return [6, 6, 6, 1, 8, 1, 8, 7, 1, 8, 7], [(1, 2, 1), (2, 3, 1), (2, 4, 1), (2, 5, 1), (1, 6, 1), (1, 7, 1), (1, 8, 1), (3, 9, 1), (3, 10, 1), (3, 11, 1)]
+
+
+def butene():
+    """1 and 2 double, 3 (C) and 4 (H) at the first, 5 (C) and 6 (H) at the second."""
+    return [6, 6, 6, 1, 6, 1], [(1, 2, 2), (1, 3, 1), (1, 4, 1), (2, 5, 1), (2, 6, 1)]
+
+
+def test_stereogenic_loci(spark):
+    four, oct_, t = (6, 1, 9, 17, 35), OCTAHEDRAL, TETRAHEDRAL
+    spokes = lambda n: [(1, i, 1) for i in range(2, n + 2)]
+    ring = [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1), (6, 1, 1), (1, 7, 1), (1, 8, 1), (4, 9, 1), (4, 10, 1)]
+    mols = {
+        1: (list(four), spokes(4)), 2: ([6, 1, 1, 17, 35], spokes(4)), 3: (list(four), spokes(4)), 4: ([6, 1, 9, 17], spokes(3)), 5: butene(),
+        6: ([6, 6, 6, 1, 1, 1], butene()[1]), 7: cumulene(2), 8: ([26] + [8] * 4 + [7] * 2, spokes(6)), 9: ([26] + [8] * 5 + [7], spokes(6)), 10: pair(), 11: triple(), 12: triple(), 13: triple(),
+        14: ([6] * 6 + [1, 9, 1, 9], ring), 15: ([6] * 6 + [1, 9, 1, 9], ring), 16: ([6] * 6 + [1, 9, 1, 9], ring), 17: cumulene(3), 18: ([6], []),
+    }
+    geo = [(m, 1, t) for m in (1, 2, 4, 18)] + [(8, 1, oct_), (9, 1, oct_), (10, 1, t), (10, 2, t)] + [(m, i, t) for m in (11, 12, 13) for i in (1, 2, 3)] + [(m, i, t) for m in (14, 15, 16) for i in (1, 4)]
+    declared = [
+        (12, 0, 1, t, [2, 6, 7, 8]), (12, 0, 3, t, [2, 10, 9, 11]),  # unlike ends: the middle one counts
+        (13, 0, 1, t, [2, 6, 7, 8]), (13, 0, 3, t, [2, 9, 10, 11]),  # like ends: it does not
+        (15, 0, 1, t, [2, 6, 7, 8]),
+    ]
+    got = {}
+    for r in stereoforms.stereocenters(*tables(spark, mols), shapes(spark, geo), configs(spark, declared)).collect():
+        got.setdefault(r.mol_id, set()).add((r.locus_kind, r.locus_id))
+    centre = lambda *i: {(0, k) for k in i}
+    assert got == {1: centre(1), 5: {(1, 1)}, 7: {(2, 6)}, 8: centre(1), 10: centre(1, 2), 11: centre(1, 3), 12: centre(1, 2, 3), 13: centre(1, 3), 17: {(1, 6)}}
+    alone = stereoforms.stereocenters(*tables(spark, {1: mols[1]}), shapes(spark, geo[:1])).collect()
+    assert [(r.mol_id, r.locus_kind, r.locus_id, r.kind) for r in alone] == [(1, 0, 1, t)]
+    found = {(r.mol_id, r.locus_id, r.finding) for r in stereoforms.consistency(*tables(spark, {12: mols[12], 2: mols[2]}), shapes(spark, geo), configs(spark, declared[:2] + [(2, 0, 1, t, [2, 3, 4, 5])])).collect()}
+    assert found == {(12, 2, "unspecified"), (2, 1, "overspecified")}
+
+
+def renumbered(mol, rows, rng):
+    z, bonds = mol
+    p = list(range(1, len(z) + 1))
+    rng.shuffle(p)
+    new = [0] * len(z)
+    for i, e in enumerate(z):
+        new[p[i] - 1] = e
+    order = list(range(len(bonds)))
+    rng.shuffle(order)
+    swap = [bonds[i] if rng.random() < 0.5 else (bonds[i][1], bonds[i][0], bonds[i][2]) for i in order]
+    at = {old + 1: k + 1 for k, old in enumerate(order)}
+    return (new, [(p[a - 1], p[b - 1], o) for a, b, o in swap]), [(k, at[i] if k == 1 else p[i - 1], kind, [p[x - 1] for x in n]) for k, i, kind, n in rows]
+
+
+def test_forms_relations_and_chirality(spark):
+    t, b, x = TETRAHEDRAL, rotations.BOND, rotations.AXIS
+    one = ([6, 1, 9, 17, 35], [(1, i, 1) for i in range(2, 6)])
+    two_rings = ([6] * 6 + [1, 9, 1, 9], [(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 6, 1), (6, 1, 1), (1, 7, 1), (1, 8, 1), (4, 9, 1), (4, 10, 1)])
+    mid = lambda a, m, c: [(0, 1, t, a), (0, 2, t, m), (0, 3, t, c)]
+    ends = ([2, 6, 7, 8], [2, 9, 10, 11], [2, 10, 9, 11])
+    cases = {
+        "plain": (one, []), "right": (one, [(0, 1, t, [2, 3, 4, 5])]), "left": (one, [(0, 1, t, [3, 2, 4, 5])]),
+        "other": (([6, 1, 9, 17, 53], one[1]), [(0, 1, t, [2, 3, 4, 5])]),
+        "homo": (pair(), [(0, 1, t, [2, 3, 4, 5]), (0, 2, t, [1, 6, 7, 8])]), "homo2": (pair(), [(0, 1, t, [3, 2, 4, 5]), (0, 2, t, [6, 1, 7, 8])]), "meso": (pair(), [(0, 1, t, [2, 3, 4, 5]), (0, 2, t, [6, 1, 7, 8])]),
+        "cis": (butene(), [(1, 1, b, [3, 4, 5, 6])]), "trans": (butene(), [(1, 1, b, [3, 4, 6, 5])]),
+        "allene": (cumulene(2), [(2, 6, x, [1, 2, 3, 4])]), "allene2": (cumulene(2), [(2, 6, x, [2, 1, 3, 4])]),
+        "r": (triple(), mid(ends[0], [1, 3, 4, 5], ends[2])), "s": (triple(), mid(ends[0], [3, 1, 4, 5], ends[2])),
+        "dormant": (triple(), mid(ends[0], [1, 3, 4, 5], ends[1])), "dormant2": (triple(), mid(ends[0], [3, 1, 4, 5], ends[1])),
+        "ring": (two_rings, [(0, 1, t, [2, 6, 7, 8]), (0, 4, t, [3, 5, 9, 10])]),
+    }
+    rng, mols, rows, name = random.Random(6), {}, [], {}
+    for m, (key, (mol, conf)) in enumerate(cases.items()):
+        for copy in range(2):
+            got, own = (mol, conf) if not copy else renumbered(mol, conf, rng)
+            mols[2 * m + copy], name[2 * m + copy] = got, (key, copy)
+            rows += [(2 * m + copy, *c) for c in own]
+    form = {name[r.mol_id]: r for r in stereoforms.forms(*tables(spark, mols), configs(spark, rows)).collect()}
+    assert len(form) == 2 * len(cases)
+    for key in cases:
+        a, c = form[key, 0], form[key, 1]
+        assert (a.constitution, a.configured, a.mirror) == (c.constitution, c.configured, c.mirror), key
+    chiral = {k for k in cases if form[k, 0].configured != form[k, 0].mirror}
+    assert chiral == {"right", "left", "other", "homo", "homo2", "allene", "allene2", "dormant", "dormant2"}
+    flat = spark.createDataFrame([(k, r.constitution, r.configured, r.mirror) for (k, c), r in form.items() if not c], "mol_id string, constitution string, configured string, mirror string")
+    pairs = [("right", "right"), ("right", "left"), ("homo", "homo2"), ("homo", "meso"), ("cis", "trans"), ("right", "other"), ("allene", "allene2"), ("r", "s"), ("dormant", "dormant2"), ("right", "plain")]
+    told = {(r.a, r.b): r.relation for r in stereo.relate(spark.createDataFrame(pairs, "a string, b string"), flat).collect()}
+    assert [told[p] for p in pairs] == ["Identical", "Enantiomers", "Enantiomers", "Diastereomers", "Diastereomers", "Unrelated", "Enantiomers", "Diastereomers", "Identical", "Diastereomers"]
+
+
+def test_numbers_of_stereoisomers(spark):
+    t = TETRAHEDRAL
+    mols = {1: ([6, 1, 9, 17, 35], [(1, i, 1) for i in range(2, 6)]), 2: pair(), 3: triple(), 4: butene(), 5: cumulene(2), 6: ([26] + [8] * 4 + [7] * 2, [(1, i, 1) for i in range(2, 8)]), 7: ([6, 1, 1, 1, 1], [(1, i, 1) for i in range(2, 6)]), 8: ([6, 6], [])}
+    geo = [(1, 1, t), (2, 1, t), (2, 2, t), *((3, i, t) for i in (1, 2, 3)), (6, 1, OCTAHEDRAL), (7, 1, t)]
+    got = {}
+    for r in stereoforms.stereoisomers(*tables(spark, mols), shapes(spark, geo)).collect():
+        got.setdefault(r.mol_id, {}).setdefault(r.isomer, []).append((r.locus_kind, r.locus_id))
+    assert {m: len(i) for m, i in got.items()} == {1: 2, 2: 3, 3: 4, 4: 2, 5: 2, 6: 2, 7: 1, 8: 1}
+    assert sorted(len(x) for x in got[3].values()) == [2, 2, 3, 3]
+    assert list(got[7].values()) == [[(None, None)]]
+
+
+def test_rounds_by_joins_give_the_colours_of_packed_rounds(spark):
+    mols = {1: triple(), 2: ([6] * 6, [(1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 5, 1), (5, 6, 1), (6, 4, 1), (1, 4, 1)]), 3: cumulene(3), 4: ([6, 6, 6], []), 5: ([6] * 7, [(i, i + 1, 1) for i in range(1, 7)])}
+    s, b = tables(spark, mols)
+    rows = lambda packed: sorted(map(tuple, symmetry.stable(symmetry.colours(s), symmetry.ties(s, b, packed=packed)).select("mol_id", "site_id", "colour").collect()))
+    assert rows(1000) == rows(0) == rows(6)
