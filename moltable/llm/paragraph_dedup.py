@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import neardup
-from .shared import U64, Words, array_batch, discard, mix, plain, signed, slices, stored
+from .shared import U64, Words, array_batch, discard, fresh, mix, plain, signed, slices, stored
 
 RADIUS = 7
 MIN_WORDS = 50
@@ -326,8 +326,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding =
     return out.select("doc_id", "start", "end", "n_words", "word", F.col("f.doc_id").alias("component_id"), first.alias("kept"), "passage_word", "passage_words", "version")
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """docs with __version: the row's key as `repeated` has it."""
+def versions(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`: the row's key as `repeated` has it."""
     names = docs.columns
     at, of = names.index("text"), names.index("doc_id")
 
@@ -338,17 +338,18 @@ def versions(docs: DataFrame) -> DataFrame:
             for a, b, data, off in slices(batch.column(at)):
                 w = Words(data, off)
                 out[a:b] = signed(mix(w.span_hash(off[:-1], off[1:]) ^ mix(ids[a:b].copy().view(U64), 1), 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "__version"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__version", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding = BANDING) -> DataFrame:
     """docs with every matched paragraph of a repeated passage but a component's first removed from the text.
 
-    Rows of a null id, and null texts, stay as they are.  The input must have no columns named __cuts or __version.
+    Rows of a null id, and null texts, stay as they are, and so do all other columns.
     """
-    cuts = repeated(docs, min_words, cfg).where("not kept").groupBy(F.col("doc_id"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
+    version, gone = fresh(docs, "__version"), fresh(docs, "__cuts")
+    cuts = repeated(docs, min_words, cfg).where("not kept").groupBy(F.col("doc_id"), F.col("version").alias(version)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(gone))
     names = docs.columns
     at = names.index("text")
 
@@ -363,5 +364,5 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, cfg: neardup.Banding =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keyed = versions(docs).join(cuts, ["doc_id", "__version"], "left")
-    return keyed.select(*(F.col(f"`{c}`") for c in names), "__cuts").mapInArrow(run, T.StructType(list(docs.schema.fields)))
+    keyed = versions(docs, version).join(cuts, ["doc_id", version], "left")
+    return keyed.select(*(F.col(f"`{c}`") for c in names), gone).mapInArrow(run, T.StructType(list(docs.schema.fields)))

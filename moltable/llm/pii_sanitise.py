@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
+from .shared import U64, Words, array_batch, fresh, mix, plain, signed, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -140,9 +140,9 @@ BASE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.i
 NEAR = pa.schema([("key", pa.int64()), ("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, name: str = "__key") -> DataFrame:
     """A row's own key: repeated rows share it, rows that share only their id don't."""
-    return docs.withColumn("__key", F.xxhash64(F.col("doc_id"), F.col("text")))
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text")))
 
 
 def disclosing(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
@@ -160,7 +160,7 @@ def disclosing(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
                 if rows:
                     yield array_batch(NEAR, *(np.array(c, np.int64) for c in zip(*rows, strict=True)))
 
-    seen = _keyed(docs).select("__key", "text").mapInArrow(contexts, "key long, e long, t long, c long, a long, b long")
+    seen = _keyed(plain(docs, "doc_id", "text")).select("__key", "text").mapInArrow(contexts, "key long, e long, t long, c long, a long, b long")
     seen = stored(seen.distinct(), "pii-contexts")
     pair = seen.select("e", "t", "c").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= cfg.support)
     pair = stored(pair, "pii-pairs")
@@ -208,7 +208,7 @@ def found(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i).cast(pa.int64()) for i in (0, 1)), *(pa.array([len(s[i]) for s in spans], pa.int64()) for i in range(4)), pa.array([joined(s) for s in spans], pa.string())], schema=BASE)
 
     extra = disclosing(docs, cfg).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("a", "b"))), lambda s: F.concat_ws(":", F.lit("term"), s["a"].cast("string"), s["b"].cast("string"))), ",").alias("terms"))
-    base = _keyed(docs).select("__key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string")
+    base = _keyed(plain(docs, "doc_id", "text")).select("__key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string")
     out = base.join(extra, "key", "left")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("terms"))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
@@ -217,9 +217,11 @@ def found(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
 def sanitised(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
     """docs with matches replaced by [EMAIL], [IP], [CARD], [PHONE] and disclosing terms by [TERM].
 
-    Overlapping spans are replaced once, by the earliest and longest; a null text stays null.
+    Overlapping spans are replaced once, by the earliest and longest; a null text stays null.  All other columns
+    stay as they are, whatever their names; repeated rows each stay, and an empty table gives an empty one.
     """
-    extra = disclosing(docs, cfg).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__terms"))
+    key, terms = fresh(docs, "__key"), fresh(docs, "__terms")
+    extra = disclosing(docs, cfg).groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias(terms))
     names = docs.columns
     at = names.index("text")
 
@@ -232,8 +234,8 @@ def sanitised(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    both = _keyed(docs).join(extra.withColumnRenamed("key", "__key"), "__key", "left")
-    return both.select(*(F.col(f"`{c}`") for c in names), "__terms").mapInArrow(run, T.StructType(list(docs.schema.fields)))
+    both = _keyed(docs, key).join(extra, key, "left")
+    return both.select(*(F.col(f"`{c}`") for c in names), terms).mapInArrow(run, T.StructType(list(docs.schema.fields)))
 
 
 def replaced(text: str, more: list[tuple[int, int]]) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Words, array_batch, plain, slices
+from .shared import Words, array_batch, fresh, plain, slices
 
 FIT_DOCUMENTS = 2500
 FIT_LINES = 2000
@@ -184,18 +184,20 @@ def document_scores(model: Model | None, column: pa.Array) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def scored(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) with a column quality_score.
+def scored(docs: DataFrame, model: Model | None, keep: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with a score column, `name`: quality_score, or where docs has
+    that column quality_score_ and so on.
 
     Every whole text is scored; a null, empty or blank one has the share of good documents in
     the fit as its score (0.5 without a fit).  Null ids and repeated rows pass through.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "quality_score"]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("quality_score", T.DoubleType())])
+    keep = docs.columns if keep is None else keep
+    name = name or fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "quality_score")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             score = pa.array(document_scores(model, batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], names=[*keep, name])
 
-    return docs.select(F.col("text").alias("__text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return docs.select(F.col("text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)

@@ -72,6 +72,14 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many _ behind it as it takes to be none of df's columns."""
+    own = {c.lower() for c in df.columns}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x + U64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)

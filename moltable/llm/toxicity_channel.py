@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .neardup import Banding, near_documents
-from .shared import U64, Words, array_batch, mix, plain, signed, slices, stored
+from .shared import U64, Words, array_batch, fresh, mix, plain, signed, slices, stored
 
 #: Letters of the model beside a-z, and what signs stand for.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -340,13 +340,15 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, documents: int = F
     return Lexicon(keys, p, logistic(seen[list("abcde")].to_numpy(), seen.label.to_numpy()))
 
 
-def scored(docs: DataFrame, model: CharModel, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) with a column toxicity, 0 to 1.
+def scored(docs: DataFrame, model: CharModel, lexicon: Lexicon, keep: list[str] | None = None, name: str | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with a score column, 0 to 1, `name`: toxicity, or where docs has
+    that column toxicity_ and so on.
 
     A null, empty or blank text has the score of a document without toxic words.  Null ids and
     repeated rows pass through; an empty table gives an empty one.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
+    keep = docs.columns if keep is None else keep
+    name = name or fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "toxicity")
     sent = docs.sparkSession.sparkContext.broadcast((model, lexicon))
 
     def run(batches):
@@ -355,7 +357,7 @@ def scored(docs: DataFrame, model: CharModel, lexicon: Lexicon, keep: list[str]
             score = np.zeros(batch.num_rows)
             for a, b, data, off in slices(batch.column(0)):
                 score[a:b] = lex.score(*slice_words(data, off, m), b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.clip(score, 0, 1))], names=[*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.clip(score, 0, 1))], names=[*keep, name])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("toxicity", T.DoubleType())])
-    return docs.select(F.col("text").alias("__text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return docs.select(F.col("text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)

@@ -10,6 +10,7 @@ import re
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from moltable.llm import paragraph_dedup, pii_sanitise, quality_crf
 from moltable.llm.queries import VOCABULARY
 
 
@@ -64,3 +65,27 @@ def test_run_against_a_plain_version(spark, tmp_path):
         ids = lib.encode(t, add_special_tokens=False).ids
         assert (got[i].n_tokens, got[i].ids) == (len(ids), ids), i
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_stages_and_operators_leave_clashing_columns_alone(spark):
+    """Columns named as the code's own helpers keep their values in every stage; ids are shared and null."""
+    rng = random.Random(3)
+    names = ["__key", "__text", "__terms", "__shared", "__id", "quality_score", "toxicity", "__cuts", "__version", "key", "base", "terms"]
+    texts = ["\n".join(prose(rng, 25).capitalize() + "." for _ in range(3)) for _ in range(12)]
+    rows = [(i // 2 if i < 8 else i, t, len(t), *range(100 * i, 100 * i + len(names))) for i, t in enumerate(texts)] + [(None, texts[0], 5, *range(7000, 7000 + len(names))), (50, None, None, *range(8000, 8000 + len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` long" for n in names)).repartition(3)
+    want = {r[3]: r[3:] for r in rows}
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name == "token_ids":
+            assert out.count() == len(rows) and out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+            continue
+        got = out.collect()
+        assert out.columns == docs.columns and got, name
+        assert all(tuple(r[3:]) == want[r[3]] for r in got), name
+        assert name in ("quality", "near_duplicates") or len(got) == len(rows), name
+    for out in (paragraph_dedup.cleaned(docs), pii_sanitise.sanitised(docs)):
+        assert out.columns == docs.columns and {r[3]: tuple(r[3:]) for r in out.collect()} == want
+    model = quality_crf.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, label int"))
+    assert quality_crf.scored(docs, model).columns == [*docs.columns, "quality_score_"]
