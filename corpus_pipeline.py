@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from moltable.llm import bpe_automaton, cgk_decontam, neardup, pii_sanitise, quality_crf
 from moltable.llm.queries import VOCABULARY, held_out, table
-from moltable.llm.shared import stored
+from moltable.llm.shared import fresh, plain, stored
 
 THRESHOLD = 0.3
 
@@ -24,17 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the share of good documents as its score; repeated rows go or stay together.
     """
     labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("quality").alias("label"))
-    return quality_crf.scored(docs, quality_crf.fit(docs, labels)).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    score = fresh(docs, "quality_score")
+    return quality_crf.scored(docs, quality_crf.fit(docs, labels), name=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """docs with __key: the doc_id, or, for a null id and for one that several rows share, a hash of id and text above all ids."""
-    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+def row_keys(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column `key`: the doc_id, or, for a null id and for one that several rows share, a hash of id and text above all ids."""
+    same, mark = fresh(docs, "__id"), fresh(docs, "__shared")
+    shared = plain(docs, "doc_id").where("doc_id is not null").groupBy(F.col("doc_id").alias(same)).count().where("count > 1").select(same)
     if shared.isEmpty() and docs.where("doc_id is null").isEmpty():
-        return docs.withColumn("__key", F.col("doc_id").cast("long"))
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
     own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
-    known = docs.join(shared.withColumn("__shared", F.lit(True)), F.col("doc_id") == F.col("__id"), "left")
-    return known.withColumn("__key", F.when(F.col("doc_id").isNull() | F.col("__shared").isNotNull(), own).otherwise(F.col("doc_id"))).drop("__id", "__shared")
+    known = docs.join(shared.withColumn(mark, F.lit(True)), F.col("doc_id") == F.col(same), "left")
+    return known.withColumn(key, F.when(F.col("doc_id").isNull() | F.col(mark).isNotNull(), own).otherwise(F.col("doc_id"))).drop(same, mark)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,29 +46,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows that are equal in both one stays.  Texts that are null or without words are in no group: all their rows stay.
     An empty table gives an empty one.
     """
-    keyed = row_keys(docs)
-    out = neardup.near_documents(keyed, neardup.Banding(shingle=5), id_col="__key")
-    gone = out.where("not kept").select(F.col("doc_id").alias("__key")).distinct()
-    left = keyed.join(gone, "__key", "left_anti")
-    many = (F.col("__key") >= F.lit(1 << 62)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.where(~many).unionByName(left.where(many).dropDuplicates(["__key"])).select(docs.columns)
+    key = fresh(docs, "__key")
+    keyed = row_keys(docs, key)
+    out = neardup.near_documents(plain(keyed, key, "text"), neardup.Banding(shingle=5), id_col=key)
+    gone = out.where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    left = keyed.join(gone, key, "left_anti")
+    many = (F.col(key) >= F.lit(1 << 62)) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~many).unionByName(left.where(many).dropDuplicates([key])).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text holds a benchmark item go, whatever their id; null and empty texts hold none and stay.  Repeated rows go or stay together."""
-    held = F.xxhash64("text")
-    leaks = cgk_decontam.contaminated(docs.select(held.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
-    return docs.withColumn("__text", held).join(leaks, "__text", "left_anti").select(docs.columns)
+    held, mark = F.xxhash64("text"), fresh(docs, "__text")
+    leaks = cgk_decontam.contaminated(docs.select(held.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.withColumn(mark, held).join(leaks, mark, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced in the text; n_chars follows."""
+    """Personal data and the terms that disclose it are replaced in the text; n_chars follows.
+
+    A null text stays null and an empty one empty; repeated rows each stay and are treated alike.  An empty table gives an empty one.
+    """
     out = pii_sanitise.sanitised(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): ids as an array, and the digest of the text that they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): ids as an array, and the digest of the text that they decode to.
+
+    A null or empty text has no ids and decodes to an empty text; a null id stays null, repeated rows each give a row,
+    other columns are left behind.  An empty table gives an empty one.
+    """
     out = bpe_automaton.encode_decode(docs, VOCABULARY)
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>"))
     return out.select("doc_id", "n_tokens", ids.alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
