@@ -161,13 +161,14 @@ def near(sites: DataFrame, points: DataFrame, cutoff: float) -> DataFrame:
 
 
 def periodic_neighbors(sites: DataFrame, lengths: Vector, cutoff: float) -> DataFrame:
-    """(mol_id, a, b, d2): pairs a < b whose shortest image in an orthorhombic cell is within the cutoff, each once.
+    """(mol_id, a, b, d2): pairs a < b whose shortest image in an orthorhombic cell is within the cutoff, each once:
+    at 0 those that coincide, below 0 none.
 
     lengths: the cell's edges as columns of sites.  An axis is divided into floor(edge / cutoff) cells if
     these are three at least; its neighbours then wrap around.  Otherwise the axis is one cell.
     """
     wrapped = sites.select("mol_id", "site_id", *((F.col(k) - n * F.floor(F.col(k) / n)).alias(k) for k, n in zip("xyz", lengths, strict=True)), *(n.alias(f"l{k}") for k, n in zip("xyz", lengths, strict=True)))
-    many = {k: F.floor(F.col(f"l{k}") / cutoff) for k in "xyz"}
+    many = {k: F.floor(F.col(f"l{k}") / cutoff) if cutoff > 0 else F.lit(1) for k in "xyz"}
     count = {k: F.when(many[k] >= 3, many[k]).otherwise(1).cast("long") for k in "xyz"}
     grid = wrapped.select("*", *(count[k].alias(f"n{k}") for k in "xyz"))
     grid = grid.select("*", *(F.least(F.floor(F.col(k) / F.col(f"l{k}") * F.col(f"n{k}")).cast("long"), F.col(f"n{k}") - 1).alias(f"i{k}") for k in "xyz"))
@@ -181,4 +182,4 @@ def periodic_neighbors(sites: DataFrame, lengths: Vector, cutoff: float) -> Data
     d = [F.col(f"{k}2") - F.col(f"{k}1") for k in "xyz"]
     d = [v - F.col(f"l{k}") * F.round(v / F.col(f"l{k}")) for v, k in zip(d, "xyz", strict=True)]
     d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    return both.select("mol_id", "a", "b", d2.alias("d2")).where(F.col("d2") <= cutoff * cutoff).distinct()
+    return both.select("mol_id", "a", "b", d2.alias("d2")).where((F.col("d2") <= cutoff * cutoff) & F.lit(cutoff >= 0)).distinct()

@@ -133,10 +133,12 @@ def neighbors(sites: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
 
 
 def translations(basis: Column, radius: Column) -> Column:
-    """All lattice vectors up to a radius, as structs of i, j, k, x, y, z.
+    """All lattice vectors up to a radius, as structs of i, j, k, x, y, z; none for a radius without end.
 
     A vector within the radius has coefficients of at most the radius times the length of the dual vector, which bounds each axis.
     """
+    endless = radius == float("inf")
+    radius = F.when(~endless, radius)
     dual = reciprocal(basis)
     reach = [F.floor(radius * F.sqrt(dot(column(dual, i), column(dual, i))) + 1e-9).cast("int") for i in range(3)]
     axis = [F.sequence(-r, r) for r in reach]
@@ -146,7 +148,8 @@ def translations(basis: Column, radius: Column) -> Column:
         return F.struct(i.alias("i"), j.alias("j"), k.alias("k"), r[0].alias("x"), r[1].alias("y"), r[2].alias("z"))
 
     grid = F.flatten(F.transform(axis[0], lambda i: F.flatten(F.transform(axis[1], lambda j: F.transform(axis[2], lambda k: point(i, j, k))))))
-    return F.filter(grid, lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= radius * radius)
+    near = F.filter(grid, lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= radius * radius)
+    return F.when(endless, F.array().cast("array<struct<i:int,j:int,k:int,x:double,y:double,z:double>>")).otherwise(near)
 
 
 def reduced(basis: Column, rounds: int = 64) -> Column:

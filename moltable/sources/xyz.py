@@ -125,9 +125,16 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number(c):
-    """A double in plain digits: no exponent, no trailing .0."""
-    text = c.cast("decimal(38,15)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """A double in plain digits, all of those of its own text: no exponent, no trailing .0."""
+    text = c.cast("double").cast("string")
+    part = lambda n: F.regexp_extract(text, r"^(-?)([0-9]+)\.([0-9]*?)0*(?:E(-?[0-9]+))?$", n)
+    digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+(?=.)", "")
+    # how many of the digits stand before the point; zeros in front of them do not count
+    point = F.length(part(2)) + F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0)) - (F.length(part(2)) + F.length(part(3)) - F.length(digits))
+    ahead = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    behind = F.rpad(digits, F.greatest(point, F.length(digits)), "0")
+    plain = F.when(digits == "0", "0").when(point <= 0, ahead).when(point >= F.length(digits), behind).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    return F.when(text.rlike("^-?[0-9]"), F.concat(part(1), plain)).otherwise(text)
 
 
 def lines(sites: DataFrame, comment=None) -> DataFrame:
