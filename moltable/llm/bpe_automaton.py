@@ -270,7 +270,7 @@ class _Words(dict):
         return got
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(described: Spec) -> Codec:
     return Codec(described)
 

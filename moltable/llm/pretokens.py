@@ -37,6 +37,13 @@ class Spec:
     lower: tuple[np.ndarray, np.ndarray]  # code points with another lower case, and that
     spelt: dict[str, str]  # those whose lower case is more than one code point
 
+    def __hash__(self) -> int:
+        return hash(self.text)
+
+    def __eq__(self, other: object) -> bool:
+        """Of one file's text: what workers build from it is built once, however often it is sent."""
+        return isinstance(other, Spec) and self.text == other.text
+
 
 def describe(text: str, block: int = 256) -> Spec:
     tok = Tokenizer.from_str(text)

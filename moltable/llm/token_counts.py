@@ -160,7 +160,7 @@ class Counter:
         return n
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counter(spec: Spec) -> Counter:
     return Counter(spec)
 
