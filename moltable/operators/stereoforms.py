@@ -113,13 +113,13 @@ def realizable(own: DataFrame, colour: DataFrame, tie: Ties) -> DataFrame:
     return out.select(*KEY, *LOCUS, "kind", "neighbors", "admitted")
 
 
-def stereocenters(sites: DataFrame, bonds: DataFrame, geometry: DataFrame, declared: DataFrame | None = None, site_key: str = "element", bond_key: str = "bond_order") -> DataFrame:
+def stereocenters(sites: DataFrame, bonds: DataFrame, geometry: DataFrame, declared: DataFrame | None = None, site_key: str = "element", bond_key: str = "bond_order", frame: DataFrame | None = None) -> DataFrame:
     """(mol_id, locus_kind, locus_id, kind) of the loci that are stereogenic in the molecules as declared.
 
     geometry (mol_id, site_id, geometry) gives sites their kind; without declared configurations the constitution alone decides.
     """
     tie, key = ties(sites, bonds, bond_key), stored(colours(sites, site_key), "keys")
-    own = stored(kinds_of(frames(sites, bonds), geometry).withColumn("tag", F.lit(0).cast("long")), "loci")
+    own = stored(kinds_of(frames(sites, bonds) if frame is None else frame, geometry).withColumn("tag", F.lit(0).cast("long")), "loci")
     colour = key if declared is None else settle(key, bonds, tie, stored(tagged(declared), "declared"))
     return realizable(own, colour, tie).select("mol_id", *LOCUS, "kind")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..model import degrees, incidence
 from ..storage import stored
+from . import spanning
 
 
 def _expand(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], name: str, levels: bool = False, depth: int | None = None) -> DataFrame:
@@ -127,16 +128,12 @@ def cycle_rank(sites: DataFrame, bonds: DataFrame, comp: DataFrame) -> DataFrame
     return part.join(edge, "mol_id", "left").select("mol_id", (F.coalesce("e", F.lit(0)) + F.col("k")).alias("cycle_rank"))
 
 
-def ring_membership(bonds: DataFrame) -> DataFrame:
-    """(mol_id, bond_id, in_ring): a bond is in a ring if its ends stay connected without it.
-
-    From one end of every bond a frontier expands over the other bonds until it meets the other end.
-    """
-    inc = stored(incidence(bonds).select("mol_id", F.col("bond_id").alias("via"), F.col("site_id").alias("at"), "nbr"), "inc")
-    start = bonds.select("mol_id", "bond_id", F.col("a").alias("at"), F.col("b").alias("goal"))
-    step = lambda last: last.where("at <> goal").join(inc, ["mol_id", "at"]).where("via <> bond_id").select("mol_id", "bond_id", F.col("nbr").alias("at"), "goal")
-    met = _expand(start, step, ["mol_id", "bond_id", "at"], "ring").where("at = goal").select("mol_id", "bond_id", F.lit(True).alias("in_ring")).distinct()
-    return bonds.select("mol_id", "bond_id", "a", "b").join(met, ["mol_id", "bond_id"], "left").select("mol_id", "bond_id", "a", "b", F.coalesce("in_ring", F.lit(False)).alias("in_ring"))
+def ring_membership(bonds: DataFrame, block: DataFrame | None = None) -> DataFrame:
+    """(mol_id, bond_id, a, b, in_ring): a bond is in a ring if its biconnected block has several bonds."""
+    block = spanning.blocks(bonds) if block is None else block
+    many = block.groupBy("mol_id", "block").agg((F.count("*") > 1).alias("in_ring"))
+    own = block.join(many, ["mol_id", "block"]).select("mol_id", "bond_id", "in_ring")
+    return bonds.select("mol_id", "bond_id", "a", "b").join(own, ["mol_id", "bond_id"], "left").select("mol_id", "bond_id", "a", "b", F.coalesce("in_ring", F.lit(False)).alias("in_ring"))
 
 
 def ring_sites(sites: DataFrame, membership: DataFrame) -> DataFrame:
@@ -161,24 +158,9 @@ def framework(sites: DataFrame, bonds: DataFrame, membership: DataFrame) -> Data
     return out.select("mol_id", "site_id", F.when(F.col("in_ring"), "Ring").when(F.col("core"), "Linker").otherwise("SideChain").alias("role"))
 
 
-def blocks(bonds: DataFrame, membership: DataFrame) -> DataFrame:
-    """(mol_id, bond_id, block): biconnected blocks, named by their least bond; a bridge is its own block.
-
-    Two ring bonds at a site are in one block if their far ends stay connected without that site;
-    these pairs are an edge relation whose components are the blocks.
-    """
-    ring = stored(membership.where("in_ring").select("mol_id", "bond_id", "a", "b"), "ringbonds")
-    inc = stored(incidence(ring).select("mol_id", "site_id", "bond_id", "nbr"), "inc")
-    start = inc.select("mol_id", F.col("site_id").alias("hub"), "bond_id", F.col("nbr").alias("at"))
-    walk = inc.select("mol_id", F.col("site_id").alias("at"), F.col("nbr").alias("to"))
-    step = lambda last: last.join(walk, ["mol_id", "at"]).where("to <> hub").select("mol_id", "hub", "bond_id", F.col("to").alias("at"))
-    reach = _expand(start, step, ["mol_id", "hub", "bond_id", "at"], "block")
-    other = inc.select("mol_id", F.col("site_id").alias("hub"), F.col("bond_id").alias("bond2"), F.col("nbr").alias("at"))
-    pair = reach.join(other, ["mol_id", "hub", "at"]).where("bond_id < bond2").select("mol_id", F.col("bond_id").alias("a"), F.col("bond2").alias("b")).distinct()
-    part = components(ring.select("mol_id", F.col("bond_id").alias("site_id")), pair.withColumn("bond_id", F.lit(0)))
-    part = part.select("mol_id", F.col("site_id").alias("bond_id"), F.col("component").alias("block"))
-    bridge = membership.where("not in_ring").select("mol_id", "bond_id", F.col("bond_id").alias("block"))
-    return part.unionByName(bridge)
+def blocks(bonds: DataFrame, membership: DataFrame | None = None) -> DataFrame:
+    """(mol_id, bond_id, block): biconnected blocks, named by their least bond; a bridge is its own block."""
+    return spanning.blocks(bonds)
 
 
 def cut_sites(bonds: DataFrame, block: DataFrame) -> DataFrame:

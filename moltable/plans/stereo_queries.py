@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import coordination, frames, rotations, valence
+from ..operators import coordination, frames, rotations, stereoforms, symmetry, valence
+from ..storage import stored
 from .projection import CTE, molecules
 
 
@@ -142,9 +143,100 @@ SELECT mol_id, locus_kind, locus_id, array_to_string(min(list_transform(p, lambd
 GROUP BY mol_id, locus_kind, locus_id"""
 )
 
-QUERIES = {"stereo_descriptor": stereo_descriptor, "stereo_frames": stereo_frames, "stereo_perceive": stereo_perceive, "stereo_perceive_four": stereo_perceive_four}
+#: The shape taken for each number of neighbours where only the graph counts.
+SHAPES = {3: 3, 4: 5, 5: 9, 6: 11}
+
+
+def _shapes(frame: DataFrame) -> DataFrame:
+    """(mol_id, site_id, geometry) of sites with three to six neighbours, by their number."""
+    n = F.size("neighbors")
+    kind = F.coalesce(*(F.when(n == k, g) for k, g in SHAPES.items()))
+    return frame.where((F.col("locus_kind") == 0) & n.between(3, 6)).select("mol_id", F.col("locus_id").alias("site_id"), kind.alias("geometry"))
+
+
+def stereocenters(spark, sf_dir: str) -> DataFrame:
+    """Stereogenic loci of the constitution, by elements and bond orders."""
+    s, b = molecules(spark, sf_dir)
+    frame = stored(frames.frames(s, b), "frames")
+    return stereoforms.stereocenters(s, b, _shapes(frame), frame=frame)
+
+
+def _round(k: int) -> str:
+    """SQL: one round of colour refinement, under every locus at once."""
+    key = "mol_id, locus_kind, locus_id"
+    return f""", w{k} AS (
+  SELECT {key}, site_id, dense_rank() OVER (PARTITION BY {key} ORDER BY c, env) AS c FROM (
+    SELECT w.mol_id, w.locus_kind, w.locus_id, w.site_id, any_value(w.c) AS c, coalesce(list_sort(list(i.bond_order * 1000 + f.c) FILTER (f.c IS NOT NULL)), []) AS env
+    FROM w{k - 1} w LEFT JOIN inc i ON i.mol_id = w.mol_id AND i.site_id = w.site_id
+      LEFT JOIN w{k - 1} f ON f.mol_id = w.mol_id AND f.locus_kind = w.locus_kind AND f.locus_id = w.locus_id AND f.site_id = i.nbr GROUP BY ALL)
+)"""
+
+
+STEREOCENTERS = (
+    CTE
+    + GROUPS
+    + FRAMES
+    + f""", loci AS (
+  SELECT *, CASE locus_kind WHEN 1 THEN {rotations.BOND} WHEN 2 THEN {rotations.AXIS} ELSE CASE len(neighbors) {" ".join(f"WHEN {n} THEN {g}" for n, g in SHAPES.items())} END END AS kind
+  FROM frames WHERE locus_kind > 0 OR len(neighbors) > 2
+), w0 AS (
+  SELECT l.mol_id, l.locus_kind, l.locus_id, s.site_id, dense_rank() OVER (PARTITION BY l.mol_id, l.locus_kind, l.locus_id ORDER BY coalesce(list_position(l.anchors, s.site_id), 0), s.element) AS c
+  FROM loci l JOIN sites s ON s.mol_id = l.mol_id
+)"""
+    + "".join(map(_round, range(1, 7)))
+    + """, near AS (
+  SELECT l.mol_id, l.locus_kind, l.locus_id, l.kind, CASE WHEN l.locus_kind > 0 THEN (list_position(l.neighbors, w.site_id) - 1) // 2 ELSE 0 END AS e, w.c FROM loci l
+    JOIN w6 w ON w.mol_id = l.mol_id AND w.locus_kind = l.locus_kind AND w.locus_id = l.locus_id AND list_contains(l.neighbors, w.site_id)
+), ends AS (SELECT mol_id, locus_kind, locus_id, kind, e, list_sort(list(c)) AS c FROM near GROUP BY ALL
+), rigid AS (SELECT mol_id, locus_kind, locus_id, kind FROM ends WHERE locus_kind > 0 GROUP BY ALL HAVING bool_and(c[1] <> c[2])
+), centre AS (SELECT mol_id, locus_kind, locus_id, kind, list_transform(c, lambda r: len(list_filter(c, lambda s: s < r))) AS o FROM ends WHERE locus_kind = 0
+), shown AS (
+  SELECT c.kind, c.o, e.p, min(list_transform(t.p, lambda i: c.o[e.p[i + 1] + 1])) AS least FROM (SELECT DISTINCT kind, o FROM centre) c JOIN every e ON e.kind = c.kind JOIN turns t ON t.kind = c.kind AND t.proper GROUP BY ALL
+), manifold AS (SELECT kind, o FROM shown GROUP BY kind, o HAVING count(DISTINCT least) > 1)
+SELECT mol_id, locus_kind, locus_id, CAST(kind AS INT) AS kind FROM rigid UNION ALL SELECT mol_id, locus_kind, locus_id, CAST(kind AS INT) AS kind FROM centre JOIN manifold USING (kind, o)"""
+)
+
+
+def stereo_forms(spark, sf_dir: str) -> DataFrame:
+    """Identity of every molecule with the configurations that its coordinates fix, and whether it is chiral."""
+    s, b = molecules(spark, sf_dir)
+    form = stored(stereoforms.forms(s, b, stored(_perceived(spark, sf_dir), "perceived")), "forms")
+    return form.select("mol_id", "constitution", "configured", (F.col("configured") != F.col("mirror")).alias("is_chiral"))
+
+
+def stereo_consistency_found(spark, sf_dir: str) -> DataFrame:
+    """Configurations that coordinates fix against the loci that are stereogenic with them."""
+    s, b = molecules(spark, sf_dir)
+    shape = coordination.perceive(valence.steric_numbers(s, b))
+    return stereoforms.consistency(s, b, shape, stored(frames.perceive(s, b, shape), "perceived"))
+
+
+def stereoisomers(spark, sf_dir: str) -> DataFrame:
+    """How many stereoisomers each constitution has, its geometries by electron domains."""
+    s, b = molecules(spark, sf_dir)
+    got = stereoforms.stereoisomers(s, b, coordination.perceive(valence.steric_numbers(s, b)))
+    return got.groupBy("mol_id").agg(F.count_distinct("isomer").alias("isomers"), F.count_distinct("locus_kind", "locus_id").alias("loci"))
+
+
+def symmetry_orbits(spark, sf_dir: str) -> DataFrame:
+    """The symmetry class of every site, by elements and bond orders."""
+    return symmetry.orbits(*molecules(spark, sf_dir))
+
+
+QUERIES = {
+    "stereo_descriptor": stereo_descriptor,
+    "stereo_frames": stereo_frames,
+    "stereo_perceive": stereo_perceive,
+    "stereo_perceive_four": stereo_perceive_four,
+    "stereocenters": stereocenters,
+    "stereo_forms": stereo_forms,
+    "stereo_consistency_found": stereo_consistency_found,
+    "stereoisomers": stereoisomers,
+    "symmetry_orbits": symmetry_orbits,
+}
 ORACLES = {
     "stereo_descriptor": DESCRIPTORS,
     "stereo_frames": CTE + FRAMES + " SELECT mol_id, locus_kind, locus_id, array_to_string(anchors, ',') AS anchors, array_to_string(neighbors, ',') AS neighbors FROM frames",
     "stereo_perceive_four": PERCEIVE_FOUR,
+    "stereocenters": STEREOCENTERS,
 }
