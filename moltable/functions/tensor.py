@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,14 +114,56 @@ def multiply(m: Matrix, n: Matrix) -> Matrix:
     return from_cols(*(apply(m, col(n, i)) for i in range(3)))
 
 
+def is_invertible(m: Matrix) -> Column:
+    """Whether the determinant is a finite number other than 0."""
+    det = determinant(m)
+    return (det != 0) & ~F.isnan(det) & (F.abs(det) != float("inf"))
+
+
 def inverse(m: Matrix) -> Matrix:
-    """Null entries where the determinant is 0."""
+    """Null entries where the matrix is not invertible."""
     a, b, c = (col(m, i) for i in range(3))
-    det = determinant(m)
-    k = 1 / F.when(det != 0, det)
+    k = 1 / F.when(is_invertible(m), determinant(m))
     return transpose(from_cols(scale(cross(b, c), k), scale(cross(c, a), k), scale(cross(a, b), k)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _turned(s: Column, p: int, q: int) -> Column:
+    """Nine entries by columns with columns p and q made orthogonal by a plane rotation."""
+    e = lambda k, i: F.get(s, F.lit(3 * k + i))
+    sums = lambda j, k: sum((e(j, i) * e(k, i) for i in (1, 2)), e(j, 0) * e(k, 0))
+
+    def rotated(t: Column) -> Column:
+        cos = 1 / F.sqrt(1 + t * t)
+        new = {p: [cos * (e(p, i) - t * e(q, i)) for i in range(3)], q: [cos * (t * e(p, i) + e(q, i)) for i in range(3)]}
+        return F.array(*(v for k in range(3) for v in new.get(k, [e(k, i) for i in range(3)])))
+
+    z = F.try_divide(sums(q, q) - sums(p, p), 2 * sums(p, q))
+    # already orthogonal columns give no quotient and stay
+    return _let(_let(z, lambda v: F.coalesce(F.when(v >= 0, 1.0).otherwise(-1.0) / (F.abs(v) + F.sqrt(1 + v * v)), F.lit(0.0))), rotated)
+
+
+def singular_values(m: Matrix, sweeps: int = 8) -> Vector:
+    """Singular values, falling; 0.0 for each rank that is missing, null beside a null or non-finite entry.
+
+    The columns, scaled by the largest entry, are made orthogonal pair by pair (one-sided Jacobi); their lengths are the
+    values, small ones as accurate as large ones.
+    """
+    entries = F.array(*m)
+    largest = F.array_max(F.transform(entries, F.abs))
+    finite = ~F.exists(entries, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    start = F.transform(entries, lambda v: F.coalesce(F.try_divide(v, largest), F.lit(0.0)))
+    sweep = lambda s, _: _let(_let(_let(s, lambda x: _turned(x, 0, 1)), lambda x: _turned(x, 0, 2)), lambda x: _turned(x, 1, 2))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, sweep)
+    length = lambda s, k: F.sqrt(sum((F.get(s, F.lit(3 * k + i)) * F.get(s, F.lit(3 * k + i)) for i in (1, 2)), F.get(s, F.lit(3 * k)) * F.get(s, F.lit(3 * k))))
+    values = F.when(finite, _let(done, lambda s: F.transform(F.sort_array(F.array(*(length(s, k) for k in range(3))), asc=False), lambda v: v * largest)))
+    return F.get(values, F.lit(0)), F.get(values, F.lit(1)), F.get(values, F.lit(2))
+
+
 def outer_product(u: Vector, v: Vector) -> Matrix:
     return from_cols(*(scale(u, c) for c in v))
 

@@ -309,20 +309,28 @@ def framework_roles(spark, sf_dir):
     return topology.framework(s, b, topology.ring_membership(b))
 
 
-@query("biconnected_blocks")
+_BESIDE = """, beside AS (SELECT i.mol_id, i.site_id AS cut, i.nbr AS head, i.nbr AS pos FROM inc i UNION SELECT w.mol_id, w.cut, w.head, i.nbr FROM beside w JOIN inc i ON i.mol_id = w.mol_id AND i.site_id = w.pos WHERE i.nbr <> w.cut)
+"""
+
+
+@query(
+    "biconnected_blocks",
+    CTE + _BESIDE + """, tied AS (SELECT DISTINCT w.mol_id, i.bond_id AS x, j.bond_id AS y FROM beside w JOIN inc i ON i.mol_id = w.mol_id AND i.site_id = w.cut AND i.nbr = w.head JOIN inc j ON j.mol_id = w.mol_id AND j.site_id = w.cut AND j.nbr = w.pos)
+, whole AS (SELECT mol_id, bond_id AS x, bond_id AS y FROM bonds UNION SELECT c.mol_id, c.x, t.y FROM whole c JOIN tied t ON t.mol_id = c.mol_id AND t.x = c.y)
+SELECT mol_id, x AS bond_id, min(y) AS block FROM whole GROUP BY mol_id, x""",
+)
 def biconnected_blocks(spark, sf_dir):
-    b = bonds(sites(spark, sf_dir))
-    return topology.blocks(b, topology.ring_membership(b))
+    return topology.blocks(bonds(sites(spark, sf_dir)))
 
 
 @query(
     "cut_sites",
-    CTE + _REACH + """, beside AS (SELECT i.mol_id, i.site_id AS cut, i.nbr AS head, i.nbr AS pos FROM inc i UNION SELECT w.mol_id, w.cut, w.head, i.nbr FROM beside w JOIN inc i ON i.mol_id = w.mol_id AND i.site_id = w.pos WHERE i.nbr <> w.cut)
+    CTE + _BESIDE + """
 SELECT mol_id, cut AS site_id FROM (SELECT mol_id, cut, head, min(pos) AS part FROM beside GROUP BY ALL) AS x GROUP BY mol_id, cut HAVING count(DISTINCT part) > 1""",
 )
 def cut_sites(spark, sf_dir):
     b = bonds(sites(spark, sf_dir))
-    return topology.cut_sites(b, topology.blocks(b, topology.ring_membership(b)))
+    return topology.cut_sites(b, topology.blocks(b))
 
 
 def _wl(k: int) -> str:
@@ -876,5 +884,28 @@ def stereo_consistency(spark, sf_dir):
     return stereo.consistency(declared, detected)
 
 
+@query(
+    "matrix_scalars",
+    _QUAD + """, g AS (SELECT mol_id, site_id, ax*ax + "ay"*"ay" + az*az AS aa, bx*bx + "by"*"by" + bz*bz AS bb, cx*cx + cy*cy + cz*cz AS cc, ax*bx + "ay"*"by" + az*bz AS ab, ax*cx + "ay"*cy + az*cz AS ac, bx*cx + "by"*cy + bz*cz AS bc,
+  ax * ("by"*cz - bz*cy) + "ay" * (bz*cx - bx*cz) + az * (bx*cy - "by"*cx) AS det FROM q WHERE cx IS NOT NULL)
+SELECT mol_id, site_id, round(aa + bb + cc + 0.0000003, 4) AS squares, round(aa*bb + aa*cc + bb*cc - ab*ab - ac*ac - bc*bc + 0.0000003, 3) AS pairs, round(abs(det) + 0.0000003, 4) AS volume, abs(det) > 1e-9 AS invertible, true AS falling FROM g""",
+)
+def matrix_scalars(spark, sf_dir):
+    """Singular values of the matrix whose columns are three sites in a row, by their symmetric sums: the squared norm, that of the minors, the volume."""
+    q = _quads(spark, sf_dir).where("cx is not null")
+    m = tensor.from_cols(_v("a"), _v("b"), _v("c"))
+    rows = q.select("mol_id", "site_id", *(v.alias(f"s{i}") for i, v in enumerate(tensor.singular_values(m), 1)), (tensor.is_invertible(m) & (F.abs(tensor.determinant(m)) > 1e-9)).alias("invertible"))
+    a, b, c = (F.col(f"s{i}") for i in (1, 2, 3))
+    return rows.select("mol_id", "site_id", F.round(a * a + b * b + c * c + 0.0000003, 4).alias("squares"), F.round((a * b) ** 2 + (a * c) ** 2 + (b * c) ** 2 + 0.0000003, 3).alias("pairs"), F.round(a * b * c + 0.0000003, 4).alias("volume"), "invertible", ((a >= b) & (b >= c)).alias("falling"))
+
+
+@query("fp_circular_stereo")
+def fp_circular_stereo(spark, sf_dir):
+    """Circular codes with the configurations that coordinates fix at sites."""
+    s, b = seeded(spark, sf_dir)
+    found = stereo_queries.perceived(spark, sf_dir).where("locus_kind = 0").select("mol_id", F.col("locus_id").alias("site_id"), "kind", "neighbors")
+    return fingerprint.circular(s, b, 2, stored(found, "perceived"))
+
+
 QUERIES |= stereo_queries.QUERIES
 ORACLES |= stereo_queries.ORACLES

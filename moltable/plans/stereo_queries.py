@@ -98,14 +98,14 @@ def stereo_frames(spark, sf_dir: str) -> DataFrame:
     return out.select("mol_id", "locus_kind", "locus_id", _text("anchors").alias("anchors"), _text("neighbors").alias("neighbors"))
 
 
-def _perceived(spark, sf_dir: str) -> DataFrame:
+def perceived(spark, sf_dir: str) -> DataFrame:
     s, b = molecules(spark, sf_dir)
     return frames.perceive(s, b, coordination.perceive(valence.steric_numbers(s, b)))
 
 
 def stereo_perceive(spark, sf_dir: str) -> DataFrame:
     """Every locus, its geometry by electron domains."""
-    return _perceived(spark, sf_dir).select("mol_id", "locus_kind", "locus_id", "kind", _text("neighbors").alias("neighbors"))
+    return perceived(spark, sf_dir).select("mol_id", "locus_kind", "locus_id", "kind", _text("neighbors").alias("neighbors"))
 
 
 def stereo_perceive_four(spark, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT mol_id, locus_kind, locus_id, CAST(kind AS INT) AS kind FROM rigid UNION
 def stereo_forms(spark, sf_dir: str) -> DataFrame:
     """Identity of every molecule with the configurations that its coordinates fix, and whether it is chiral."""
     s, b = molecules(spark, sf_dir)
-    form = stored(stereoforms.forms(s, b, stored(_perceived(spark, sf_dir), "perceived")), "forms")
+    form = stored(stereoforms.forms(s, b, stored(perceived(spark, sf_dir), "perceived")), "forms")
     return form.select("mol_id", "constitution", "configured", (F.col("configured") != F.col("mirror")).alias("is_chiral"))
 
 

@@ -51,8 +51,9 @@ def test_blocks_of_random_graphs(spark):
         edges = {k: e if rng.random() < 0.5 else e[::-1] for k, e in enumerate(pairs, 1)}
         rows += [(m, k, *e) for k, e in edges.items()]
         want |= {(m, k): b for k, b in plain_blocks(edges).items()}
-    got = {(r.mol_id, r.bond_id): r.block for r in spanning.blocks(spark.createDataFrame(rows, "mol_id long, bond_id long, a long, b long")).collect()}
-    assert got == want
+    bonds = spark.createDataFrame(rows, "mol_id long, bond_id long, a long, b long")
+    for packed in (100, 0, 8):
+        assert {(r.mol_id, r.bond_id): r.block for r in spanning.blocks(bonds, packed).collect()} == want
     assert spanning.blocks(spark.createDataFrame([], "mol_id long, bond_id long, a long, b long")).count() == 0
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from moltable.functions import tensor
 from moltable.operators import geometry, lattice
 from moltable.sources import xyz
 
@@ -34,3 +37,18 @@ def test_numbers_keep_all_their_digits(spark):
     for v, text in zip(values, got, strict=True):
         assert float(text) == v and "E" not in text and not text.endswith((".0", ".")), (v, text)
     assert got[:7] == ["0", "-0", "1", "-1.5", "0." + "0" * 19 + "1", "-0." + "0" * 16 + "35", "1" + "0" * 25]
+
+
+def test_singular_values_of_degenerate_small_and_huge_matrices(spark):
+    rng = np.random.default_rng(7)
+    mats = [rng.standard_normal((3, 3)) * 10.0 ** rng.integers(-12, 12) for _ in range(120)]
+    mats += [np.diag([1.0, 1e-9, 1e-14]) @ np.linalg.qr(rng.standard_normal((3, 3)))[0] for _ in range(10)]
+    mats += [np.zeros((3, 3)), np.eye(3), np.ones((3, 3)), np.diag([0.0, 2.0, 0.0]), np.full((3, 3), 1e300), np.diag([1e-300, 1.0, 1e300]), np.outer([1, 2, 3], [3.0, -1, 0])]
+    df = spark.createDataFrame([(i, m.T.ravel().tolist()) for i, m in enumerate(mats)] + [(900, [None] + [1.0] * 8), (901, [float("nan")] + [1.0] * 8), (902, [float("inf")] + [0.0] * 8)], "i int, m array<double>")
+    m = tuple(F.get("m", F.lit(k)) for k in range(9))
+    got = {r.i: r for r in df.select("i", *(v.alias(f"s{k}") for k, v in enumerate(tensor.singular_values(m))), tensor.is_invertible(m).alias("ok"), *(v.alias(f"v{k}") for k, v in enumerate(tensor.inverse(m)))).collect()}
+    for i, a in enumerate(mats):
+        own, want = np.array([got[i].s0, got[i].s1, got[i].s2]), np.linalg.svd(a, compute_uv=False)
+        assert (np.abs(own - want) <= 1e-13 * max(want[0], 1e-320)).all() and (np.diff(own) <= 0).all(), (i, own, want)
+        assert got[i].ok == bool(0 < abs(np.linalg.det(a)) < np.inf) or abs(np.linalg.det(a)) < 1e-12 * want[0] ** 3
+    assert all(got[i].s0 is None for i in (900, 901, 902)) and not got[901].ok and got[901].v0 is None

@@ -74,7 +74,7 @@ def test_rings_of_named_graphs(spark, shuffle):
 def test_blocks_cuts_and_framework(spark):
     s, b = graphs(spark)
     member = topology.ring_membership(b)
-    block = topology.blocks(b, member)
+    block = topology.blocks(b)
     name = list(GRAPHS).index
     count = {r.mol_id: r.n for r in block.groupBy("mol_id").agg(F.countDistinct("block").alias("n")).collect()}
     assert (count[name("fused")], count[name("spiro")], count[name("tadpole")], count[name("chain")]) == (1, 2, 2, 2)
