@@ -32,3 +32,15 @@ def degrees(sites: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, site_id, degree), 0 for a site without bonds."""
     count = incidence(bonds).groupBy("mol_id", "site_id").agg(F.count("*").alias("degree"))
     return sites.select("mol_id", "site_id").join(count, ["mol_id", "site_id"], "left").select("mol_id", "site_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def bound(rows: DataFrame, overlay: DataFrame, key: list[str], *columns: str) -> DataFrame:
+    """rows with these columns as a computed relation has them, and as before where it says nothing (no row, or null).
+
+    overlay has one row a key at most.  Rows that operators make (Kekule orders, geometries, configurations) are laid over
+    sites or bonds like this, and any operator reads the result.
+    """
+    new = {c: f"{c}_over" for c in columns}
+    far = overlay.select(*key, *(F.col(c).alias(n) for c, n in new.items()))
+    out = rows.join(far, key, "left")
+    return out.select(*(F.coalesce(F.col(new[c]), F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns), *(F.col(n).alias(c) for c, n in new.items() if c not in rows.columns))

@@ -183,3 +183,26 @@ def periodic_neighbors(sites: DataFrame, lengths: Vector, cutoff: float) -> Data
     d = [v - F.col(f"l{k}") * F.round(v / F.col(f"l{k}")) for v, k in zip(d, "xyz", strict=True)]
     d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
     return both.select("mol_id", "a", "b", d2.alias("d2")).where((F.col("d2") <= cutoff * cutoff) & F.lit(cutoff >= 0)).distinct()
+
+
+def relation(pairs: DataFrame) -> DataFrame:
+    """(mol_id, site_id, nbr): pairs a < b seen from both sites, as a table to join with or to look up."""
+    both = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("n")), F.struct(F.col("b").alias("s"), F.col("a").alias("n")))
+    return pairs.select("mol_id", F.explode(both).alias("e")).select("mol_id", F.col("e.s").alias("site_id"), F.col("e.n").alias("nbr"))
+
+
+def of_site(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mol_id, site_id, nbr): the neighbours of the wanted sites (mol_id, site_id); none for a site out of reach of all others."""
+    return relation(pairs).join(wanted.select("mol_id", "site_id").distinct(), ["mol_id", "site_id"])
+
+
+def contains(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (mol_id, a, b, ...), in either order, with `contained`: whether the two are neighbours; a site is none of its own."""
+    known = relation(pairs).select("mol_id", F.col("site_id").alias("a"), F.col("nbr").alias("b"), F.lit(True).alias("contained")).distinct()
+    return asked.join(known, ["mol_id", "a", "b"], "left").withColumn("contained", F.coalesce("contained", F.lit(False)))
+
+
+def reach_counts(sites: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(mol_id, site_id, neighbors): how many neighbours each site has, 0 too."""
+    count = relation(pairs).groupBy("mol_id", "site_id").agg(F.count("*").alias("n"))
+    return sites.select("mol_id", "site_id").join(count, ["mol_id", "site_id"], "left").select("mol_id", "site_id", F.coalesce("n", F.lit(0)).alias("neighbors"))

@@ -76,6 +76,14 @@ def counts(found: DataFrame) -> DataFrame:
     return found.groupBy("mol_id").agg(F.count("*").alias("n"))
 
 
+def first(found: DataFrame) -> DataFrame:
+    """The least match of each molecule, by the places of the pattern's sites in order."""
+    names = [c for c in found.columns if c != "mol_id"]
+    if not names:
+        return found.distinct()
+    return found.groupBy("mol_id").agg(F.min(F.struct(*names)).alias("m")).select("mol_id", "m.*")
+
+
 def containing(sites: DataFrame, found: DataFrame) -> DataFrame:
     """Molecules with a match."""
     return sites.select("mol_id").distinct().join(found.select("mol_id"), "mol_id", "left_semi")

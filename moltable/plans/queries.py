@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import tensor
-from ..model import degrees
+from ..model import bound, degrees
 from ..operators import composition, conjugation, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
 from ..sources import xyz
 from ..storage import stored
@@ -757,16 +757,37 @@ def ring_families(spark, sf_dir):
     return kernels.ring_families(_packed(spark, sf_dir)).select("mol_id", "size", "cycles", F.array_join(F.transform("sites", lambda v: v.cast("string")), "-").alias("sites"))
 
 
-@query("kekulize")
-def kekulize(spark, sf_dir):
-    """Ring bonds between carbon and nitrogen are made aromatic first."""
+def _softened(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Molecules whose ring bonds between carbon and nitrogen are made aromatic."""
     s, b = molecules(spark, sf_dir)
     cn = s.where("element in (6, 7)").select("mol_id", "site_id")
     both = topology.ring_membership(b).where("in_ring").join(cn.withColumnRenamed("site_id", "a"), ["mol_id", "a"]).join(cn.withColumnRenamed("site_id", "b"), ["mol_id", "b"]).select("mol_id", "bond_id", F.lit(True).alias("soft"))
-    b = b.join(both, ["mol_id", "bond_id"], "left").withColumn("bond_order", F.when(F.col("soft"), 7).otherwise(F.col("bond_order"))).drop("soft")
+    return s, b.join(both, ["mol_id", "bond_id"], "left").withColumn("bond_order", F.when(F.col("soft"), 7).otherwise(F.col("bond_order"))).drop("soft")
+
+
+@query("kekulize")
+def kekulize(spark, sf_dir):
+    """Ring bonds between carbon and nitrogen are made aromatic first."""
+    s, b = _softened(spark, sf_dir)
     return kernels.kekulize(kernels.packed(s, b, "element", "formal_charge", "radical_electrons"))
 
 
+@query("conjugated_overlay")
+def conjugated_overlay(spark, sf_dir):
+    """Conjugated systems of the molecules with aromatic orders, localised orders laid over them."""
+    s, b = _softened(spark, sf_dir)
+    kekule = kernels.kekulize(kernels.packed(s, b, "element", "formal_charge", "radical_electrons")).select("mol_id", "bond_id", F.col("kekule_order").alias("bond_order"))
+    return conjugation.systems(conjugation.perceive(s, stored(bound(b, kekule, ["mol_id", "bond_id"], "bond_order"), "overlaid")))
+
+
+@query("bond_overlay", CTE + """, o AS (SELECT mol_id, bond_id, CASE WHEN bond_id % 3 = 0 THEN 1 END AS bond_order FROM bonds WHERE (a + b) % 2 = 1)
+SELECT b.mol_id, b.bond_id, coalesce(o.bond_order, b.bond_order) AS bond_order FROM bonds b LEFT JOIN o USING (mol_id, bond_id)""")
+def bond_overlay(spark, sf_dir):
+    b = bonds(sites(spark, sf_dir))
+    over = b.where((F.col("a") + F.col("b")) % 2 == 1).select("mol_id", "bond_id", F.when(F.col("bond_id") % 3 == 0, 1).alias("bond_order"))
+    return bound(b, over, ["mol_id", "bond_id"], "bond_order").select("mol_id", "bond_id", "bond_order")
+
+
 @query("aromatic_bonds")
 def aromatic_bonds(spark, sf_dir):
     return kernels.aromatic_bonds(_packed(spark, sf_dir))
@@ -907,5 +928,29 @@ def fp_circular_stereo(spark, sf_dir):
     return fingerprint.circular(s, b, 2, stored(found, "perceived"))
 
 
+@query("substructure_first", CTE + """, t AS (SELECT i.mol_id, i.site_id AS p1, j.site_id AS p2, k.site_id AS p3 FROM inc i JOIN inc j ON j.mol_id = i.mol_id AND j.site_id = i.nbr AND j.nbr <> i.site_id
+JOIN inc k ON k.mol_id = i.mol_id AND k.site_id = j.nbr AND k.nbr = i.site_id JOIN sites a ON a.mol_id = i.mol_id AND a.site_id = i.site_id WHERE a.element = 6)
+SELECT mol_id, m.p1 AS p1, m.p2 AS p2, m.p3 AS p3 FROM (SELECT mol_id, min({'p1': p1, 'p2': p2, 'p3': p3}) AS m FROM t GROUP BY mol_id)""")
+def substructure_first(spark, sf_dir):
+    return isomorphism.first(isomorphism.matches(*molecules(spark, sf_dir), TRIANGLE))
+
+
+_NEAR = _CLOUD + ", r AS (SELECT a.mol_id, a.site_id, b.site_id AS nbr FROM s a JOIN s b ON a.mol_id = b.mol_id AND a.site_id <> b.site_id WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) <= 0.64)"
+
+
+@query("neighbor_counts", _NEAR + " SELECT s.mol_id, s.site_id, count(r.nbr) AS neighbors FROM s LEFT JOIN r USING (mol_id, site_id) GROUP BY ALL")
+def neighbor_counts(spark, sf_dir):
+    cloud = clouds(spark, sf_dir)
+    return geometry.reach_counts(cloud, geometry.neighbors(cloud, 0.8))
+
+
+@query("neighbor_contains", _NEAR + ", n AS (SELECT mol_id, site_id AS a, lead(site_id) OVER (PARTITION BY mol_id ORDER BY site_id) AS b FROM s) SELECT mol_id, a, b, EXISTS (SELECT 1 FROM r WHERE r.mol_id = n.mol_id AND r.site_id = n.a AND r.nbr = n.b) AS contained FROM n WHERE b IS NOT NULL")
+def neighbor_contains(spark, sf_dir):
+    """Whether each point and the next one of its group are neighbours."""
+    cloud = clouds(spark, sf_dir)
+    asked = cloud.select("mol_id", F.col("site_id").alias("a"), F.lead("site_id").over(Window.partitionBy("mol_id").orderBy("site_id")).alias("b")).where("b is not null")
+    return geometry.contains(geometry.neighbors(cloud, 0.8), asked)
+
+
 QUERIES |= stereo_queries.QUERIES
 ORACLES |= stereo_queries.ORACLES

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from moltable.functions import tensor
-from moltable.operators import geometry, lattice
+from moltable.model import bound
+from moltable.operators import conjugation, geometry, lattice
 from moltable.sources import xyz
 
 
@@ -52,3 +53,23 @@ def test_singular_values_of_degenerate_small_and_huge_matrices(spark):
         assert (np.abs(own - want) <= 1e-13 * max(want[0], 1e-320)).all() and (np.diff(own) <= 0).all(), (i, own, want)
         assert got[i].ok == bool(0 < abs(np.linalg.det(a)) < np.inf) or abs(np.linalg.det(a)) < 1e-12 * want[0] ** 3
     assert all(got[i].s0 is None for i in (900, 901, 902)) and not got[901].ok and got[901].v0 is None
+
+
+def test_pi_electrons_beside_aromatic_orders_by_an_overlay(spark):
+    ring = [(1, k, k, k % 6 + 1, 7) for k in range(1, 7)]
+    bonds = spark.createDataFrame(ring + [(1, 6 + k, k, 6 + k, 1) for k in range(1, 7)], "mol_id long, bond_id long, a long, b long, bond_order int")
+    sites = spark.createDataFrame([(1, k, 6 if k < 7 else 1, 0, 0) for k in range(1, 13)], "mol_id long, site_id long, element int, formal_charge int, radical_electrons int")
+    over = spark.createDataFrame([(1, k, 2 if k % 2 else None) for k in (1, 2, 3, 5)] + [(1, 4, 1), (1, 6, 1)], "mol_id long, bond_id long, bond_order int")
+    laid = bound(bonds, over, ["mol_id", "bond_id"], "bond_order")
+    assert {r.bond_id: r.bond_order for r in laid.collect()} == {1: 2, 2: 7, 3: 2, 4: 1, 5: 2, 6: 1} | {k: 1 for k in range(7, 13)}
+    assert laid.columns == bonds.columns and "extra" in bound(bonds, over.withColumn("extra", F.lit(1)), ["mol_id", "bond_id"], "extra").columns
+    systems = lambda b: [(r.site_count, r.pi_electrons) for r in conjugation.systems(conjugation.perceive(sites, b)).collect()]
+    assert systems(bonds) == [(6, None)]
+    assert systems(bound(bonds, over.na.fill(1), ["mol_id", "bond_id"], "bond_order")) == [(6, 6)]
+
+
+def test_neighbour_relation(spark):
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 1, 3)], "mol_id long, a long, b long")
+    asked = spark.createDataFrame([(1, 1, 2), (1, 3, 1), (1, 2, 3), (2, 1, 2), (1, 1, 1)], pairs.schema)
+    assert sorted(map(tuple, geometry.contains(pairs, asked).collect())) == [(1, 1, 1, False), (1, 1, 2, True), (1, 2, 3, False), (1, 3, 1, True), (2, 1, 2, False)]
+    assert sorted(r.nbr for r in geometry.of_site(pairs, spark.createDataFrame([(1, 1), (9, 1)], "mol_id long, site_id long")).collect()) == [2, 3]
