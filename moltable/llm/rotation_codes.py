@@ -3,18 +3,21 @@
 A unit vector is rotated by random orthogonal matrices; the signs are its code.  The
 stored factor <code, vector> of each rotation turns <code, other> into an unbiased
 estimate of the inner product, with a confidence bound from the factor.  Bits of the
-codes are the keys of candidate buckets.  For a candidate pair the bound decides: a
-pair whose upper bound is below the threshold is dropped, the rest is recomputed in
-double precision.  Vectors that are equal are one class and are compared once.
+codes are the keys of candidate buckets.  Codes and factors are stored once; for a candidate
+pair one vector meets the other's code (some 130 bytes at 64 dimensions), and a pair whose upper
+bound is below the threshold is dropped.  Only for the rest both vectors are fetched and the
+cosine is recomputed in double precision.  Vectors that are equal are one class and are compared once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +56,71 @@ def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x / np.linalg.norm(x, axis=1, keepdims=True), x
 
 
+def rotated(x: np.ndarray, cfg: Codes) -> np.ndarray:
+    return np.einsum("tij,nj->nti", cfg.matrices(x.shape[1]), x, optimize=True)
+
+
 def encode(x: np.ndarray, cfg: Codes) -> tuple[np.ndarray, np.ndarray]:
     """Bits [n, rotations, dim] and factors [n, rotations] of unit vectors."""
-    r = np.einsum("tij,nj->nti", cfg.matrices(x.shape[1]), x)
+    r = rotated(x, cfg)
     return r > 0, np.abs(r).sum(2) / np.sqrt(x.shape[1])
 
 
-def bounds(x: np.ndarray, bits: np.ndarray, factor: np.ndarray, cfg: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Estimate and half-width for the inner product of unit vectors x with the coded vectors."""
-    dim = x.shape[1]
-    r = np.einsum("tij,nj->nti", cfg.matrices(dim), x)
+def bounds(r: np.ndarray, bits: np.ndarray, factor: np.ndarray, cfg: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Estimate and half-width for the inner product of rotated unit vectors r with the coded vectors."""
+    dim = r.shape[2]
     est = (np.where(bits, r, -r).sum(2) / np.sqrt(dim)) / factor
     spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(dim - 1, 1))
     return est.mean(1), cfg.sigmas * np.sqrt((spread**2).sum(1)) / est.shape[1]
 
 
+def _by_length(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows whose vectors in `column` have one length."""
+    for batch in batches:
+        lengths = np.asarray(batch.column(column).value_lengths())
+        for dim in np.unique(lengths):
+            part = batch.filter(pa.array(lengths == dim))
+            for a in range(0, part.num_rows, rows):
+                yield part.slice(a, rows)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], cfg: Codes) -> Iterator[pa.RecordBatch]:
+    """(node, dim, bits, factor) of (node, v): what is stored of a vector, a bit a rotation and dimension and a factor a rotation."""
+    for part in _by_length(batches, 1, 2000):
+        bits, factor = encode(unit(part.column(1))[0], cfg)
+        packed = np.packbits(bits.reshape(len(bits), -1), axis=1)
+        dim = pa.array(np.full(len(bits), bits.shape[2], np.int32))
+        yield pa.RecordBatch.from_arrays([part.column(0), dim, pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(factor.tolist(), pa.list_(pa.float64()))], ["node", "dim", "bits", "factor"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], cfg: Codes) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of (a, b, x, dim, bits, factor) whose bound, from a's vector and b's stored code, does not rule a link out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for part in _by_length(batches, 2, 4000):
+        dim = len(part.column(2)[0])
+        part = part.filter(pc.equal(part.column(3), dim))
+        if not part.num_rows:
+            continue
+        a = np.asarray(part.column(0))
+        _, first, back = np.unique(a, return_index=True, return_inverse=True)
+        turned = rotated(unit(part.column(2).take(pa.array(first)))[0], cfg)
+        bits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in part.column(4).to_pylist()]), axis=1)
+        count = turned.shape[1]
+        est, width = bounds(turned[back], bits[:, : count * dim].reshape(-1, count, dim).astype(bool), np.array(part.column(5).to_pylist()), cfg)
+        on = np.flatnonzero(est + width >= cfg.cosine)
+        yield array_batch(schema, a[on], np.asarray(part.column(1))[on])
+
+
+def _exact(batches: Iterator[pa.RecordBatch], cfg: Codes) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of (a, b, x, y) whose cosine in double precision reaches the threshold."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    for part in _by_length(batches, 2, 4000):
+        (_, x), (_, y) = unit(part.column(2)), unit(part.column(3))
+        cos = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+        on = np.flatnonzero(cos >= cfg.cosine)
+        yield array_batch(schema, np.asarray(part.column(0))[on], np.asarray(part.column(1))[on])
+
+
 def near_vectors(vectors: DataFrame, cfg: Codes = Codes()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label).
 
@@ -99,28 +152,12 @@ def near_vectors(vectors: DataFrame, cfg: Codes = Codes()) -> DataFrame:
     full = band.groupBy("l", "key").agg(F.count("*").alias("c")).where("c > 1").select("l", "key")
     band = stored(band.join(full, ["l", "key"]), "vec-buckets")
     pair = band.select("l", "key", F.col("node").alias("a")).join(band.select("l", "key", F.col("node").alias("b")), ["l", "key"]).where("a < b").select("a", "b").distinct()
+    codes = stored(node.select("node", "v").mapInArrow(lambda batches: _coded(batches, cfg), "node long, dim int, bits binary, factor array<double>"), "vec-codes")
     x = node.select(F.col("node").alias("a"), F.col("v").alias("x"))
     y = node.select(F.col("node").alias("b"), F.col("v").alias("y"))
-    pairs = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def decide(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                dims = np.asarray(part.column(2).value_lengths())
-                for dim in np.unique(dims):
-                    sub = part.filter(pa.array((dims == dim) & (np.asarray(part.column(3).value_lengths()) == dim)))
-                    if not sub.num_rows:
-                        continue
-                    (ux, rx), (uy, ry) = unit(sub.column(2)), unit(sub.column(3))
-                    est, width = bounds(ux, *encode(uy, cfg), cfg)
-                    close = np.flatnonzero(est + width >= cfg.cosine)
-                    rx, ry = rx[close], ry[close]
-                    cos = (rx * ry).sum(1) / (np.sqrt((rx * rx).sum(1)) * np.sqrt((ry * ry).sum(1)))
-                    hit = close[cos >= cfg.cosine]
-                    yield array_batch(pairs, np.asarray(sub.column(0))[hit], np.asarray(sub.column(1))[hit])
-
-    links = stored(pair.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(decide, "u long, v long"), "vec-links")
+    known = codes.select(F.col("node").alias("b"), "dim", "bits", "factor")
+    near = stored(pair.join(x, "a").join(known, "b").select("a", "b", "x", "dim", "bits", "factor").mapInArrow(lambda batches: _possible(batches, cfg), "a long, b long"), "vec-possible")
+    links = stored(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _exact(batches, cfg), "u long, v long"), "vec-links")
     size = node.select("node", "m")
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = both.join(size.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.sum("m").alias("far")).withColumnRenamed("u", "node")

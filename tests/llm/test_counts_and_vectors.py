@@ -6,10 +6,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from moltable.llm import bpe_automaton, pretokens, token_counts, vector_codes, whitening
+from moltable.llm import bpe_automaton, pretokens, rotation_codes, token_counts, vector_codes, whitening
 from moltable.llm.queries import VOCABULARY
 
 DOCS = "doc_id long, text string, lang string, n_tokens long, id int, size string"
@@ -175,3 +176,27 @@ def test_assign_takes_the_first_nearest_and_holds_large_values():
     books = np.full((16, 2, 4), top)
     at, far = vector_codes.assign(np.full((1, 64), -top), books)
     assert at.max() == 0 and int(far.sum()) == 64 * (2 * top) ** 2
+
+
+@pytest.mark.parametrize("dim", [3, 16, 64, 200])
+def test_bounds_of_stored_codes_lose_no_link(dim):
+    """Estimates are unbiased, and no pair at the threshold or above is ruled out by the other's packed code."""
+    rng = np.random.default_rng(dim)
+    cfg = rotation_codes.Codes()
+    x = rng.standard_normal((3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((3000, dim))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 1.0, (3000, 1))
+    y = cos * x + np.sqrt(1 - cos**2) * off
+    bits, factor = rotation_codes.encode(y, cfg)
+    est, width = rotation_codes.bounds(rotation_codes.rotated(x, cfg), bits, factor, cfg)
+    true = (x * y).sum(1)
+    assert (est + width >= cfg.cosine)[true >= cfg.cosine].all()
+    assert abs((est - true).mean()) < 0.01
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(y.tolist())], ["node", "v"])
+    (code, *_) = [pa.Table.from_batches(list(rotation_codes._coded([batch], cfg))).combine_chunks().to_batches()[0]]
+    pairs = pa.RecordBatch.from_arrays([pa.array(range(5000, 8000)), code.column(0), pa.array(x.tolist()), *code.columns[1:]], ["a", "b", "x", "dim", "bits", "factor"])
+    got = {b for part in rotation_codes._possible([pairs], cfg) for b in part.column(1).to_pylist()}
+    assert got == set(np.flatnonzero(est + width >= cfg.cosine).tolist())
