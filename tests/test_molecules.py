@@ -408,7 +408,7 @@ def test_stream_of_xyz_files(spark, tmp_path):
     assert spark.sql("select count(*) from xyz_rows where element = 8").first()[0] == 1
 
 
-CHECKED = ["formula_write", "comp_empirical", "formula_roundtrip", "valence_explicit", "oxidation_state", "vsepr", "graph_metrics", "shortest_paths", "ring_membership", "wl_refine", "fp_pair", "sim_search", "substructure_matches", "neighbors", "lattice_volume", "xyz_roundtrip"]
+CHECKED = ["formula_write", "comp_empirical", "formula_roundtrip", "valence_explicit", "oxidation_state", "vsepr", "graph_metrics", "shortest_paths", "ring_membership", "wl_refine", "fp_pair", "sim_search", "substructure_matches", "neighbors", "lattice_volume", "xyz_roundtrip", "stereo_descriptor", "stereo_perceive_four", "stereocenters", "biconnected_blocks", "matrix_scalars"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
