@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from ..functions import tensor
 from ..model import bound, degrees
 from ..operators import composition, conjugation, coordination, fingerprint, geometry, isomorphism, kernels, lattice, notation, stereo, topology, valence
 from ..sources import xyz
-from ..storage import stored
+from ..storage import shared_dir, stored
 from . import stereo_queries
 from .projection import CTE, bonds, molecules, sites, table
 
@@ -834,6 +835,32 @@ def dfs_reach(spark, sf_dir):
     return kernels.dfs(_packed(spark, sf_dir)).select("mol_id", "site_id")
 
 
+def _trajectories(spark, sf_dir) -> str:
+    """A folder of XYZ files, one for every 5,000 ids of molecules, frames by id."""
+    path = f"{shared_dir(spark)}/trajectories-{uuid.uuid4().hex}"
+    text = xyz.lines(sites(spark, sf_dir)).withColumn("file", F.expr("mol_id div 5000"))
+    text.repartition("file").sortWithinPartitions("file", "mol_id").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+_XYZ = " SELECT mol_id, site_id, CAST(element AS INT) AS element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sites"
+
+
+def _read_back(d):
+    mol = F.regexp_extract("comment", "^mol ([0-9]+)$", 1).cast("long")
+    return d.select(mol.alias("mol_id"), "site_id", "element", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query("xyz_trajectory", CTE + _XYZ)
+def xyz_trajectory(spark, sf_dir):
+    return _read_back(xyz.read(spark, _trajectories(spark, sf_dir)))
+
+
+@query("xyz_first_frame", CTE + _XYZ + " WHERE mol_id IN (SELECT min(mol_id) FROM sites GROUP BY mol_id // 5000)")
+def xyz_first_frame(spark, sf_dir):
+    return _read_back(xyz.read(spark, _trajectories(spark, sf_dir), first_frame=True))
+
+
 @query("xyz_roundtrip", CTE + " SELECT mol_id, site_id, CAST(element AS INT) AS element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sites")
 def xyz_roundtrip(spark, sf_dir):
     text = xyz.lines(sites(spark, sf_dir)).select(F.col("mol_id").cast("string").alias("path"), "value")
