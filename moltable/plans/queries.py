@@ -460,6 +460,27 @@ def sim_search(spark, sf_dir):
     return fingerprint.search(fp.where("mol_id % 50 = 0"), fp, 80).select("a", "b", "intersection", F.round("tanimoto", 9).alias("tanimoto"))
 
 
+_FOLDED = CTE + _PAIR + """, fold AS (SELECT DISTINCT mol_id, CAST(code % 2048 AS BIGINT) AS bit FROM pairfp)
+, own AS (SELECT mol_id, list_sort(list(bit)) AS v FROM fold GROUP BY mol_id), cls AS MATERIALIZED (SELECT v, min(mol_id) AS id, count(*) AS n FROM own GROUP BY v)
+, asked AS (SELECT v, min(mol_id) AS id FROM own WHERE mol_id % 50 = 0 GROUP BY v), lib AS MATERIALIZED (SELECT id, n, len(v) AS p, unnest(v) AS bit FROM cls)"""
+
+
+@query("sim_folded", _FOLDED + """, x AS (SELECT u.id AS a, w.id AS b, u.p AS pa, w.p AS pb, count(*) AS i FROM (SELECT id, len(v) AS p, unnest(v) AS bit FROM asked) u JOIN lib w USING (bit) GROUP BY ALL)
+SELECT a, b, i AS intersection, round(i / (pa + pb - i), 9) AS tanimoto FROM x WHERE 100 * i >= 80 * (pa + pb - i)""")
+def sim_folded(spark, sf_dir):
+    bits = stored(fingerprint.folded(_pair_fp(spark, sf_dir), 2048), "folded")
+    asked, _ = fingerprint.folded_classes(bits.where("mol_id % 50 = 0"), 2048)
+    library, _ = fingerprint.folded_classes(bits, 2048)
+    return fingerprint.folded_search(asked, library, 80).select("a", "b", "intersection", F.round("tanimoto", 9).alias("tanimoto"))
+
+
+@query("sim_folded_links", _FOLDED + """, x AS (SELECT u.id AS a, w.id AS b, w.n, u.p AS pa, w.p AS pb, count(*) AS i FROM lib u JOIN lib w USING (bit) GROUP BY ALL)
+, y AS (SELECT a, sum(n) - 1 AS k FROM x WHERE 100 * i >= 80 * (pa + pb - i) GROUP BY a)
+SELECT o.mol_id, c.id AS class_id, CAST(y.k AS BIGINT) AS n_links FROM own o JOIN cls c USING (v) JOIN y ON y.a = c.id""")
+def sim_folded_links(spark, sf_dir):
+    return fingerprint.folded_links(stored(fingerprint.folded(_pair_fp(spark, sf_dir), 2048), "folded"), 2048, 80)
+
+
 CARBONYL = isomorphism.Pattern({1: "element = 6", 2: "element = 8", 3: "element in (6, 7, 16)"}, [(1, 2, "bond_order = 2"), (1, 3, "")])
 TRIANGLE = isomorphism.Pattern({1: "element = 6", 2: "", 3: ""}, [(1, 2, ""), (2, 3, ""), (1, 3, "")])
 
