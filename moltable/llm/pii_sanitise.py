@@ -5,7 +5,7 @@ discloses it as far as seeing the term makes the entity likelier: pointwise mutu
 information over the entity's own information, PMI(t; e) / I(e), with probabilities
 from document frequencies in the whole corpus.  Terms over the threshold, seen often
 enough with the entity in different contexts (a copied context counts once), are
-generalised to [TERM] beside it.
+generalised to [TERM] in every text that holds the entity, wherever they stand in it.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 _DIGITS = str.maketrans("", "", " -().+")
 TERM_BITS = 1 << 22
+PAIR_BITS = 1 << 22
 _TRIM = np.zeros(256, bool)
 _TRIM[[ord(c) for c in ".,;:!?\"'()[]{}<>*&%$#|-_"]] = True
 
@@ -110,21 +111,23 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, w.row[ok], w.span_hash(start, end)
 
 
-def near(text: str, spans: list[list[tuple[int, int]]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) of each term within `window` terms of a match and in none."""
+def free_terms(text: str, spans: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the terms of a text that lie in no match; start and end are code points."""
     raw = text.encode("utf-8")
     data = np.frombuffer(raw, np.uint8)
     start, end, _, h = terms(data, np.array([0, len(raw)]))
-    if not len(start):
-        return
-    if len(raw) != len(text):
+    if len(raw) != len(text) and len(start):
         point = np.cumsum((data & 0xC0) != 0x80)
         start, end = point[start] - 1, point[end - 1]
-    every = sorted(s for found in spans for s in found)
     free = np.ones(len(start), bool)
-    for a, b in every:
+    for a, b in sorted(s for found in spans for s in found):
         free[int(np.searchsorted(end, a, "right")) : int(np.searchsorted(start, b, "left"))] = False
-    start, end, h = start[free], end[free], signed(h[free].copy())
+    return start[free], end[free], signed(h[free].copy())
+
+
+def near(text: str, spans: list[list[tuple[int, int]]], window: int) -> Iterator[tuple[int, int, int]]:
+    """(entity, term, context) of each term within `window` terms of a match and in none."""
+    start, end, h = free_terms(text, spans)
     for kind, found in zip(KINDS, spans, strict=True):
         for a, b in found:
             i, j = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
@@ -133,11 +136,17 @@ def near(text: str, spans: list[list[tuple[int, int]]], window: int) -> Iterator
                 e = entity(kind, text[a:b])
                 context = int(mix(np.array([h[lo:hi].view(U64).sum(dtype=U64)], U64), hi - lo).view(np.int64)[0])
                 for k in range(lo, hi):
-                    yield e, int(h[k]), context, int(start[k]), int(end[k])
+                    yield e, int(h[k]), context
+
+
+def pair_slot(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The place of (entity, term) in a table of PAIR_BITS bits."""
+    return (mix(e.view(U64), 1) ^ mix(t.view(U64), 2)) & U64(PAIR_BITS - 1)
 
 
 BASE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string())])
-NEAR = pa.schema([("key", pa.int64()), ("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+NEAR = pa.schema([(c, pa.int64()) for c in "etc"])
+HITS = pa.schema([(c, pa.int64()) for c in ("key", "e", "t", "a", "b")])
 
 
 def _keyed(docs: DataFrame, name: str = "__key") -> DataFrame:
@@ -146,23 +155,26 @@ def _keyed(docs: DataFrame, name: str = "__key") -> DataFrame:
 
 
 def disclosing(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
-    """(key, a, b): spans of disclosing terms of each row of docs; key is xxhash64(doc_id, text)."""
+    """(key, a, b): spans of disclosing terms of each row of docs; key is xxhash64(doc_id, text).
+
+    How much a term discloses is estimated where it stands near an entity; it then goes wherever it stands in texts that
+    hold the entity.
+    """
 
     def contexts(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for text in part.column(0).to_pylist():
                     spans = base_spans(text or "")
                     if any(spans):
-                        rows += [(key, *x) for x in near(text, spans, cfg.window)]
+                        rows += near(text, spans, cfg.window)
                 if rows:
                     yield array_batch(NEAR, *(np.array(c, np.int64) for c in zip(*rows, strict=True)))
 
-    seen = _keyed(plain(docs, "doc_id", "text")).select("__key", "text").mapInArrow(contexts, "key long, e long, t long, c long, a long, b long")
-    seen = stored(seen.distinct(), "pii-contexts")
-    pair = seen.select("e", "t", "c").distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= cfg.support)
+    seen = stored(plain(docs, "text").mapInArrow(contexts, "e long, t long, c long").distinct(), "pii-contexts")
+    pair = seen.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= cfg.support)
     pair = stored(pair, "pii-pairs")
     single = seen.select("e", "c").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
 
@@ -189,8 +201,41 @@ def disclosing(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:
     rule = pair.join(single, "e").join(df, "t")
     n = F.greatest(F.lit(float(total)), F.col("n_e").cast("double") + 1)
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    rule = rule.where(pmi / F.log2(n / F.col("n_e")) >= cfg.threshold).select("e", "t")
-    return stored(seen.join(rule, ["e", "t"]).select("key", "a", "b").distinct(), "pii-terms")
+    rule = stored(rule.where(pmi / F.log2(n / F.col("n_e")) >= cfg.threshold).select("e", "t"), "pii-rules")
+
+    # a bit table of fixed size says which pairs may be rules; when it is full all pass, and the join decides alone
+    def marks(batches):
+        for batch in batches:
+            slots_of = pair_slot(*(np.array(batch.column(i).to_numpy(), np.int64) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of).astype(np.int32))], names=["s"])
+
+    held = np.zeros(PAIR_BITS, bool)
+    held[rule.mapInArrow(marks, "s int").distinct().toArrow().column(0).to_numpy()] = True
+    rules = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+
+    def occurrences(batches):
+        table = np.unpackbits(rules.value).astype(bool)
+        for batch in batches:
+            rows, held_rows = [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spans = base_spans(text or "")
+                who = {entity(kind, text[a:b]) for kind, got in zip(KINDS, spans, strict=True) for a, b in got}
+                if not who:
+                    continue
+                start, end, h = free_terms(text, spans)
+                for e in who:
+                    ok = np.flatnonzero(table[pair_slot(np.full(len(h), e, np.int64), h)])
+                    if len(ok):
+                        rows.append(np.stack([np.full(len(ok), key), np.full(len(ok), e), h[ok], start[ok], end[ok]]))
+                        held_rows += len(ok)
+                    if held_rows > 20_000:
+                        yield array_batch(HITS, *np.concatenate(rows, axis=1))
+                        rows, held_rows = [], 0
+            if rows:
+                yield array_batch(HITS, *np.concatenate(rows, axis=1))
+
+    hits = _keyed(plain(docs, "doc_id", "text")).select("__key", "text").mapInArrow(occurrences, "key long, e long, t long, a long, b long")
+    return stored(hits.join(rule, ["e", "t"], "semi").select("key", "a", "b").distinct(), "pii-terms")
 
 
 def found(docs: DataFrame, cfg: Disclosure = Disclosure()) -> DataFrame:

@@ -212,6 +212,19 @@ def test_pii_terms_that_disclose_are_generalised(spark):
     assert pii_sanitise.found(docs.limit(0)).count() == 0
 
 
+def test_pii_terms_go_wherever_they_stand_in_texts_of_their_entity(spark):
+    rng = random.Random(8)
+    far = lambda i: f"zorblatt {prose(rng, 30)} zorblatt wrote to x.y@mail.example.com. {prose(rng, 30)} Zorblatt (zorblatt) {i}"
+    rows = [(i, far(i)) for i in range(6)] + [(9, f"x.y@mail.example.com {prose(rng, 20)} zorblatt")]
+    rows += [(10, "zorblatt alone, or beside a.b@mail.example.com")] + [(i, prose(rng, 40)) for i in range(11, 60)]
+    clean = {r.doc_id: r.text for r in pii_sanitise.sanitised(frame(spark, rows)).collect()}
+    assert all("zorblatt" not in clean[i] for i in (*range(6), 9))
+    assert clean[0].count("[TERM]") >= 3 and "zorblatt alone" in clean[10]
+    assert all(clean[i] == t for i, t in rows if i > 10)
+    hits = pii_sanitise.disclosing(frame(spark, rows)).groupBy("key").count().collect()
+    assert all(r["count"] >= 1 for r in hits) and len(hits) == 7
+
+
 def test_feistel_is_a_permutation_that_can_be_inverted():
     for n in (1, 2, 3, 17, 1000, 4097):
         slot = feistel_shards.permute(np.arange(n), n, 99)
