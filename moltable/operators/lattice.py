@@ -139,17 +139,22 @@ def translations(basis: Column, radius: Column) -> Column:
     """
     endless = radius == float("inf")
     radius = F.when(~endless, radius)
-    dual = reciprocal(basis)
-    reach = [F.floor(radius * F.sqrt(dot(column(dual, i), column(dual, i))) + 1e-9).cast("int") for i in range(3)]
-    axis = [F.sequence(-r, r) for r in reach]
 
-    def point(i: Column, j: Column, k: Column) -> Column:
-        r = to_cartesian(basis, (i.cast("double"), j.cast("double"), k.cast("double")))
-        return F.struct(i.alias("i"), j.alias("j"), k.alias("k"), r[0].alias("x"), r[1].alias("y"), r[2].alias("z"))
+    def within(c: Column) -> Column:
+        basis, square = c["m"], c["r"] * c["r"]
+        axis = [F.sequence(-c[f"n{i}"], c[f"n{i}"]) for i in range(3)]
+
+        def point(i: Column, j: Column, k: Column) -> Column:
+            r = to_cartesian(basis, (i.cast("double"), j.cast("double"), k.cast("double")))
+            return F.struct(i.alias("i"), j.alias("j"), k.alias("k"), r[0].alias("x"), r[1].alias("y"), r[2].alias("z"))
+
+        grid = F.flatten(F.transform(axis[0], lambda i: F.flatten(F.transform(axis[1], lambda j: F.transform(axis[2], lambda k: point(i, j, k))))))
+        return F.filter(grid, lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= square)
 
-    grid = F.flatten(F.transform(axis[0], lambda i: F.flatten(F.transform(axis[1], lambda j: F.transform(axis[2], lambda k: point(i, j, k))))))
-    near = F.filter(grid, lambda s: s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] <= radius * radius)
-    return F.when(endless, F.array().cast("array<struct<i:int,j:int,k:int,x:double,y:double,z:double>>")).otherwise(near)
+    # basis, dual and reach are worked out once a row: in the lambdas they would be worked out again for every point
+    reach = lambda d, i: F.floor(radius * F.sqrt(dot(column(d, i), column(d, i))) + 1e-9).cast("int")
+    known = let(basis, lambda m: let(reciprocal(m), lambda d: F.struct(m.alias("m"), radius.alias("r"), *(reach(d, i).alias(f"n{i}") for i in range(3)))))
+    return F.when(endless, F.array().cast("array<struct<i:int,j:int,k:int,x:double,y:double,z:double>>")).otherwise(let(known, within))
 
 
 def reduced(basis: Column, rounds: int = 64) -> Column:

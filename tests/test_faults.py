@@ -73,3 +73,16 @@ def test_neighbour_relation(spark):
     asked = spark.createDataFrame([(1, 1, 2), (1, 3, 1), (1, 2, 3), (2, 1, 2), (1, 1, 1)], pairs.schema)
     assert sorted(map(tuple, geometry.contains(pairs, asked).collect())) == [(1, 1, 1, False), (1, 1, 2, True), (1, 2, 3, False), (1, 3, 1, True), (2, 1, 2, False)]
     assert sorted(r.nbr for r in geometry.of_site(pairs, spark.createDataFrame([(1, 1), (9, 1)], "mol_id long, site_id long")).collect()) == [2, 3]
+
+
+def test_translations_are_spread_over_tasks(spark, tmp_path):
+    """Lattices of one small file are not one task's work."""
+    from moltable.plans import queries
+
+    spark.range(1, 2001).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.translations(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4
+    by_edge = {r.a: (r.least, r.most) for r in got.groupBy((5 + (F.col("p_partkey") % 50) % 7).alias("a")).agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()}
+    for a, n in by_edge.items():
+        want = sum((i * i + j * j + k * k) * a * a <= 144 for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4))
+        assert n == (want, want)
