@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .geometry import Vector, angle_between, cross, dot, norm, scale
+from .geometry import Vector, angle_between, cross, dot, meetings, norm, scale, vector
 
 
 def let(value: Column, then) -> Column:
@@ -121,15 +123,21 @@ def neighbors(sites: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
     at = sites.select("mol_id", "site_id", "x", "y", "z").join(own, "mol_id")
     part = [wrapped_fraction(dot(column(F.col("dual"), i), (F.col("x"), F.col("y"), F.col("z")))) for i in range(3)]
     grid = at.select("*", *(F.least(F.floor(f * F.col(f"n{i}")).cast("long"), F.col(f"n{i}") - 1).alias(f"i{i}") for i, f in enumerate(part)))
-    left = grid
-    for i in range(3):
-        step = F.when(F.col(f"n{i}") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        left = left.withColumn(f"s{i}", F.explode(step))
-    left = left.select("mol_id", F.col("site_id").alias("a"), "m", *(F.col(k).alias(f"{k}1") for k in "xyz"), *(F.pmod(F.col(f"i{i}") + F.col(f"s{i}"), F.col(f"n{i}")).alias(f"i{i}") for i in range(3)))
-    right = grid.select("mol_id", F.col("site_id").alias("b"), *(F.col(k).alias(f"{k}2") for k in "xyz"), "i0", "i1", "i2")
-    d = tuple(F.col(f"{k}2") - F.col(f"{k}1") for k in "xyz")
-    both = left.join(right, ["mol_id", "i0", "i1", "i2"]).where("a < b")
-    return both.select("mol_id", "a", "b", minimum_image(F.col("m"), d)["d2"].alias("d2")).where((F.col("d2") <= cutoff * cutoff) & F.lit(cutoff >= 0))
+    # where the cutoff is less than half of every height, no other image than the rounded one can be within it
+    sure = reduce(lambda u, v: u & v, (cutoff * norm(column(F.col("dual"), i)) < 0.49 for i in range(3)))
+    cell, layers = ["i0", "i1", "i2"], ["n0", "n1", "n2"]
+    # its square by the products of the basis: short enough for the compiler wherever Spark repeats it
+    share = [dot(column(F.col("dual"), i), vector()).alias(k) for i, k in enumerate("xyz")]
+    basis = [column(F.col("m"), i) for i in range(3)]
+    products = [((1 if i == j else 2) * dot(basis[i], basis[j])).alias(f"g{i}{j}") for i in range(3) for j in range(i, 3)]
+    quick = meetings(grid.where(sure).select("mol_id", "site_id", *share, *cell, *layers, *products), cell, "g00", "g01", "g02", "g11", "g12", "g22", layers=layers)
+    x, y, z = (F.col(f"d{k}") - F.rint(f"d{k}") for k in "xyz")
+    square = x * (F.col("g00") * x + F.col("g01") * y + F.col("g02") * z) + y * (F.col("g11") * y + F.col("g12") * z) + z * F.col("g22") * z
+    quick = quick.select("mol_id", "a", "b", square.alias("d2"))
+    d = vector("d")
+    rest = meetings(grid.where(~F.coalesce(sure, F.lit(False))), cell, "m", layers=layers)
+    both = quick.unionByName(rest.select("mol_id", "a", "b", minimum_image(F.col("m"), d)["d2"].alias("d2")))
+    return both.where((F.col("d2") <= cutoff * cutoff) & F.lit(cutoff >= 0))
 
 
 def translations(basis: Column, radius: Column) -> Column:
