@@ -37,7 +37,23 @@ def _fields(line: str) -> list[tuple[str, int]]:
     return out
 
 
+def _plain_atom(line: str) -> tuple[int, float, float, float] | None:
+    """What `_atom` gives for a line without faults, None for others: columns are counted for these alone."""
+    fields = line.split()
+    if len(fields) != 4 or "_" in line:
+        return None
+    z = _Z.get(fields[0][:1].upper() + fields[0][1:].lower())
+    try:
+        x, y, w = float(fields[1]), float(fields[2]), float(fields[3])
+    except ValueError:
+        return None
+    return (z, x, y, w) if z is not None and math.isfinite(x) and math.isfinite(y) and math.isfinite(w) else None
+
+
 def _atom(line: str, number: int) -> tuple[int, float, float, float]:
+    plain = _plain_atom(line)
+    if plain is not None:
+        return plain
     fields = _fields(line)
     if len(fields) != 4:
         raise XyzError("FieldCount", number)
@@ -108,9 +124,10 @@ def parse(files: DataFrame, first_frame: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for rows in batched(_rows(path, text or "", first_frame), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            # rows of many texts go out together: a batch for each small text would cost more than its lines
+            every = (row for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in _rows(path, text or "", first_frame))
+            for rows in batched(every, 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[t]) for n, t in (f.strip().split() for f in DDL.split(","))])
@@ -223,6 +240,8 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def number(c):
     """A double in plain digits, all of those of its own text: no exponent, no trailing .0."""
     text = c.cast("double").cast("string")
+    # without an exponent the text is plain but for its .0; the digits are taken apart for the others alone
+    short = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
     part = lambda n: F.regexp_extract(text, r"^(-?)([0-9]+)\.([0-9]*?)0*(?:E(-?[0-9]+))?$", n)
     digits = F.regexp_replace(F.concat(part(2), part(3)), "^0+(?=.)", "")
     # how many of the digits stand before the point; zeros in front of them do not count
@@ -230,7 +249,7 @@ def number(c):
     ahead = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
     behind = F.rpad(digits, F.greatest(point, F.length(digits)), "0")
     plain = F.when(digits == "0", "0").when(point <= 0, ahead).when(point >= F.length(digits), behind).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    return F.when(text.rlike("^-?[0-9]"), F.concat(part(1), plain)).otherwise(text)
+    return F.when(~text.contains("E"), short).when(text.rlike("^-?[0-9]"), F.concat(part(1), plain)).otherwise(text)
 
 
 def lines(sites: DataFrame, comment=None) -> DataFrame:
