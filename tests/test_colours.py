@@ -5,8 +5,9 @@ from __future__ import annotations
 import itertools
 import random
 
-from moltable.operators import symmetry
+from moltable.operators import stereoforms, symmetry
 
+TETRAHEDRAL = 5
 
 
 def tables(spark, mols):
@@ -35,3 +36,21 @@ def test_batches_of_colourings_give_the_classes_of_the_joins(spark):
         assert len(symmetry.classes(key, small).collect()) == sum(len(z) for z, _ in mols.values())
     finally:
         symmetry.stored = before
+
+
+def test_forms_without_configurations_and_loci_take_one_colouring(spark):
+    mols = {1: ([6, 9, 17, 35, 1], [(1, i, 1) for i in range(2, 6)]), 2: ([6, 6], [(1, 2, 1)]), 3: ([6, 6, 6], [(1, 2, 1), (2, 3, 1), (1, 3, 1)])}
+    s, b = tables(spark, mols)
+    seen = []
+    before = stereoforms.certificates
+    stereoforms.certificates = lambda colour, tie: seen.append(colour.select("mol_id", "tag").distinct().groupBy("mol_id").count().collect()) or before(colour, tie)
+    try:
+        got = {r.mol_id: r for r in stereoforms.forms(s, b, spark.createDataFrame([(1, 0, 1, TETRAHEDRAL, [2, 3, 4, 5])], "mol_id long, locus_kind int, locus_id long, kind int, neighbors array<long>")).collect()}
+    finally:
+        stereoforms.certificates = before
+    assert {r["mol_id"]: r["count"] for r in seen[0]} == {1: 3, 2: 1, 3: 1}
+    assert got[1].configured != got[1].mirror
+    assert all(got[m].constitution == got[m].configured == got[m].mirror for m in (2, 3))
+    isomers = stereoforms.stereoisomers(s, b, spark.createDataFrame([(1, 1, TETRAHEDRAL)], "mol_id long, site_id long, geometry int")).collect()
+    assert sorted((r.mol_id, r.locus_id) for r in isomers if r.mol_id == 1) == [(1, 1), (1, 1)]
+    assert [(r.mol_id, r.isomer, r.locus_id, r.neighbors) for r in isomers if r.mol_id > 1] in ([(2, 0, None, None), (3, 0, None, None)], [(3, 0, None, None), (2, 0, None, None)])
