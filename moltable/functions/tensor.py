@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,41 +127,42 @@ def inverse(m: Matrix) -> Matrix:
     return transpose(from_cols(scale(cross(b, c), k), scale(cross(c, a), k), scale(cross(a, b), k)))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _turned(s: Column, p: int, q: int) -> Column:
-    """Nine entries by columns with columns p and q made orthogonal by a plane rotation."""
-    e = lambda k, i: F.get(s, F.lit(3 * k + i))
-    sums = lambda j, k: sum((e(j, i) * e(k, i) for i in (1, 2)), e(j, 0) * e(k, 0))
-
-    def rotated(t: Column) -> Column:
-        cos = 1 / F.sqrt(1 + t * t)
-        new = {p: [cos * (e(p, i) - t * e(q, i)) for i in range(3)], q: [cos * (t * e(p, i) + e(q, i)) for i in range(3)]}
-        return F.array(*(v for k in range(3) for v in new.get(k, [e(k, i) for i in range(3)])))
-
-    z = F.try_divide(sums(q, q) - sums(p, p), 2 * sums(p, q))
-    # already orthogonal columns give no quotient and stay
-    return _let(_let(z, lambda v: F.coalesce(F.when(v >= 0, 1.0).otherwise(-1.0) / (F.abs(v) + F.sqrt(1 + v * v)), F.lit(0.0))), rotated)
+def _jacobi(m: np.ndarray, sweeps: int) -> np.ndarray:
+    """Singular values of matrices by columns (place in the matrix, matrix), falling, of entries of at most 1."""
+    col = [m[3 * k : 3 * k + 3].copy() for k in range(3)]
+    along = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    for _ in range(sweeps):
+        for p, q in ((0, 1), (0, 2), (1, 2)):
+            u, v = col[p], col[q]
+            down = 2 * along(u, v)
+            z = np.divide(along(v, v) - along(u, u), down, out=np.zeros_like(down), where=down != 0)
+            # already orthogonal columns give no quotient and stay
+            t = np.where(down != 0, np.where(z >= 0, 1.0, -1.0) / (np.abs(z) + np.sqrt(1 + z * z)), 0.0)
+            cos = 1 / np.sqrt(1 + t * t)
+            col[p], col[q] = cos * (u - t * v), cos * (t * u + v)
+    return np.sort(np.sqrt([along(c, c) for c in col]), axis=0)[::-1]
 
 
 def singular_values(m: Matrix, sweeps: int = 8) -> Vector:
     """Singular values, falling; 0.0 for each rank that is missing, null beside a null or non-finite entry.
 
     The columns, scaled by the largest entry, are made orthogonal pair by pair (one-sided Jacobi); their lengths are the
-    values, small ones as accurate as large ones.
+    values, small ones as accurate as large ones.  All matrices of an Arrow batch are turned at once, so the Columns can't
+    stand inside a lambda.
     """
-    entries = F.array(*m)
-    largest = F.array_max(F.transform(entries, F.abs))
-    finite = ~F.exists(entries, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    start = F.transform(entries, lambda v: F.coalesce(F.try_divide(v, largest), F.lit(0.0)))
-    sweep = lambda s, _: _let(_let(_let(s, lambda x: _turned(x, 0, 1)), lambda x: _turned(x, 0, 2)), lambda x: _turned(x, 1, 2))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, sweep)
-    length = lambda s, k: F.sqrt(sum((F.get(s, F.lit(3 * k + i)) * F.get(s, F.lit(3 * k + i)) for i in (1, 2)), F.get(s, F.lit(3 * k)) * F.get(s, F.lit(3 * k))))
-    values = F.when(finite, _let(done, lambda s: F.transform(F.sort_array(F.array(*(length(s, k) for k in range(3))), asc=False), lambda v: v * largest)))
-    return F.get(values, F.lit(0)), F.get(values, F.lit(1)), F.get(values, F.lit(2))
+
+    @F.arrow_udf("struct<a: double, b: double, c: double>")
+    def values(*entries: pa.Array) -> pa.Array:
+        e = np.stack([c.to_numpy(zero_copy_only=False) for c in entries]).astype(float)
+        finite = np.isfinite(e).all(axis=0)
+        e = np.where(finite, e, 0.0)
+        largest = np.abs(e).max(axis=0)
+        with np.errstate(over="ignore", under="ignore"):
+            s = _jacobi(np.divide(e, largest, out=np.zeros_like(e), where=largest > 0), sweeps) * largest
+        return pa.StructArray.from_arrays([pa.array(v, mask=~finite) for v in s], ["a", "b", "c"])
+
+    got = values(*(c.cast("double") for c in m))
+    return got["a"], got["b"], got["c"]
 
 
 def outer_product(u: Vector, v: Vector) -> Matrix:

@@ -55,6 +55,16 @@ def test_singular_values_of_degenerate_small_and_huge_matrices(spark):
     assert all(got[i].s0 is None for i in (900, 901, 902)) and not got[901].ok and got[901].v0 is None
 
 
+def test_singular_values_of_a_table_are_worked_out_by_batches(spark):
+    """One Python node for the three values, no rotation in interpreted lambdas; the last values are the first ones."""
+    m = tuple((F.col("id") * (k + 3) % (7 + k)).cast("double") for k in range(9))
+    df = spark.range(30_000).select("id", F.array(*m).alias("m"), *(v.alias(f"s{k}") for k, v in enumerate(tensor.singular_values(m))))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+    for r in df.where("id % 4999 = 1").collect():
+        assert np.allclose([r.s0, r.s1, r.s2], np.linalg.svd(np.array(r.m).reshape(3, 3), compute_uv=False), rtol=0, atol=1e-12)
+
+
 def test_pi_electrons_beside_aromatic_orders_by_an_overlay(spark):
     ring = [(1, k, k, k % 6 + 1, 7) for k in range(1, 7)]
     bonds = spark.createDataFrame(ring + [(1, 6 + k, k, 6 + k, 1) for k in range(1, 7)], "mol_id long, bond_id long, a long, b long, bond_order int")
