@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 from itertools import pairwise
 
-from moltable.operators import fingerprint, rotations
+import pytest
+
+from moltable.operators import coordination, fingerprint, frames, rotations, smallcircular, valence
+from moltable.plans import projection
 
 MASK = 2**64 - 1
 SITES = [(i, i % 4) for i in range(1, 9)]
@@ -69,3 +72,39 @@ def test_codes_with_stereo(spark):
         got.setdefault(r.mol_id, []).extend([r.code % 2**64] * r.n)
     assert {m: sorted(c) for m, c in got.items()} == {m: plain(own, 2) for m, own in cases.items()}
     assert sorted(got[20]) != sorted(got[21]) and all(x <= y for x, y in pairwise(plain({}, 1)))
+
+
+@pytest.mark.parametrize("packed", [0, 3])
+def test_rows_of_arrays_and_joins_give_the_same_codes(spark, monkeypatch, packed):
+    """Sparse site numbers, a bond to no site, a site without bonds, over 64 bonds, null seeds, odd configurations."""
+    rng = random.Random(8)
+    s, b = [(1, 7, 3), (2, 1, None), (2, 2, 1), (6, 1, 1), (6, 2, 1)], [(2, 1, 1, 2, 1), (6, 1, 1, 2, None)]
+    for m, n in ((3, 5), (4, 14), (5, 8)):
+        ids = rng.sample(range(-50, 90), n)
+        s += [(m, i, rng.randint(-2, 3)) for i in ids]
+        b += [(m, 9 * k, x, y, rng.randint(-1, 2)) for k, (x, y) in enumerate((x, y) for x in ids for y in [*ids, 1000] if x < y and rng.random() < 0.85)]
+    t = [(5, i, kind, rng.sample([j for m, j, _ in s if m == 5 and j != i], 4)) for (m, i, _), kind in zip(s[-8:], (5, 6, 14, 13, 8, 2, 5, 5), strict=True)]
+    t = [*t[:-1], (*t[-1][:3], [t[-1][3][0]] * 4), (5, 999, 5, t[0][3]), (4, s[9][1], 5, [1000, *t[0][3][:3]])]
+    sites = spark.createDataFrame(s, "mol_id long, site_id long, seed long")
+    bonds = spark.createDataFrame(b, "mol_id long, bond_id long, a long, b long, seed long")
+    stereo = spark.createDataFrame(t, "mol_id long, site_id long, kind int, neighbors array<long>")
+    rows = lambda: [sorted(map(str, fingerprint.circular(sites, bonds, r, x).collect())) for r, x in ((0, None), (2, None), (2, stereo))]
+    small = rows()
+    assert all(small) and small[1] != small[2]
+    monkeypatch.setattr(smallcircular, "PACKED", packed)
+    assert rows() == small
+
+
+def test_ordinary_molecules_take_no_written_rounds(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "_circular", None)
+    s = spark.createDataFrame([(1, i, v) for i, v in SITES], "mol_id long, site_id long, seed long")
+    b = spark.createDataFrame([(1, k, x, y, k % 2) for k, (x, y) in enumerate(BONDS, 1)], "mol_id long, bond_id long, a long, b long, seed long")
+    assert sorted(r.code % 2**64 for r in fingerprint.circular(s, b, 2).collect() for _ in range(r.n)) == plain({}, 2)
+
+
+def test_centres_alone_are_those_of_all_loci(spark):
+    s, b = projection.molecules(spark, "/root/testdata/sf0.001")
+    shape = coordination.perceive(valence.steric_numbers(s, b))
+    rows = lambda df: sorted(map(str, df.where("locus_kind = 0").collect()))
+    every = rows(frames.perceive(s, b, shape))
+    assert every and rows(frames.perceive(s, b, shape, frames.centres(s, b, shape))) == every
