@@ -8,12 +8,14 @@ size.  Two tree bonds that such a bond ties together are linked, and the connect
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import discard, stored
+from .kernels import per_molecule
 
 #: Molecules of up to so many bonds are one row each.
 PACKED = 40
@@ -104,40 +106,49 @@ def _nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step)["n"]
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _least(start: Column, near: Column) -> Column:
-    """Every place takes the least of its own number and those of its neighbours, until nothing changes."""
-
-    def step(s: Column, _: Column) -> Column:
-        new = F.zip_with(s["l"], near, lambda own, e: F.least(own, F.coalesce(F.array_min(F.transform(e, lambda i: F.get(s["l"], i))), own)))
-        return F.when(s["live"], _let(new, lambda n: F.struct(n.alias("l"), (n != s["l"]).alias("live")))).otherwise(s)
-
-    return F.aggregate(F.sequence(F.lit(1), F.size(start)), F.struct(start.alias("l"), F.lit(True).alias("live")), step)["l"]
+def _blocks(_: list[dict], bonds: list[dict]) -> Iterator[tuple]:
+    """Blocks of one molecule: every bond beside a spanning tree ties the bonds of the circle that it closes in the tree."""
+    bonds = sorted(bonds, key=lambda e: e["bond_id"])
+    top, near = list(range(len(bonds))), {}
+    for i, e in enumerate(bonds):
+        near.setdefault(e["a"], []).append((e["b"], i))
+        near.setdefault(e["b"], []).append((e["a"], i))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    depth, up, tree = {}, {}, set()
+    for start in near:
+        if start in depth:
+            continue
+        depth[start], left = 0, [start]
+        while left:
+            v = left.pop()
+            for w, i in near[v]:
+                if w not in depth:
+                    depth[w], up[w] = depth[v] + 1, (v, i)
+                    tree.add(i)
+                    left.append(w)
+    for i, e in enumerate(bonds):
+        x, y = e["a"], e["b"]
+        while i not in tree and x != y:
+            if depth[x] < depth[y]:
+                x, y = y, x
+            x, k = up[x]
+            k, own = root(k), root(i)
+            top[max(k, own)] = min(k, own)
+    for i, e in enumerate(bonds):
+        yield e["bond_id"], bonds[root(i)]["bond_id"]
 
 
 def _packed(bonds: DataFrame) -> DataFrame:
-    """Blocks of molecules of few bonds, each one row of arrays: two bonds at a site are in one block if their far ends stay
-    connected without it."""
-    row = bonds.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("bond_id", "a", "b"))).alias("e"))
-    row = row.withColumn("s", F.array_sort(F.array_distinct(F.flatten(F.transform("e", lambda x: F.array(x["a"], x["b"]))))))
-    at = lambda v: (F.array_position("s", v) - 1).cast("int")
-    row = row.withColumn("ends", F.transform("e", lambda x: F.struct(at(x["a"]).alias("i"), at(x["b"]).alias("j"))))
-    places = F.transform("s", lambda _, k: k)
-    far = lambda v: F.transform(F.filter("ends", lambda x: (x["i"] == v) | (x["j"] == v)), lambda x: x["i"] + x["j"] - v)
-    row = row.withColumn("near", F.transform(places, far))
-    without = lambda v: F.transform("near", lambda e, u: F.when(u == v, F.array().cast("array<int>")).otherwise(F.filter(e, lambda w: w != v)))
-    row = row.withColumn("part", F.transform(places, lambda v: _least(places, without(v))))
-    side = lambda v, x: F.get(F.get("part", v), x["i"] + x["j"] - v)
-    met = lambda x, y: F.exists(F.array(x["i"], x["j"]), lambda v: ((y["i"] == v) | (y["j"] == v)) & (side(v, x) == side(v, y)))
-    count = F.transform("ends", lambda _, k: k)
-    row = row.withColumn("peers", F.transform("ends", lambda x: F.filter(count, lambda m: _let(F.get("ends", m), lambda y: met(x, y)))))
-    row = row.withColumn("least", _least(count, F.col("peers")))
-    out = row.select("mol_id", F.explode(F.transform("e", lambda x, k: F.struct(x["bond_id"].alias("bond_id"), F.get("e", F.get("least", k))["bond_id"].alias("block")))).alias("x"))
-    return out.select("mol_id", "x.bond_id", "x.block")
+    """Blocks of molecules of few bonds, each one row of arrays."""
+    row = bonds.groupBy("mol_id").agg(F.collect_list(F.struct("bond_id", "a", "b")).alias("bonds")).select("mol_id", F.array().alias("sites"), "bonds")
+    kind = bonds.schema["bond_id"].dataType
+    out = per_molecule(row, _blocks, "bond_id long, block long")
+    return out.select(F.col("mol_id").cast(bonds.schema["mol_id"].dataType).alias("mol_id"), F.col("bond_id").cast(kind).alias("bond_id"), F.col("block").cast(kind).alias("block"))
 
 
 def blocks(bonds: DataFrame, packed: int = PACKED) -> DataFrame:
@@ -146,11 +157,15 @@ def blocks(bonds: DataFrame, packed: int = PACKED) -> DataFrame:
     Molecules of up to `packed` bonds are done as one row each, larger ones by the forest and tour; results are the same.
     """
     bonds = stored(bonds.select("mol_id", "bond_id", "a", "b"), "edges")
+    if not all(isinstance(f.dataType, T.IntegralType) for f in bonds.schema):
+        packed = -1
     size = stored(bonds.groupBy("mol_id").agg(F.count("*").alias("n")), "sizes")
-    few = _packed(bonds.join(size.where(F.col("n") <= packed).select("mol_id"), "mol_id"))
     large = size.where(F.col("n") > packed).select("mol_id")
     if large.isEmpty():
-        return stored(few, "blocks")
+        return stored(_packed(bonds), "blocks")
+    if packed < 0:
+        return by_tours(bonds)
+    few = _packed(bonds.join(size.where(F.col("n") <= packed).select("mol_id"), "mol_id"))
     return stored(few.unionByName(by_tours(bonds.join(large, "mol_id"))), "blocks")
 
 
