@@ -5,16 +5,21 @@ a graph with two nodes for each pi bond, one for each plane, where neighbours li
 a part of it is a plane, and a cycle that admits no alternation joins both into one.  A second
 graph links planes across single bonds, aromatic bonds, and p orbitals beyond the bonds (vacant,
 radical or lone pair) with the planes beside them; its parts of two contributions or more are the
-systems.  A molecule may be of any size; nothing is gathered by molecule.
+systems.  Molecules of ordinary size go through the same steps as one row each, in Arrow batches; larger ones through joins,
+so that a molecule may be of any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import AROMATIC, incidence, require
 from ..storage import stored
+from . import kernels, smallgraphs
 from .topology import components
 from .valence import lone_pairs
 
@@ -22,8 +27,7 @@ from .valence import lone_pairs
 def orbitals(sites: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, site_id, slots) of sites that keep to the octet: slots lists the electrons of up to two p orbitals that
     bonds leave free, vacant ones before radicals before lone pairs.  Others, and sites of aromatic bonds, are absent."""
-    count = incidence(bonds, "bond_order").groupBy("mol_id", "site_id").agg(F.count("*").alias("sigma"))
-    out = lone_pairs(sites, bonds).join(count, ["mol_id", "site_id"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(0)))
+    out = lone_pairs(sites, bonds, "sigma")
     vacant = F.when(F.col("element") <= 2, 1).otherwise(4) - F.col("valence") - F.col("lone_pairs") - F.col("radical_electrons")
     out = out.withColumn("vacant", vacant.cast("int")).where("vacant >= 0").withColumn("pi", F.col("valence") - F.col("sigma"))
     across = F.when((F.col("sigma") == 1) | ((F.col("sigma") == 2) & (F.col("pi") >= 2)), 2).when(F.col("sigma").isin(2, 3), 1).otherwise(0)
@@ -65,6 +69,97 @@ def perceive(sites: DataFrame, bonds: DataFrame) -> DataFrame:
     """
     require(bonds, "mol_id", "bond_id", "a", "b", "bond_order")
     octet = stored(orbitals(sites, bonds), "octet")
+    # without a bond of two or more, or an aromatic one, there is no system
+    bonds = stored(bonds.select("mol_id", "bond_id", "a", "b", "bond_order").join(bonds.where("bond_order >= 2").select("mol_id").distinct(), "mol_id", "left_semi"), "pi-molecules")
+    rows, large = _rows(octet, bonds)
+    small = None if rows is None else kernels.per_molecule(rows, _brought, "system long, site_id long, contributions int, electrons int, pairs int, aromatic boolean")
+    if large is None:
+        return stored(small, "conjugated")
+    far = _by_joins(smallgraphs.within(octet, large), smallgraphs.within(bonds, large))
+    return stored(far if small is None else far.unionByName(small), "conjugated")
+
+
+def _rows(octet: DataFrame, bonds: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows, large): rows (mol_id, sites, bonds) of orbitals and bonds, and mol_id of the molecules too large for a row."""
+    if not all(isinstance(df.schema[c].dataType, T.IntegralType) for df, c in ((octet, "mol_id"), (octet, "site_id"), (bonds, "bond_id"), (bonds, "a"), (bonds, "b"))):
+        return None, bonds.select("mol_id").distinct()
+    many = lambda df, most: df.groupBy("mol_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mol_id")
+    large = stored(many(octet, smallgraphs.PACKED).unionByName(many(bonds, 2 * smallgraphs.PACKED)).distinct(), "large")
+    large = None if large.isEmpty() else large
+    one, two = (octet, bonds) if large is None else (smallgraphs.without(octet, large), smallgraphs.without(bonds, large))
+    s = one.groupBy("mol_id").agg(F.collect_list(F.struct("site_id", "slots")).alias("sites"))
+    b = two.groupBy("mol_id").agg(F.collect_list(F.struct("bond_id", "a", "b", "bond_order")).alias("bonds"))
+    rows = b.join(s, "mol_id", "left").withColumn("sites", F.coalesce("sites", F.array().cast(s.schema["sites"].dataType)))
+    return rows.select("mol_id", "sites", "bonds"), large
+
+
+def _parts(nodes: Iterable[int], edges: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The least node that each is connected with."""
+    top = {n: n for n in nodes}
+
+    def root(n: int) -> int:
+        while top[n] != n:
+            top[n] = n = top[top[n]]
+        return n
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        top[max(x, y)] = min(x, y)
+    return {n: root(n) for n in top}
+
+
+def _brought(sites: list[dict], bonds: list[dict]) -> Iterator[tuple]:
+    """The rows of perceive() of one molecule; the steps and numbers are those of _by_joins."""
+    slots = {s["site_id"]: s["slots"] for s in sites}
+    soft = [(b["a"], b["b"]) for b in bonds if b["bond_order"] == AROMATIC]
+    rings = sorted({s for b in soft for s in b})
+    many = sorted((min(b["a"], b["b"]), max(b["a"], b["b"]), b["bond_id"], b["bond_order"]) for b in bonds if 2 <= b["bond_order"] <= 6 and b["a"] in slots and b["b"] in slots)
+    if not many and not rings:
+        return
+    units = [(u, a, b) for k, (a, b, _, order) in enumerate(many, 1) for u in range(2 * k, 2 * k + 1 + (order > 2))]
+    at: dict[int, list[int]] = {}
+    for u, a, b in units:
+        at.setdefault(a, []).append(u)
+        at.setdefault(b, []).append(u)
+    ends = {(min(us), max(us)) for us in at.values()}
+    plane = _parts((n for u, _, _ in units for n in (2 * u, 2 * u + 1)), ((2 * u + x, 2 * v + 1 - x) for u, v in ends if u < v for x in (0, 1)))
+    plane = {u: plane[2 * u] for u, _, _ in units}
+    own = lambda site, k: -4 * site - 1 - k
+    present: dict[int, list[tuple]] = {s: sorted((plane[u], u) for u in us) for s, us in at.items()}
+    for s in rings:
+        present.setdefault(s, [(own(s, 0), None)])
+    pi = {bond for _, _, bond, _ in many}
+    edges = {(own(a, 0), own(b, 0)) for a, b in soft}
+    for bond in bonds:
+        if bond["bond_order"] == AROMATIC:
+            continue
+        for site, nbr in ((bond["a"], bond["b"]), (bond["b"], bond["a"])):
+            far, here, free = present.get(nbr), present.get(site), slots.get(site)
+            if far is None:
+                continue
+            if here is not None and bond["bond_id"] not in pi:
+                edges.update((x[0], y[0]) for x, y in zip(here, far, strict=False))
+            if free and here is None:
+                edges.update((own(site, 1 + i), f[0]) for i, f in enumerate(far[: len(free)]))
+            elif free:
+                known = {u for _, u in here}
+                edges.update((own(site, 1), f[0]) for f in far if f[1] is None or f[1] not in known)
+    linked = {x for x, y in edges if x != y}
+    out = [row for u, a, b in units for row in ((plane[u], a, 1, 2, 0, False), (plane[u], b, 0, 0, 0, False))]
+    out += [(own(s, 0), s, 2, 0, 0, True) for s in rings]
+    out += [(own(s, 1 + k), s, 1, e, int(e == 2), False) for s, free in slots.items() for k, e in enumerate(free or ()) if own(s, 1 + k) in linked]
+    system = _parts({r[0] for r in out}, edges)
+    total: dict[int, int] = {}
+    for node, _, n, *_ in out:
+        total[system[node]] = total.get(system[node], 0) + n
+    for node, *rest in out:
+        if total[system[node]] >= 2:
+            yield system[node], *rest
+
+
+def _by_joins(octet: DataFrame, bonds: DataFrame) -> DataFrame:
+    """perceive() for molecules of any size."""
+    octet, bonds = stored(octet, "octet"), stored(bonds, "pi-molecules")
     units = stored(_pi_bonds(bonds, octet), "pi-bonds")
     units = stored(units.join(_planes(units), ["mol_id", "unit"]), "pi-planes")
     soft = bonds.where(F.col("bond_order") == AROMATIC)
@@ -98,7 +193,7 @@ def perceive(sites: DataFrame, bonds: DataFrame) -> DataFrame:
     part = components(brought.select("mol_id", F.col("node").alias("site_id")).distinct(), edge).select("mol_id", F.col("site_id").alias("node"), F.col("component").alias("system"))
     out = brought.join(part, ["mol_id", "node"]).drop("node")
     kept = out.groupBy("mol_id", "system").agg(F.sum("contributions").alias("n")).where("n >= 2").drop("n")
-    return stored(out.join(kept, ["mol_id", "system"]).select("mol_id", "system", "site_id", "contributions", "electrons", "pairs", "aromatic"), "conjugated")
+    return out.join(kept, ["mol_id", "system"]).select("mol_id", "system", "site_id", "contributions", "electrons", "pairs", "aromatic")
 
 
 def members(got: DataFrame) -> DataFrame:
